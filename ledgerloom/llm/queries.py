@@ -10,10 +10,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import mixing, secret_scan, token_counts
+from ledgerloom.llm import mixing, repeats, secret_scan, token_counts
 from ledgerloom.llm.common import batches, table
 
 
+def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    batches(spark)
+    kept = repeats.remove_repeats(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
@@ -36,6 +42,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op4_repeats": op4_repeats,
     "op6_mixing": op6_mixing,
     "op7_secret_scan": op7_secret_scan,
     "op10_token_counts": op10_token_counts,
