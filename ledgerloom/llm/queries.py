@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import mixing, repeats, secret_scan, token_counts
+from ledgerloom.llm import mixing, ngram_join, repeats, secret_scan, token_counts
 from ledgerloom.llm.common import batches, table
 
 
@@ -34,6 +34,11 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.select("doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"), F.sha2(line(base), 256).alias("base_sha256"), line(F.col("spans")).alias("spans"))
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    batches(spark)
+    return ngram_join.ngram_components(table(spark, sf_dir, "documents"), shingle=4, percent=85)
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -45,6 +50,7 @@ QUERIES = {
     "op4_repeats": op4_repeats,
     "op6_mixing": op6_mixing,
     "op7_secret_scan": op7_secret_scan,
+    "op9_ngram_join": op9_ngram_join,
     "op10_token_counts": op10_token_counts,
 }
 
