@@ -10,16 +10,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import mixing, ngram_join, repeats, secret_scan, token_counts
+from ledgerloom.llm import decontamination, mixing, ngram_join, quality_rules, repeats, secret_scan, token_counts
 from ledgerloom.llm.common import batches, table
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger under the newest policy. base_failed is the contract's rule."""
+    rows = quality_rules.apply_policy(quality_rules.ledger(table(spark, sf_dir, "documents")), quality_rules.POLICIES["v1"])
+    base = ~quality_rules.verdict(quality_rules.POLICIES["base"])
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), "kept", "failed", "policy")
+
+
 def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     batches(spark)
     kept = repeats.remove_repeats(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
@@ -47,7 +59,9 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_quality_rules": op2_quality_rules,
     "op4_repeats": op4_repeats,
+    "op5_decontamination": op5_decontamination,
     "op6_mixing": op6_mixing,
     "op7_secret_scan": op7_secret_scan,
     "op9_ngram_join": op9_ngram_join,
@@ -56,7 +70,55 @@ QUERIES = {
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
+_TERMS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+
 ORACLES = {
+    "op2_quality_rules": rf"""
+with d as (
+  select row_number() over () as rid, doc_id, coalesce(text, '') as text, {_WORDS} as w,
+         string_split(coalesce(text, ''), chr(10)) as lines from documents),
+p as (
+  select rid, unnest(range(1, len(w) - 6)) as pos, w from d where len(w) >= 8),
+g as (select rid, pos, array_to_string(w[pos:pos + 7], ' ') as gram from p),
+r as (select rid, pos, count(*) over (partition by rid, gram) as n from g),
+c as (select distinct rid, unnest(range(pos, pos + 8)) as word from r where n > 1),
+m as (select rid, count(*) as n_repeat_words from c group by rid),
+x as (
+  select d.doc_id, len(w)::bigint as n_words, length(regexp_replace(text, '[ 	-
+]+', '', 'g'))::bigint as word_chars,
+         length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g'))::bigint as n_symbols,
+         (len(list_filter(lines, lambda l: regexp_matches(l, '[^ 	-
+]')))
+          - len(list_distinct(list_filter(lines, lambda l: regexp_matches(l, '[^ 	-
+]')))))::bigint as n_dup_lines,
+         coalesce(n_repeat_words, 0)::bigint as n_repeat_words, len(lines)::bigint as n_lines,
+         length(regexp_replace(text, '[^!]+', '', 'g'))::bigint as n_bangs,
+         length(regexp_replace(text, '[^0-9]+', '', 'g'))::bigint as n_digits
+  from d left join m on d.rid = m.rid),
+f as (
+  select *, (n_words < 20)::bigint + 2 * (100 * n_repeat_words > 30 * n_words)::bigint + 4 * (5 * n_symbols > 2 * n_words)::bigint
+         + 8 * (10 * n_bangs > 3 * n_words)::bigint + 16 * (n_lines >= 4 and 100 * n_dup_lines > 30 * n_lines)::bigint
+         + 32 * (word_chars < 2 * n_words or word_chars > 20 * n_words)::bigint + 64 * (100 * n_digits > 30 * word_chars)::bigint as failed
+  from x)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed & 3 <> 0 as base_failed, failed = 0 as kept, failed, 'v1' as policy from f
+""",
+    "op5_decontamination": rf"""
+with b as (select item_id, {_TERMS} as w from benchmark),
+bg as (
+  select distinct item_id, least(13, len(w)) as len, array_to_string(w[pos:pos + least(13, len(w)) - 1], ' ') as gram
+  from (select item_id, w, unnest(range(1, len(w) - least(13, len(w)) + 2)) as pos from b where len(w) > 0)),
+d as (select row_number() over () as rid, doc_id, {_TERMS} as w from documents),
+n as (select distinct len from bg),
+p as (select rid, w, len, unnest(range(1, len(w) - len + 2)) as pos from d, n where len(w) >= len),
+h as (
+  select rid, pos, p.len, item_id from (select rid, pos, len, array_to_string(w[pos:pos + len - 1], ' ') as gram from p) p
+  join bg on bg.len = p.len and bg.gram = p.gram),
+k as (select rid, count(distinct word) as n_hit from (select rid, unnest(range(pos, pos + len)) as word from h) group by rid),
+i as (select rid, count(*) as n_items, string_agg(id, ',' order by id) as ids from (select distinct rid, item_id::varchar as id from h) group by rid)
+select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+       sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit > 0 and 20 * n_hit >= len(w), false) as contaminated
+from d left join k on d.rid = k.rid left join i on d.rid = i.rid
+""",
     "op6_mixing": rf"""
 with d as (
   select doc_id, source, len({_WORDS})::bigint as size,
