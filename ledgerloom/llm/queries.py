@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import decontamination, mixing, ngram_join, quality_rules, repeats, secret_scan, token_counts
+from ledgerloom.llm import decontamination, line_dedup, mixing, ngram_join, quality_rules, repeats, secret_scan, token_counts
 from ledgerloom.llm.common import batches, table
 
 
@@ -46,6 +46,11 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.select("doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"), F.sha2(line(base), 256).alias("base_sha256"), line(F.col("spans")).alias("spans"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_removed", "n_near", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     batches(spark)
     return ngram_join.ngram_components(table(spark, sf_dir, "documents"), shingle=4, percent=85)
@@ -64,6 +69,7 @@ QUERIES = {
     "op5_decontamination": op5_decontamination,
     "op6_mixing": op6_mixing,
     "op7_secret_scan": op7_secret_scan,
+    "op8_line_dedup": op8_line_dedup,
     "op9_ngram_join": op9_ngram_join,
     "op10_token_counts": op10_token_counts,
 }
