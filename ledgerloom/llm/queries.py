@@ -10,10 +10,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import decontamination, line_dedup, mixing, ngram_join, quality_rules, repeats, secret_scan, token_counts
+from ledgerloom.llm import decontamination, line_dedup, mixing, ngram_join, quality_model, quality_rules, repeats, secret_scan, token_counts, toxicity
 from ledgerloom.llm.common import batches, table
 
 
+#: Rows of this remainder are held out of learning.
+HELD_OUT = 2
+
+
+def op1_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grades 0 (poor), 1 (sound but toxic), 2 (sound and clean); kept: at least
+    grade 1 is likelier than not."""
+    batches(spark)
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    rated = labels.where(toxicity.remainder(F.col("doc_id")) != HELD_OUT).select("doc_id", (F.col("quality") * (2 - F.col("toxic"))).alias("grade"))
+    rows = quality_model.score(docs, quality_model.fit(docs, rated, 3))
+    return rows.select("doc_id", F.coalesce(toxicity.remainder(F.col("doc_id")) == HELD_OUT, F.lit(False)).alias("held_out"), "expected_grade", F.col("tails")[0].alias("p_sound"), F.col("tails")[1].alias("p_clean"), (F.col("tails")[0] >= 0.5).alias("kept"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ledger under the newest policy. base_failed is the contract's rule."""
     rows = quality_rules.apply_policy(quality_rules.ledger(table(spark, sf_dir, "documents")), quality_rules.POLICIES["v1"])
@@ -21,6 +35,13 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), "kept", "failed", "policy")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    batches(spark)
+    labels = table(spark, sf_dir, "labels").where(toxicity.remainder(F.col("doc_id")) != HELD_OUT)
+    rows = toxicity.toxicity_scores(table(spark, sf_dir, "documents"), labels)
+    return rows.select("doc_id", F.coalesce(toxicity.remainder(F.col("doc_id")) == HELD_OUT, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     batches(spark)
     kept = repeats.remove_repeats(table(spark, sf_dir, "documents"))
@@ -64,7 +85,9 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_quality_model": op1_quality_model,
     "op2_quality_rules": op2_quality_rules,
+    "op3_toxicity": op3_toxicity,
     "op4_repeats": op4_repeats,
     "op5_decontamination": op5_decontamination,
     "op6_mixing": op6_mixing,
