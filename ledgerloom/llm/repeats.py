@@ -10,7 +10,7 @@ document of a smaller id is removed. Windows are found without listing them all:
    stretch of words that its existence depends on (its neighbours' included):
    a window that holds the stretch holds the symbol, wherever it occurs.
 2. Anchors. A window's anchor is the symbol of the highest round whose stretch
-   lies in it, of those the one of least hash, leftmost. Equal windows have
+   lies in it, of those the longest, of least hash, leftmost. Equal windows have
    equal anchors, at equal places. Windows in a row with one anchor make one
    row (anchor's name, hash of all their words): about one for eighteen words.
 3. Shared anchors. Rows that agree in anchor and words with a row of a smaller
@@ -146,7 +146,8 @@ def anchors(w: Words, window: int, rounds: int = ROUNDS) -> tuple[np.ndarray, ..
         lo = np.cumsum(np.bincount(s.dl + 1, minlength=total + 2))[starts[todo]]
         hi = np.cumsum(np.bincount(s.dr, minlength=total + 2))[starts[todo] + window]
         has = hi > lo
-        rank = mix(s.name ^ salted(_ORDER, k))
+        words = np.diff(np.append(s.lo, total))
+        rank = (np.uint64(15) - np.minimum(words, 15).astype(np.uint64) << np.uint64(60)) | (mix(s.name ^ salted(_ORDER, k)) >> np.uint64(4))
         chosen[todo[has]] = least(rank, lo[has], hi[has])
         depth[todo[has]] = k
         todo = todo[~has]
