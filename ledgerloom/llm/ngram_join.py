@@ -22,9 +22,10 @@ bucket alone says little; sets with too few filled buckets also use empty ones.)
 Pairs. Equal sets are one. In a round each key pairs its members with the
 smallest of them only; links found so far join members into components, and a
 key whose members are all in one component is done. After ``rounds`` such rounds
-the pairs of members of different components are listed for what is left. A
-pair is verified by sizes, by a parity sketch (its differing bits bound the
-symmetric difference from below), and at last by the shingles themselves.
+members of different components are joined for what is left. A pair must agree
+in sizes and in a parity sketch (its differing bits bound the symmetric
+difference from below) before it leaves the join, and is verified by the
+shingles themselves.
 """
 
 from __future__ import annotations
@@ -41,13 +42,14 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.common import Words, fold_ascii, materialize, mix, small_enough, text_steps
 from ledgerloom.llm.components import components
 
-BIN_BITS, BLOCK = 22, 4096
+BIN_BITS, BLOCK = 24, 1 << 14
 SKETCH_WORDS = 32
-ROUNDS = 3
+ROUNDS = 1
 BROADCAST_BYTES = 32 << 20
 #: Sets up to this symmetric difference use combinations of two buckets.
 PAIRED_BUCKETS = 12
-FREQUENT_AT_LEAST, FREQUENT_OVER_MEAN = 32, 8
+#: Frequent: a bin so many standard deviations, and so many counts, over the mean.
+FREQUENT_DEVIATIONS, FREQUENT_AT_LEAST = 4, 8
 
 _K = [np.uint64(x) for x in (0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
 
@@ -145,20 +147,14 @@ def frequent_bins(docs: DataFrame, n: int) -> np.ndarray:
     up where they meet, streaming."""
 
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, waiting, pending = np.zeros(1 << BIN_BITS, np.uint32), [], 0
+        total = np.zeros(1 << BIN_BITS, np.uint32)
         for part in parts:
             for _, _, data, offsets in text_steps(part.column(0)):
-                bins = (shingle_hashes(Words(fold_ascii(data), offsets), n)[0] >> np.uint64(64 - BIN_BITS)).astype(np.int32)
-                waiting.append(bins)
-                pending += len(bins)
-                if pending > 1 << 21:
-                    total += np.bincount(np.concatenate(waiting), minlength=len(total)).astype(np.uint32)
-                    waiting, pending = [], 0
-        if waiting:
-            total += np.bincount(np.concatenate(waiting), minlength=len(total)).astype(np.uint32)
+                np.add.at(total, (shingle_hashes(Words(fold_ascii(data), offsets), n)[0] >> np.uint64(64 - BIN_BITS)).astype(np.int32), np.uint32(1))
         if not total.any():
             return
-        blocks = np.minimum(total, 255).astype(np.uint8).reshape(-1, BLOCK)
+        np.minimum(total, 255, out=total)
+        blocks = total.astype(np.uint8).reshape(-1, BLOCK)
         pack = zstandard.ZstdCompressor(level=1)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(blocks), dtype=np.int32)), pa.array([pack.compress(x.tobytes()) for x in blocks], pa.binary())], names=["block", "counts"])
 
@@ -172,16 +168,30 @@ def frequent_bins(docs: DataFrame, n: int) -> np.ndarray:
                     sums[block] += row
                 else:
                     sums[block] = row.astype(np.uint64)
+        pack = zstandard.ZstdCompressor(level=1)
         if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["block", "sums"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([int(x.sum()) for x in sums.values()], pa.int64()), pa.array([pack.compress(x.tobytes()) for x in sums.values()], pa.binary())], names=["block", "total", "sums"])
 
-    counted = docs.select("text").mapInArrow(count, "block int, counts binary").repartition("block").mapInArrow(add, "block int, sums binary")
+    counted = docs.select("text").mapInArrow(count, "block int, counts binary").repartition("block").mapInArrow(add, "block int, total bigint, sums binary")
     counted = materialize(counted, "bins")
-    sums = F.col("sums")
-    total = np.zeros(1 << BIN_BITS, np.uint64)
-    for row in counted.select("block", sums).toLocalIterator():  # 2**BIN_BITS counts, whatever the input
-        total[row["block"] * BLOCK : (row["block"] + 1) * BLOCK] = np.frombuffer(row["sums"], np.uint64)
-    return np.packbits(total >= max(FREQUENT_AT_LEAST, FREQUENT_OVER_MEAN * float(total.mean())))
+    mean = (counted.agg(F.sum("total").alias("n")).first()["n"] or 0) / (1 << BIN_BITS)
+    least = mean + FREQUENT_DEVIATIONS * mean**0.5 + FREQUENT_AT_LEAST
+
+    def mark(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor()
+        for part in parts:
+            bits = [np.packbits(np.frombuffer(unpack.decompress(x), np.uint64) >= least, bitorder="little").tobytes() for x in part.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(bits, pa.binary())], names=["block", "bits"])
+
+    out = np.zeros(1 << BIN_BITS - 3, np.uint8)
+    for row in counted.select("block", "sums").mapInArrow(mark, "block int, bits binary").collect():  # 2**BIN_BITS bits, whatever the input
+        out[row["block"] * BLOCK // 8 : (row["block"] + 1) * BLOCK // 8] = np.frombuffer(row["bits"], np.uint8)
+    return out
+
+
+def in_bins(h: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    at = (h >> np.uint64(64 - BIN_BITS)).astype(np.int64)
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
 
 
 def signatures(docs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -190,11 +200,11 @@ def signatures(docs: DataFrame, n: int, percent: int) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(frequent_bins(docs, n))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, bounds = np.unpackbits(shared.value).astype(bool), [1, 2]
+        frequent, bounds = shared.value, [1, 2]
         for part in parts:
             for lo, hi, data, offsets in text_steps(part.column(1)):
                 h, first = shingle_sets(Words(fold_ascii(data), offsets), n)
-                often = frequent[(h >> np.uint64(64 - BIN_BITS)).astype(np.int64)]
+                often = in_bins(h, frequent)
                 keys, sketch = [], []
                 low, high = mix(h ^ _K[0]), mix(h ^ _K[1])
                 sums = [np.concatenate([[np.uint64(0)], np.cumsum(x)]) for x in (low, high)]
@@ -233,15 +243,18 @@ class Join:
         ids = materialize(ids.distinct(), "wanted")
         return self.docs.select("doc_id", "text").join(self.fits(ids), "doc_id", "left_semi").mapInArrow(run, f"doc_id {kind}, tokens binary")
 
-    def verified(self, pairs: DataFrame) -> DataFrame:
-        """Those of the pairs (a, b) that link."""
-        percent = self.percent
-        sizes = self.reps.select("doc_id", F.col("n_shingles").alias("n"), "sketch")
-        side = lambda c: sizes.select(F.col("doc_id").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}"))
-        least = F.ceil((F.col("n_a") + F.col("n_b")) * percent / (100 + percent))
+    def side(self, c: str) -> DataFrame:
+        return self.reps.select(F.col("doc_id").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}"))
+
+    def alike(self):
+        """Sizes and sketches of a and b allow a link."""
+        least = F.ceil((F.col("n_a") + F.col("n_b")) * self.percent / (100 + self.percent))
         apart = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-        near = pairs.join(side("a"), "a").join(side("b"), "b").where((least <= F.least("n_a", "n_b")) & (apart <= F.col("n_a") + F.col("n_b") - 2 * least))
-        near = materialize(near.select("a", "b"), "near")
+        return (least <= F.least("n_a", "n_b")) & (apart <= F.col("n_a") + F.col("n_b") - 2 * least)
+
+    def verified(self, near: DataFrame) -> DataFrame:
+        """Those of the written pairs (a, b) that link."""
+        percent = self.percent
         sets = materialize(self.sets(near.select(F.col("a").alias("doc_id")).unionByName(near.select(F.col("b").alias("doc_id")))), "sets")
         full = near.join(sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("y")), "b")
 
@@ -276,12 +289,13 @@ class Join:
                 pairs = members.where("doc_id > pivot")
                 if turn:
                     pairs = pairs.where("component <> pivot_component")
-                pairs = pairs.select(F.col("pivot").alias("a"), F.col("doc_id").alias("b"))
-            else:  # the rest, pair by pair
-                left = members.select("key", F.col("doc_id").alias("a"), F.col("component").alias("ca"))
-                right = members.select("key", F.col("doc_id").alias("b"), F.col("component").alias("cb"))
-                pairs = left.join(right, "key").where("a < b and ca <> cb").select("a", "b")
-            new = self.verified(materialize(pairs.distinct(), "pairs"))
+                pairs = pairs.select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct()
+                pairs = pairs.join(self.side("a"), "a").join(self.side("b"), "b").where(self.alike())
+            else:  # the rest, pair by pair; only pairs that may link leave the join
+                left = members.select("key", F.col("doc_id").alias("a"), F.col("component").alias("ca")).join(self.side("a"), "a")
+                right = members.select("key", F.col("doc_id").alias("b"), F.col("component").alias("cb")).join(self.side("b"), "b")
+                pairs = left.join(right, "key").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & self.alike())
+            new = self.verified(materialize(pairs.select("a", "b").distinct(), "near"))
             links = new if links is None else links.unionByName(new)
             found = materialize(components(links), "components")
         out = sig.select("doc_id", "n_shingles").join(copies.select("doc_id", "rep").distinct(), "doc_id", "left")
