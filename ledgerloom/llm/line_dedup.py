@@ -51,17 +51,18 @@ def places(edits: int) -> list[tuple[int, int, int]]:
     return out
 
 
-def keys(line: Column, edits: int) -> Column:
-    """array<struct<key, own>>; own: the key is one of the line's own segments."""
-    out, n = [], F.length(line)
-    for more, i, shift in places(edits):
-        size = n - more
-        start = F.floor(size * i / (edits + 1)).cast("int")
-        width = F.floor(size * (i + 1) / (edits + 1)).cast("int") - start
-        key = F.xxhash64(size, F.lit(i), F.substring(line, start + shift + 1, width))
-        fits = (start + shift >= 0) & (start + shift + width <= n) & (width > 0)
-        out.append(F.when(fits, F.struct(key.alias("key"), F.lit(more == 0 and shift == 0).alias("own"))))
-    return F.filter(F.array(*out), lambda x: x.isNotNull())
+def keyed(lines: DataFrame, edits: int) -> DataFrame:
+    """``lines`` (h, line) with a row for each key; own: the key is one of the
+    line's own segments. Lines are cut as four bytes a character, so a segment is
+    found without walking the text. The places are rows, not twelve expressions:
+    one small expression is compiled well, a huge one isn't compiled at all."""
+    at = F.explode(F.array(*[F.struct(F.lit(more).alias("more"), F.lit(i).alias("i"), F.lit(shift).alias("shift")) for more, i, shift in places(edits)]))
+    wide = lines.withColumn("wide", F.encode("line", "UTF-32")).withColumn("n", F.expr("octet_length(wide) div 4").cast("int"))
+    each = wide.select("h", "line", "wide", "n", at.alias("p")).select("h", "line", "wide", "n", "p.*")
+    each = each.withColumn("start", F.expr(f"int((n - more) * i div {edits + 1})")).withColumn("width", F.expr(f"int((n - more) * (i + 1) div {edits + 1})") - F.col("start"))
+    each = each.where("start + shift >= 0 and start + shift + width <= n and width > 0")
+    key = F.xxhash64(F.col("n") - F.col("more"), "i", F.expr("substring(wide, (start + shift) * 4 + 1, width * 4)"))
+    return each.select("h", "line", key.alias("key"), (F.expr("more = 0 and shift = 0")).alias("own"))
 
 
 def pair_sketch(line: Column) -> Column:
@@ -128,11 +129,10 @@ def edit_distance(a: Column, b: Column, edits: int) -> Column:
 def near_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """(a, b) hashes of different lines within ``edits`` edits, a < b."""
     lines = lines_of(docs, min_chars)
-    known = lines.select("h", F.explode(keys(F.col("line"), edits)).alias("k")).select("h", "k.key", "k.own")
-    shared = known.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi"), F.max("own").alias("own")).where("own and lo < hi").select("key")
+    shared = keyed(lines, edits).select("h", "key", "own").groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi"), F.max("own").alias("own")).where("own and lo < hi").select("key")
     shared = materialize(shared, "line_keys")
     wanted = F.broadcast(shared) if small_enough(shared, F.lit(24), broadcast_bytes) else shared
-    again = lines.select("h", "line", F.explode(keys(F.col("line"), edits)).alias("k")).select("h", "line", "k.key", "k.own").join(wanted, "key")
+    again = keyed(lines, edits).join(wanted, "key")
     found = materialize(again.groupBy("h", "key").agg(F.max("own").alias("own"), F.min("line").alias("line")), "line_members")
     texts = materialize(found.groupBy("h").agg(F.min("line").alias("line")).withColumn("sketch", pair_sketch(F.col("line"))), "line_texts")
     members = found.select("h", "key", "own").join(texts.select("h", "sketch"), "h")
