@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 # What a printed summary calls its fields.
 LABELS = {
-    "beginning": ("beginning balance", "opening balance", "previous balance", "starting balance"),
-    "ending": ("ending balance", "closing balance", "new balance"),
-    "deposits": ("total deposits", "deposits and credits", "total credits"),
-    "withdrawals": ("total withdrawals", "withdrawals and debits", "total debits"),
+    "beginning": ("prior statement balance", "beginning balance", "previous balance", "opening balance", "balance forward", "prior balance"),
+    "ending": ("ending statement balance", "ending balance", "new balance", "closing balance"),
+    "deposits": ("total deposits/credits", "deposits and credits", "deposits/credits", "total deposits", "deposits", "credits", "additions"),
+    "withdrawals": ("total checks/debits", "withdrawals and debits", "checks/debits", "total withdrawals", "withdrawals", "debits", "subtractions", "other debits", "checks"),
 }
 
 
@@ -34,6 +34,15 @@ def has_label(text: Column, field: str) -> Column:
     return found
 
 
+def names_side(text: Column, field: str) -> Column:
+    """A label anywhere in the text, blanks and case aside."""
+    found = None
+    for label in LABELS[field]:
+        hit = squash(text).contains(label.replace(" ", ""))
+        found = hit if found is None else found | hit
+    return found
+
+
 def last4(text: Column) -> Column:
     """Last digits of a masked account number, not part of a word."""
     found = F.regexp_extract(text, r"(?<![A-Za-z])[Xx*]{2,}-?(\d{4})(?!\d)", 1)

@@ -443,7 +443,7 @@ def masked_account(spark, sf):
 @query("""select o_orderkey, o_orderkey % 4 in (0, 1) as beginning, o_orderkey % 4 = 2 as deposits from orders""")
 def label_hits(spark, sf):
     kind = F.col("o_orderkey") % 4
-    line = F.when(kind == 0, "Beginning Balance 1.00").when(kind == 1, "your OPENINGBALANCE").when(kind == 2, "Total  deposits").otherwise("subtotal deposits")
+    line = F.when(kind == 0, "Beginning Balance 1.00").when(kind == 1, "your OPENINGBALANCE").when(kind == 2, "Total  deposits").otherwise("FROMDEPOSITSYSTEM")
     return table(spark, sf, "orders").select("o_orderkey", text.has_label(line, "beginning").alias("beginning"), text.has_label(line, "deposits").alias("deposits"))
 
 
