@@ -65,19 +65,26 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     return out
 
 
-def n_covered(spans: Column) -> Column:
-    """Words covered by an array of (at, len), sorted."""
-    return F.aggregate(
-        spans,
-        F.struct(F.lit(0).alias("n"), F.lit(0).alias("stop")),
-        lambda a, x: F.struct((a["n"] + F.greatest(F.lit(0), x["at"] + x["len"] - F.greatest(a["stop"], x["at"]))).alias("n"), F.greatest(a["stop"], x["at"] + x["len"]).alias("stop")),
-        lambda a: a["n"].cast("long"),
-    )
+def merged(spans: Column) -> Column:
+    """Sorted (at, len) with those that touch or overlap made one."""
+    kind = "array<struct<at:int,len:int>>"
+    span = lambda at, stop: F.struct(at.alias("at"), (stop - at).alias("len"))
+
+    def add(a: Column, x: Column) -> Column:
+        end = x["at"] + x["len"]
+        longer = F.struct(a["done"].alias("done"), a["at"].alias("at"), F.greatest(a["stop"], end).alias("stop"))
+        opened = F.struct(F.concat(a["done"], F.array(span(a["at"], a["stop"]))).alias("done"), x["at"].alias("at"), end.alias("stop"))
+        return F.when(x["at"] <= a["stop"], longer).otherwise(opened)
+
+    start = F.struct(F.array().cast(kind).alias("done"), F.lit(0).alias("at"), F.lit(0).alias("stop"))
+    all_ = F.aggregate(spans, start, add, lambda a: F.concat(a["done"], F.array(span(a["at"], a["stop"]))))
+    return F.filter(all_, lambda x: x["len"] > 0)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = SHARE, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """(doc_id, text), (item_id, text) -> doc_id, text_hash, n_words, n_hit,
-    items (ids of items with occurrences, sorted as strings), spans, contaminated
+    items (ids of items with occurrences, sorted as strings), spans (stretches of hit
+    words: first word, number), contaminated
     (some word is hit and ``share * n_hit >= n_words``).
 
     Null and blank texts have no words and are clean. Rows are known by their id
@@ -85,11 +92,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     row, which gets the same result. Empty tables give no hits.
     """
     hits = benchmark_hits(docs, benchmark, window, broadcast_bytes)
-    found = hits.groupBy(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), "text_hash").agg(F.sort_array(F.collect_set(F.struct("at", "len"))).alias("spans"), F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
+    found = hits.groupBy(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), "text_hash").agg(merged(F.sort_array(F.collect_set(F.struct("at", "len")))).alias("spans"), F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
     base = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), n_terms(F.col("text")).alias("n_words"))
     out = base.join(found, ["id", "text_hash"], "left")
     spans, items = F.coalesce("spans", F.array().cast("array<struct<at:int,len:int>>")), F.coalesce("items", F.array().cast("array<string>"))
-    out = out.select("doc_id", "text_hash", "n_words", n_covered(spans).alias("n_hit"), items.alias("items"), spans.alias("spans"))
+    out = out.select("doc_id", "text_hash", "n_words", F.aggregate(spans, F.lit(0), lambda n, x: n + x["len"]).cast("long").alias("n_hit"), items.alias("items"), spans.alias("spans"))
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * share >= F.col("n_words")))
 
 
