@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 # stand before, a sign, bracket or CR/DR after; the guards keep dates, longer
 # numbers and parts of words out.
 BODY = r"(?:\d{1,3}(?:,\d{3})+|\d+)\.\d{2}"
-TOKEN = rf"(?U)(?<![\w.,])(?:\(\$?{BODY}\)|-?\$?{BODY}(?:-|\s?(?:CR|DR)(?!\w))?(?!\d))"
+TOKEN = rf"(?U)(?<![\w.,])\(?-?\$?{BODY}\)?(?:-|\s?(?:CR|DR)(?!\w))?(?!\d)"
 WHOLE = rf"^(?:\(\$?{BODY}\)|-?\$?{BODY}(?:-|\s?(?:CR|DR))?)$"
 
 
@@ -34,7 +34,7 @@ def parse_money(text: Column) -> Column:
 def find_money(text: Column) -> Column:
     """array<struct<text, cents>> of the amounts in a text, in order. A bracket
     without its partner makes the amount no money."""
-    found = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
+    found = F.filter(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), lambda t: t.startswith("(") == t.contains(")"))
     return F.transform(found, lambda t: F.struct(t.alias("text"), signed_cents(t).alias("cents")))
 
 
