@@ -149,7 +149,7 @@ def removed_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHAR
     """doc_id, lines array<int> (numbers of the lines that go), n_near (of those,
     the ones with no equal line before). Documents that keep all have no row."""
     near = near_lines(docs, edits, min_chars, broadcast_bytes)
-    seen = lines_of(docs, min_chars).select("doc_id", "no", "h")
+    seen = materialize(lines_of(docs, min_chars).select("doc_id", "no", "h"), "line_places")
     firsts = materialize(seen.groupBy("h").agg(F.min(F.struct("doc_id", "no")).alias("first")), "line_firsts")
     ends = near.select(F.col("a").alias("h"), F.col("b").alias("other")).unionByName(near.select(F.col("b").alias("h"), F.col("a").alias("other")))
     before = ends.join(firsts.select(F.col("h").alias("other"), F.col("first").alias("theirs")), "other").groupBy("h").agg(F.min("theirs").alias("theirs"))
