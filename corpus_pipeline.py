@@ -36,7 +36,7 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated and nearly repeated lines go from the texts, n_chars follows. A
     document goes if its lines went and no word is left."""
-    out = line_dedup.dedup_lines(docs.select(*COLUMNS))
+    out = line_dedup.dedup_lines(docs.select(*COLUMNS), exact_chars=1)
     out = out.where((F.col("n_removed") == 0) | ~line_dedup.is_blank(F.col("text")))
     return out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 

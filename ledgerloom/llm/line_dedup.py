@@ -1,9 +1,10 @@
 """Near-duplicate lines by a segment-partition edit join, native.
 
-A line is a ``\\n``-split part of a text, stripped of outer white space; lines of
-fewer than ``min_chars`` characters are never removed. An occurrence goes if one
-before it, in order of (doc_id, line number), is equal or within ``edits`` edits
-(Levenshtein). Occurrences are judged on the input, not on what is left.
+A line is a ``\\n``-split part of a text, stripped of outer white space. An
+occurrence goes if one before it, in order of (doc_id, line number), is equal or
+within ``edits`` edits (Levenshtein). Edits are judged between lines of
+``min_chars`` characters or more, equality between lines of ``exact_chars`` or
+more; blank lines stay. Occurrences are judged on the input, not on what is left.
 
 1. Equal lines are one: their hash and first occurrence, aggregated map-side.
 2. A line is cut into ``edits + 1`` segments. After at most that many edits one
@@ -145,28 +146,33 @@ def near_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS,
     return materialize(full.where(distance <= edits).select("a", "b"), "near_lines")
 
 
-def removed_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def removed_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, broadcast_bytes: int = BROADCAST_BYTES, exact_chars: int | None = None) -> DataFrame:
     """doc_id, lines array<int> (numbers of the lines that go), n_near (of those,
     the ones with no equal line before). Documents that keep all have no row."""
     near = near_lines(docs, edits, min_chars, broadcast_bytes)
-    seen = materialize(lines_of(docs, min_chars).select("doc_id", "no", "h"), "line_places")
-    firsts = materialize(seen.groupBy("h").agg(F.min(F.struct("doc_id", "no")).alias("first")), "line_firsts")
+    least = min_chars if exact_chars is None else max(min(exact_chars, min_chars), 1)
+    seen = materialize(lines_of(docs, least).select("doc_id", "no", "h"), "line_places")
+    firsts = materialize(seen.groupBy("h").agg(F.min(F.struct("doc_id", "no")).alias("first"), F.count(F.lit(1)).alias("n")), "line_firsts")
     ends = near.select(F.col("a").alias("h"), F.col("b").alias("other")).unionByName(near.select(F.col("b").alias("h"), F.col("a").alias("other")))
     before = ends.join(firsts.select(F.col("h").alias("other"), F.col("first").alias("theirs")), "other").groupBy("h").agg(F.min("theirs").alias("theirs"))
-    state = firsts.join(before, "h", "left").select("h", "first", (F.coalesce(F.col("theirs") < F.col("first"), F.lit(False))).alias("near"))
+    state = firsts.join(before, "h", "left").select("h", "first", "n", (F.coalesce(F.col("theirs") < F.col("first"), F.lit(False))).alias("near"))
+    # Written, so that a hot line's places can be split over tasks by the next join.
+    state = materialize(state.where("n > 1 or near").select("h", "first", "near"), "line_state")
+    if small_enough(state, F.lit(48), broadcast_bytes):
+        state = F.broadcast(state)
     going = seen.join(state, "h").withColumn("again", F.struct("doc_id", "no") != F.col("first")).where("again or near")
     return materialize(going.groupBy("doc_id").agg(F.array_sort(F.collect_set("no")).alias("lines"), F.count_if(~F.col("again")).alias("n_near")), "going_lines")
 
 
-def dedup_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def dedup_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, broadcast_bytes: int = BROADCAST_BYTES, exact_chars: int | None = None) -> DataFrame:
     """All columns of ``docs`` with the text less its repeated lines, and n_lines,
-    n_removed, n_near.
+    n_removed, n_near. Without ``exact_chars`` equal lines count from ``min_chars``.
 
     A null text stays null and has no lines. An id names one document: repeated
     rows of an id must have one text and get one result each. A row without an
     id keeps its lines, which count for nobody. Empty tables stay empty.
     """
-    going = removed_lines(docs, edits, min_chars, broadcast_bytes).select(F.col("doc_id").alias("__id"), F.col("lines").alias("__lines"), F.col("n_near").alias("__near"))
+    going = removed_lines(docs, edits, min_chars, broadcast_bytes, exact_chars).select(F.col("doc_id").alias("__id"), F.col("lines").alias("__lines"), F.col("n_near").alias("__near"))
     if small_enough(going, F.lit(64) + F.size("__lines") * 4, broadcast_bytes):
         going = F.broadcast(going)
     joined = docs.join(going, F.col("doc_id") == F.col("__id"), "left")

@@ -209,6 +209,28 @@ def test_line_dedup_odd_rows(odd, none):
     assert line_dedup.dedup_lines(none).count() == 0
 
 
+@pytest.mark.parametrize("broadcast_bytes", [1 << 20, 0])
+def test_short_lines_repeat_exactly(spark, broadcast_bytes):
+    rows = [(1, "Les.\nAnd ornd.\n\n"), (2, " Les. \nLis.\n\na line of twenty characters"), (3, "And ornd.\nLes.\na line of twenty charactrs"), (4, "x\nx"), (None, "Les.")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.n_removed, r.n_near, r.text) for r in line_dedup.dedup_lines(docs, exact_chars=1, broadcast_bytes=broadcast_bytes).collect()}
+    assert got == {1: (0, 0, "Les.\nAnd ornd.\n\n"), 2: (1, 0, "Lis.\n\na line of twenty characters"), 3: (3, 1, ""), 4: (1, 0, "x"), None: (0, 0, "Les.")}
+
+
+def test_line_dedup_query_takes_short_lines(spark):
+    from ledgerloom.llm import queries
+
+    seen, gone = set(), {}
+    for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").orderBy("doc_id").collect():
+        for x in (r.text or "").split("\n"):
+            x = x.strip(" \t\n\x0b\f\r")
+            if x and x in seen:
+                gone[r.doc_id] = gone.get(r.doc_id, 0) + 1
+            seen.add(x)
+    for r in queries.op8_line_dedup(spark, "/root/testdata/sf0.001").collect():
+        assert r.n_removed - r.n_near == gone.get(r.doc_id, 0)
+
+
 # ------------------------------------------------------------------ rules (2)
 def test_quality_rules(odd, none):
     got = {r.doc_id: r for r in quality_rules.ledger(odd).collect()}
