@@ -35,11 +35,16 @@ LETTERS = 27
 LOOKALIKES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "<": "c", "£": "l", "€": "e", "*": "aeiou", "#": "aeiou", "%": "aeiou"}
 LOOK, KEEP_DOUBLE, UNDOUBLE, DROP, WILD = 0.7, 0.0, 1.2, 4.0, 1.5
 
-SET_APART = re.compile(r"(?<![^\s])[a-z0-9@$!](?:[ ._*-][a-z0-9@$!]){3,}(?![^\s.,;:!?])")
-MARKED = re.compile(r"(?<!\S)(?=[^a-z\s]*[a-z])(?=[a-z]*[0-9@$!|+(<£€*#%.\-_])[a-z0-9@$!|+(<£€*#%.\-_]{3,24}(?!\S)")
-HAS_MARK = re.compile(r"[a-z][0-9@$!|+(<£€*#%._\-]+[a-z]|(?<!\S)[0-9@$!|+(<£€]+[a-z]")
-REPEATED = re.compile(r"(?<!\S)[a-z]*([a-z])\1\1[a-z]*")
+SEPARATORS = r"[ \t._*/\\|~+,-]+"
+SET_APART = re.compile(rf"(?<![\w@$])(?<!\w['’])[a-z0-9@$!](?:{SEPARATORS}[a-z0-9@$!]){{3,}}(?![\w@$])")
+MARKED = re.compile(r"(?<![\w@$!|+(<£€*#%.\-])(?=[0-9@$!|+(<£€*#%.\-_]*[a-z])(?=[a-z]*[0-9@$!|+(<£€*#%.\-_])[a-z0-9@$!|+(<£€*#%.\-_]{3,}+(?!\w)")
+HAS_MARK = re.compile(r"[a-z][0-9@$|+<£€*#%]|[a-z][!(._\-]+[a-z]|(?<!\w)[0-9@$!|+(<£€]+[a-z]")
+REPEATED = re.compile(r"(?<!\w)[a-z]*([a-z])\1\1[a-z]*")
 HAS_REPEAT = re.compile(r"([a-z])\1\1")
+LONG_RUN = re.compile(r"(.)\1{3,}", re.S)
+CLOSING = {"(": ")", "<": ">"}
+AFTER = re.compile(r"[^\w\s]*")
+CACHED_CHARS = 60
 CACHE = 200_000
 
 
@@ -105,8 +110,9 @@ def lattice(word: str) -> list[list[tuple[str, float]]]:
 
 def decode(word: str, model: CharModel) -> str:
     """The best reading: over the stretches, the least-priced way to each pair of
-    last letters; a word starts and ends at an edge."""
-    price = model.table
+    last letters; a word starts and ends at an edge. What all ways share is said
+    once, so a long word costs no more than its length."""
+    price, shared = model.table, []
     states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
     for options in lattice(word):
         new: dict[tuple[int, int], tuple[float, str]] = {}
@@ -119,8 +125,12 @@ def decode(word: str, model: CharModel) -> str:
                     x, y = y, z
                 if (x, y) not in new or total < new[x, y][0]:
                     new[x, y] = (total, said + letters)
+        if len(new) == 1:
+            (end, (cost, said)), = new.items()
+            shared.append(said)
+            new = {end: (cost, "")}
         states = new
-    return min((cost + price[a][b][0], said) for (a, b), (cost, said) in states.items())[1]
+    return "".join(shared) + min((cost + price[a][b][0], said) for (a, b), (cost, said) in states.items())[1]
 
 
 class Restorer:
@@ -128,22 +138,31 @@ class Restorer:
         self.model, self.known = model, {}
 
     def word(self, m: re.Match) -> str:
-        seen = m[0].rstrip(".,;:!?")
-        tail = m[0][len(seen) :]
+        """A match's word restored; brackets around it and marks after it stay."""
+        core, after = m[0], AFTER.match(m.string, m.end())[0]
+        while core[:1] in CLOSING and CLOSING[core[0]] in after:
+            core = core[1:]
+        seen = core.rstrip(".,;:!?")
+        return m[0][: len(m[0]) - len(core)] + self.said(seen) + core[len(seen) :]
+
+    def said(self, seen: str) -> str:
+        short = LONG_RUN.sub(r"\1\1\1", seen)
         # Junk marks after a plain word stay as they are; so do numbers and codes.
-        if len(seen) > 60 or seen.isalpha() and not HAS_REPEAT.search(seen) or sum(c.isdigit() for c in seen) * 2 > len(seen) + 1 or re.fullmatch(r"[a-z]+[^a-z0-9]{2,}", seen):
-            return m[0]
-        if seen not in self.known:
+        if short.isalpha() and not HAS_REPEAT.search(short) or sum(c.isdigit() for c in short) * 2 > len(short) + 1 or re.fullmatch(r"[a-z]+[^a-z0-9]{2,}", short):
+            return seen
+        if len(short) > CACHED_CHARS:
+            return decode(short, self.model)
+        if short not in self.known:
             if len(self.known) >= CACHE:
                 self.known.clear()
-            self.known[seen] = decode(seen, self.model)
-        return self.known[seen] + tail
+            self.known[short] = decode(short, self.model)
+        return self.known[short]
 
     def text(self, text: str) -> str:
         """Lower-cased, disguised words restored."""
         text = text.lower()
         if SET_APART.search(text):
-            text = SET_APART.sub(lambda m: re.sub(r"(?<=.)[ ._*-](?=.)", "", m[0]), text)
+            text = SET_APART.sub(lambda m: re.sub(SEPARATORS, "", m[0]), text)
         if HAS_MARK.search(text):
             text = MARKED.sub(self.word, text)
         if HAS_REPEAT.search(text):

@@ -334,6 +334,20 @@ def test_restoring(spark):
         assert r.text(f"of {seen} the") == f"of {said} the", seen
 
 
+def test_restoring_beside_marks(spark):
+    text = " ".join(["the idiot is a pathetic loser and the moron is stupid trash", "what worthless scum they are said the clown"] * 50)
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    r = toxicity.Restorer(toxicity.CharModel(toxicity.letter_counts(docs)))
+    forms = {"l0ser": "loser", "w0rthl3ss": "worthless", "stuuupid": "stupid", "p@th3tic": "pathetic", "s t u p i d": "stupid", "s  t  u  p  i  d": "stupid", "s/t/u/p/i/d": "stupid", "s - t - u - p - i - d": "stupid"}
+    forms |= {"l" + "0" * 40 + "ser": "loser", "st" + "u" * 80 + "pid": "stupid", "m.o.r.o.n": "moron"}
+    for seen, said in forms.items():
+        for before, after in [("", ","), ("", ";"), ("", "?"), ("", ":"), ("", "."), ("", "!"), ('"', '"'), ("'", "'"), ("“", "”"), ("(", ")"), ("[", "],"), ('("', '")'), ("", "&&&"), ("", '."'), ("<", ">")]:
+            assert r.text(f"of {before}{seen}{after} the") == f"of {before}{said}{after} the", (before, seen, after)
+    assert r.text("l0ser's and \"$tupid\"") == "loser's and \"stupid\""
+    for plain in ("the, moron; (trash) \"scum\" clown&&& 1999, [12.5]", "don't say that"):
+        assert r.text(plain) == plain
+
+
 def test_held_out_quality(spark):
     from ledgerloom.llm import queries
 
