@@ -297,6 +297,19 @@ def test_secret_scan(spark, odd, none):
     assert all(r.spans == [] for r in secret_scan.scan_secrets(odd).collect()) and secret_scan.scan_secrets(none).count() == 0
 
 
+def test_encrypted_legacy_pem():
+    import base64
+
+    cipher = base64.b64encode(bytes(range(64))).decode()
+    for kind in ("RSA", "EC", "DSA"):
+        head, end = f"-----BEGIN {kind} PRIVATE KEY-----", f"-----END {kind} PRIVATE KEY-----"
+        block = f"{head}\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,{'0F' * 16}\n\n{cipher}\n{end}"
+        text = f"{head}\nlost\n{block} - and {block}"
+        assert [text[s:e] for k, s, e in secret_scan.confirmed(text) if k == "pem"] == [block, block]
+        assert secret_scan.confirmed(block.replace("ENCRYPTED", "CLEAR")) == [] and secret_scan.confirmed(block.replace(cipher, cipher[:-4])) == []
+    assert secret_scan.confirmed("-----BEGIN EC PRIVATE KEY-----\n" * 5000) == []
+
+
 # ------------------------------------------------------------------ tokens (10)
 def test_token_counts(odd, none, rng):
     import public_tokenizers
