@@ -10,7 +10,8 @@ if its structure holds:
   OPENSSH keys, the ``openssh-key-v1`` layout) or an encrypted legacy body.
 * ``der``  a base64 or hex run that decodes to one ASN.1 SEQUENCE whose nested
   lengths add up exactly and which holds an INTEGER, BIT STRING or OCTET STRING.
-* ``ssh``  a base64 run that starts with an SSH public key's length-prefixed
+  A run wrapped over lines is joined as far as its first bytes say.
+* ``ssh``  a base64 run, of one line or more, that starts with an SSH public key's length-prefixed
   algorithm name and whose length-prefixed fields fill it exactly.
 
 Each task reads its own rows once and keeps nothing between them; there is no
@@ -40,9 +41,14 @@ HINT = re.compile(r"[Pp][Aa][Ss][Ss][Ww]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][E
 
 JWT = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*(?![A-Za-z0-9_-])")
 PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{1,40})-----((?:[^-]|-(?!----BEGIN ))*?)-----END \1-----")
-LONG = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{32,}={0,2}")
+LONG = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{32,}={0,2}")
+#: First line of a wrapped key: how a SEQUENCE or an SSH name's length begins.
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])(?:M[A-P]|AAAA|30)[A-Za-z0-9+/_-]{6,}(?=[ \t]*\\?\r?\n)")
+NEXT_LINE = re.compile(r"[ \t]*\\?\r?\n[ \t]*([A-Za-z0-9+/_-]+)(={0,2})")
 ALL_HEX = re.compile(r"[0-9A-Fa-f]+")
 SSH_NAMES = (b"ssh-rsa", b"ssh-dss", b"ssh-ed25519", b"ecdsa-sha2-nistp256", b"ecdsa-sha2-nistp384", b"ecdsa-sha2-nistp521")
+#: Fields of a key by its name, the name among them.
+SSH_FIELDS = dict(zip((len(x).to_bytes(4, "big") + x for x in SSH_NAMES), (3, 5, 2, 3, 3, 3), strict=True))
 
 
 def decode64(text: str) -> bytes | None:
@@ -122,6 +128,61 @@ def is_pem(label: str, body: str) -> bool:
     return bool(data) and (data.startswith(b"openssh-key-v1\0") if label.startswith("OPENSSH") else is_der(data))
 
 
+def der_size(run: str) -> int:
+    """Bytes of the SEQUENCE that starts a base64 or hex run; 0 if none does."""
+    head = bytes.fromhex(run[: len(run[:12]) // 2 * 2]) if run.startswith("30") else decode64(run[:8])
+    more = head[1] & 0x7F if head[1] & 0x80 else 0
+    if more > 4 or more + 2 > len(head):
+        return 0
+    return 2 + more + (int.from_bytes(head[2 : 2 + more], "big") if more else head[1])
+
+
+def ssh_size(run: str) -> tuple[int, bool]:
+    """Bytes of the SSH key that starts a base64 run, as far as the run tells, and
+    whether that is all of it; 0 if none does."""
+    data = decode64(run[: len(run) // 4 * 4]) or b""
+    n = next((n for name, n in SSH_FIELDS.items() if name.startswith(data[: len(name)])), 0)
+    if not n:
+        return 0, False
+    at = 0
+    for _ in range(n):
+        if at + 4 > len(data):
+            return at + 4, False
+        at += 4 + int.from_bytes(data[at : at + 4], "big")
+    return at, True
+
+
+def wrapped(text: str) -> list[tuple[str, int, int]]:
+    """Keys that go on over line ends: runs of following lines are joined up to
+    the length that the header of the SEQUENCE or the SSH key's fields say."""
+    out, done = [], 0
+    for m in WRAPPED.finditer(text):
+        hexed, ssh = m[0].startswith("30"), m[0].startswith("AAAA")
+        if m.start() < done or hexed and not ALL_HEX.fullmatch(m[0]):
+            continue
+        lines, chars, end, line = [m[0]], len(m[0]), m.end(), None
+        size, whole = ssh_size(m[0]) if ssh else (der_size(m[0]), True)
+        while size:
+            need = 2 * size if hexed else -(-size * 8 // 6)
+            if whole and chars >= need or line and line[2] or m.start() + need > len(text):
+                break
+            line = NEXT_LINE.match(text, end)
+            if not line:
+                break
+            lines.append(line[1])
+            chars, end = chars + len(line[1]), line.end()
+            if not whole:
+                size, whole = ssh_size("".join(lines))
+        if not size or not whole or chars != need or len(lines) == 1:
+            continue
+        run = "".join(lines)
+        data = (bytes.fromhex(run) if ALL_HEX.fullmatch(run) else None) if hexed else decode64(run)
+        if data and (is_ssh_key(data) if ssh else is_der(data)):
+            out.append(("ssh" if ssh else "der", m.start(), end))
+            done = end
+    return out
+
+
 def confirmed(text: str) -> list[tuple[str, int, int]]:
     """Spans of the kinds that need a structure."""
     out = []
@@ -130,6 +191,9 @@ def confirmed(text: str) -> list[tuple[str, int, int]]:
     if "-----BEGIN " in text:
         out += [("pem", m.start(), m.end()) for m in PEM.finditer(text) if is_pem(m[1], m[2])]
     blocks = [(s, e) for k, s, e in out if k == "pem"]
+    joined = [x for x in wrapped(text) if not any(s <= x[1] < e for s, e in blocks)]
+    out += joined
+    blocks += [(s, e) for _, s, e in joined]
     for m in LONG.finditer(text):
         if any(s <= m.start() < e for s, e in blocks):
             continue

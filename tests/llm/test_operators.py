@@ -310,6 +310,29 @@ def test_encrypted_legacy_pem():
     assert secret_scan.confirmed("-----BEGIN EC PRIVATE KEY-----\n" * 5000) == []
 
 
+def test_assigned_and_wrapped_keys():
+    import base64
+    import textwrap
+
+    def der(n):
+        body = b"\x02\x01\x00\x04\x82" + n.to_bytes(2, "big") + bytes(i * 7 % 256 for i in range(n))
+        return b"\x30\x82" + len(body).to_bytes(2, "big") + body
+
+    ssh = b"\0\0\0\x07ssh-rsa\0\0\0\x03\1\0\1\0\0\1\1" + b"\x07" * 257
+    for data, kind in ((der(300), "der"), (der(301), "der"), (der(302), "der"), (ssh, "ssh")):
+        for key in (base64.b64encode(data).decode(), data.hex()) if kind == "der" else (base64.b64encode(data).decode(),):
+            for before in ("KEY=", "private_key=", "--key=", "?a=b&key=", "KEY: ", 'KEY="', "x" * 40 + "="):
+                text = f"é {before}{key} y"
+                assert [(k, text[s:e]) for k, s, e in secret_scan.confirmed(text)] == [(kind, key)], before
+            for width in (64, 76):
+                for glue in ("\n", "\r\n", "\n  ", " \\\n"):
+                    lines = glue.join(textwrap.wrap(key, width))
+                    for text in (f"KEY={lines}\nthe end of it", f"a key\n{lines}\n{lines}\n", lines):
+                        found = [(k, text[s:e]) for k, s, e in secret_scan.confirmed(text)]
+                        assert found and set(found) == {(kind, lines)} and len(found) == text.count(lines), (width, glue)
+    assert secret_scan.confirmed("\n".join(["MIIB" + "A" * 60] * 3000)) == [] and secret_scan.confirmed("MIIB" + "A" * 60 + "\n" + "A" * 9) == []
+
+
 # ------------------------------------------------------------------ tokens (10)
 def test_token_counts(odd, none, rng):
     import public_tokenizers
