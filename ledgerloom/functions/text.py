@@ -47,3 +47,19 @@ def last4(text: Column) -> Column:
     """Last digits of a masked account number, not part of a word."""
     found = F.regexp_extract(text, r"(?<![A-Za-z])[Xx*]{2,}-?(\d{4})(?!\d)", 1)
     return F.when(found != "", found)
+
+
+def masked_last4(text: Column) -> Column:
+    """As ``last4``, and behind spaced masks or a single mask character."""
+    found = F.coalesce(*[F.nullif(F.regexp_extract(text, p, 1), F.lit("")) for p in (r"(?<![A-Za-z0-9])(?:[*xX×]\s*){2,}(\d{4})(?!\d)", r"(?<![A-Za-z0-9])[*xX×](\d{4})(?!\d)")])
+    return F.coalesce(last4(text), found)
+
+
+def labelled_last4(text: Column) -> Column:
+    """Off a line that says "account": its last group of four digits that is no
+    year of a date, else the end of its longest run of five digits or more."""
+    groups = F.regexp_extract_all(text, F.lit(r"(?<![/\-.])\b(\d{4})\b(?![/\-.]\d)"), F.lit(1))
+    runs = F.regexp_extract_all(text, F.lit(r"(\d{5,})"), F.lit(1))
+    longest = F.aggregate(runs, F.lit(""), lambda best, x: F.when(F.length(x) > F.length(best), x).otherwise(best))
+    found = F.when(F.size(groups) > 0, F.element_at(groups, -1)).when(longest != "", F.right(longest, F.lit(4)))
+    return F.when(squash(text).contains("account"), found)

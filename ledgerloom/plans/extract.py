@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.dates import SENTINEL_YEAR, parse_date, with_year
 from ledgerloom.functions.money import find_money, parse_money
-from ledgerloom.functions.text import has_label, last4, names_side, squash
+from ledgerloom.functions.text import has_label, labelled_last4, masked_last4, names_side, squash
 from ledgerloom.operators import diagnose, geometry, reconcile, rows
 from ledgerloom.sources.shared import written
 
@@ -27,6 +27,7 @@ MAX_DATE_WORDS = 4
 CANDIDATES = 3
 MIN_ROWS = 3
 MIN_BALANCE_PAIRS = 2
+PERIOD_LABELS = r"(?i)statement period|statement date|for the period|period covered"
 DATE_LIKE = r"\d{1,2}/\d{1,2}/\d{2,4}|\d{4}-\d{2}-\d{2}|[A-Za-z]{3,9} \d{1,2},? \d{4}|\d{1,2} [A-Za-z]{3,9} \d{4}"
 
 
@@ -48,12 +49,22 @@ def stated_dates(text: Column) -> Column:
 
 
 def page_anchors(lines: DataFrame) -> DataFrame:
-    """What a page says about the statement it belongs to, off its dated lines."""
+    """What a page says about the statement it belongs to, off its undated lines.
+    An account number behind a mask goes before one of an account line. A period
+    is two dates of one line; else the one date of a period label is its end, and
+    dates beside the beginning and ending balance fill what is missing."""
     says = F.when(~F.col("dated"), F.col("text"))
     dates = F.when(says.rlike(r"(?i)period|statement|through"), stated_dates(says))
     two = F.when(F.size(dates) >= 2, F.struct(F.get(dates, 0).alias("start"), F.get(dates, 1).alias("end")))
+    one = F.when(says.rlike(PERIOD_LABELS), F.get(stated_dates(says), 0))
+    beside = lambda field: F.when(names_side(says, field), F.get(stated_dates(says), 0))
     opens = ~F.col("dated") & has_label(F.col("text"), "beginning") & (F.size("money") > 0)
-    return lines.groupBy("doc_id", "page").agg(F.bool_or(opens).alias("beginning"), F.min_by(last4(says), F.when(last4(says).isNotNull(), F.col("line_no"))).alias("last4"), F.min_by(two, F.when(two.isNotNull(), F.col("line_no"))).alias("cycle"))
+    first = lambda x: F.min_by(x, F.when(x.isNotNull(), F.col("line_no")))
+    closes = F.when(~names_side(says, "beginning"), beside("ending"))
+    found = lines.groupBy("doc_id", "page").agg(F.bool_or(opens).alias("beginning"), first(masked_last4(says)).alias("masked"), first(labelled_last4(says)).alias("labelled"), first(two).alias("two"), first(one).alias("one"), first(beside("beginning")).alias("from"), first(closes).alias("to"))
+    start, end = F.col("from"), F.coalesce("one", "to")
+    cycle = F.coalesce("two", F.when(start.isNotNull() | end.isNotNull(), F.struct(start.alias("start"), end.alias("end"))))
+    return found.select("doc_id", "page", "beginning", F.coalesce("masked", "labelled").alias("last4"), cycle.alias("cycle"))
 
 
 def periods(anchors: DataFrame) -> DataFrame:
@@ -187,7 +198,7 @@ def extract(words: DataFrame) -> dict[str, DataFrame]:
     facts = written(line_facts(words), "facts")
     pages = written(periods(page_anchors(facts)), "pages")
     lines = written(facts.join(pages.select("doc_id", "page", "period"), ["doc_id", "page"]), "placed")
-    cycles = pages.groupBy(*PERIOD).agg(F.min_by("cycle", F.when(F.col("cycle").isNotNull(), F.col("page"))).alias("cycle"), F.min_by("last4", F.when(F.col("last4").isNotNull(), F.col("page"))).alias("last4"))
+    cycles = pages.groupBy(*PERIOD).agg(F.min_by("cycle", F.when(F.col("cycle").isNotNull(), F.struct(F.col("cycle.start").isNull() | F.col("cycle.end").isNull(), "page"))).alias("cycle"), F.min_by("last4", F.when(F.col("last4").isNotNull(), F.col("page"))).alias("last4"))
     cycles = cycles.select(*PERIOD, F.col("cycle.start").alias("start"), F.col("cycle.end").alias("end"), "last4")
     figures = written(printed_figures(lines), "figures")
     profiles = written(layouts(lines), "layouts")

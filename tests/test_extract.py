@@ -115,5 +115,30 @@ def test_binder_has_two_periods(results):
     assert len(whole.periods) == 2 and [len(p.transactions) for p in whole.periods] == [14, 14]
 
 
+def test_page_anchors(spark):
+    from pyspark.sql import functions as F
+
+    from ledgerloom.functions.money import find_money
+    from ledgerloom.plans.extract import page_anchors, periods
+
+    pages = {
+        1: (["Account number: x x x x 6426"], ("6426", None, None)),
+        2: (["Account 0012345678", "Acct *6427"], ("6427", None, None)),
+        3: (["Account 1234 5678 9012 since 04/01/2025"], ("9012", None, None)),
+        4: (["Routing 99999", "Account 12345 0012345678"], ("5678", None, None)),
+        5: (["Statement date 04/30/2025", "Beginning balance as of 04/01/2025 10.00", "Ending balance as of 04/29/2025 12.00"], (None, "2025-04-01", "2025-04-30")),
+        6: (["Statement period 05/01/2025 through 05/31/2025", "Beginning balance as of 04/30/2025"], (None, "2025-05-01", "2025-05-31")),
+        7: (["Previous balance 06/01/2025 1.00", "New balance 06/30/2025 2.00"], (None, "2025-06-01", "2025-06-30")),
+        8: (["Nothing here"], (None, None, None)),
+    }
+    rows = [("d", p, i, t, False) for p, (texts, _) in pages.items() for i, t in enumerate(texts)]
+    rows += [("n", p, 0, f"Account 12345{p}", False) for p in (1, 2)]
+    lines = spark.createDataFrame(rows, "doc_id string, page int, line_no int, text string, dated boolean").withColumn("money", find_money(F.col("text")))
+    anchors = page_anchors(lines)
+    got = {r.page: (r.last4, *(r.cycle and (r.cycle.start and str(r.cycle.start), r.cycle.end and str(r.cycle.end)) or (None, None))) for r in anchors.where("doc_id = 'd'").collect()}
+    assert got == {p: x for p, (_, x) in pages.items()}
+    assert [r.period for r in periods(anchors.where("doc_id = 'n'")).orderBy("page").collect()] == [0, 1]
+
+
 def test_no_words(spark):
     assert all(v.count() == 0 for v in extract(spark.createDataFrame([], WORDS)).values())
