@@ -25,12 +25,12 @@ def _chosen(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents predicted toxic go; all others stay. Learns from the labels that
-    aren't held out."""
+    """Rows predicted toxic go, each by its own text, with or without an id; all
+    others stay. Learns from the labels that aren't held out."""
     batches(spark)
     labels = table(spark, sf_dir, "labels").where(toxicity.remainder(F.col("doc_id")) != 2)
-    scores = materialize(toxicity.toxicity_scores(docs.select(*COLUMNS), labels).where("predicted = 1").select("doc_id"), "toxic")
-    return _chosen(docs, scores.distinct(), "left_anti").select(*COLUMNS)
+    scored = toxicity.toxicity_scores(docs.select(*COLUMNS), labels, keep=tuple(COLUMNS[1:]))
+    return scored.where("predicted = 0").select(*COLUMNS)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

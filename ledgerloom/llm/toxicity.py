@@ -282,14 +282,17 @@ def remainder(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 4
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, text), (doc_id, toxic) -> doc_id, score (0 to 1), predicted.
+def toxicity_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, text), (doc_id, toxic) -> doc_id, score (0 to 1), predicted, and
+    the columns ``keep`` of the row that was scored.
 
     A null or blank text has the score of a text without any telling word.
     Repeated rows are scored each; without labels all scores are low; an empty
     table gives an empty result.
     """
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    read = ["doc_id", "text", *(c for c in keep if c != "text")]
+    kept = [read.index(c) for c in keep]
+    kinds = {c: docs.schema[c].dataType.simpleString() for c in read}
     restorer = Restorer(CharModel(letter_counts(docs)))
     shared = docs.sparkSession.sparkContext.broadcast((restorer.model, fit(docs, labels, restorer, sample)))
 
@@ -299,6 +302,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, th
         for part in parts:
             for lo, hi, data, offsets in restored_steps(part.column(1), mine):
                 score = held.of(*features(data, offsets), hi - lo)
-                yield pa.RecordBatch.from_arrays([part.column(0).slice(lo, hi - lo), pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=["doc_id", "score", "predicted"])
+                same = [part.column(k).slice(lo, hi - lo) for k in (0, *kept)]
+                yield pa.RecordBatch.from_arrays([same[0], pa.array(score), pa.array((score >= threshold).astype(np.int32)), *same[1:]], names=["doc_id", "score", "predicted", *keep])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double, predicted int")
+    return docs.select(*read).mapInArrow(run, ", ".join([f"doc_id {kinds['doc_id']}, score double, predicted int", *(f"`{c}` {kinds[c]}" for c in keep)]))
