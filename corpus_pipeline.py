@@ -57,11 +57,10 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with the words the mix takes of them (``taken``; repeats counted),
-    in mixing order; those of which it takes none go. Rows of one id share the
-    larger share of theirs."""
-    docs = docs.select(*COLUMNS)
-    plan = mixing.mix_sources(docs).where("taken > 0").groupBy(F.col("doc_id").alias("planned")).agg(F.max("taken").alias("taken"), F.min("virtual_finish").alias("virtual_finish"))
-    return docs.join(plan, F.col("doc_id").eqNullSafe(F.col("planned"))).drop("planned").orderBy("virtual_finish", "doc_id")
+    in mixing order; those of which it takes none go. Each row has its own share,
+    also where an id is repeated."""
+    plan = mixing.mix_sources(docs.select(*COLUMNS), keep=tuple(COLUMNS[1:])).where("taken > 0")
+    return plan.select(*COLUMNS, "taken", "virtual_finish").orderBy("virtual_finish", "doc_id")
 
 
 STAGES = [("toxicity", toxic), ("line_dedup", lines), ("near_duplicates", near_duplicates), ("decontamination", decontaminated), ("mixing", mixed)]

@@ -56,17 +56,18 @@ def shuffle_hash(doc_id: Column) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), 1, 15), 16, 10).cast("long")
 
 
-def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, epochs: int = EPOCHS, buckets: int = BUCKETS) -> DataFrame:
+def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, epochs: int = EPOCHS, buckets: int = BUCKETS, keep: tuple[str, ...] = ()) -> DataFrame:
     """Schedules documents (doc_id, text, source).
 
     Returns doc_id, size, source_size, target, taken, virtual_finish (of the
-    last word taken; null where none is), in order of virtual time. A null or
+    last word taken; null where none is) and the columns ``keep`` of the same
+    row, in order of virtual time. A null or
     blank text has size 0 and is taken 0 times; a null source is a source of
     its own; rows with equal ids follow each other in order of size; an empty
     table gives an empty result.
     """
     shift = (1 << 60) // buckets
-    sized = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), shuffle_hash(F.col("doc_id")).alias("place"))
+    sized = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), shuffle_hash(F.col("doc_id")).alias("place"), *([F.struct(*keep).alias("kept")] if keep else []))
     sized = sized.withColumn("bucket", F.floor(F.col("place") / F.lit(shift)).cast("int")).withColumn("no_source", F.col("source").isNull()).withColumn("source", F.coalesce("source", F.lit("")))
     keys = ["no_source", "source"]
     sums = sized.groupBy(*keys, "bucket").agg(F.sum("size").alias("words"))
@@ -75,7 +76,7 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, epochs:
     by_source = sums.groupBy(*keys).agg(F.sum("words").alias("source_size")).withColumn("source", F.when(F.col("no_source"), F.lit(None)).otherwise(F.col("source")))
     targets = source_targets(by_source, weights, share, epochs).withColumn("no_source", F.col("source").isNull()).withColumn("source", F.coalesce("source", F.lit("")))
     places = starts.join(targets, keys).select(*keys, "bucket", "start", "source_size", "target")
-    inner = Window.partitionBy(*keys, "bucket").orderBy("place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    inner = Window.partitionBy(*keys, "bucket").orderBy("place", "doc_id", "size", *([F.xxhash64("kept")] if keep else [])).rowsBetween(Window.unboundedPreceding, 0)
     queued = sized.withColumn("upto", F.sum("size").over(inner)).join(places, [*keys, "bucket"])
     queued = queued.withColumn("before", F.col("start") + F.col("upto") - F.col("size"))
     quota = F.floor(F.col("target")).cast("long")
@@ -84,4 +85,4 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, epochs:
     full = F.least(F.lit(epochs - 1), F.floor(F.try_divide(F.col("taken") - 1, F.col("size")))).cast("long")
     last = F.when(F.col("taken") > 0, (full * F.col("source_size") + F.col("before") + F.col("taken") - full * F.col("size")) / F.col("target"))
     out = queued.withColumn("taken", taken).withColumn("virtual_finish", last)
-    return out.select("doc_id", "size", "source_size", "target", "taken", "virtual_finish").orderBy(F.col("virtual_finish").asc_nulls_last(), "doc_id")
+    return out.select("doc_id", "size", "source_size", "target", "taken", "virtual_finish", *(F.col("kept")[c].alias(c) for c in keep)).orderBy(F.col("virtual_finish").asc_nulls_last(), "doc_id")

@@ -47,3 +47,14 @@ def test_toxic_rows_go_by_row(spark, monkeypatch):
     got = corpus_pipeline.toxic(spark, docs, SF)
     assert got.columns == corpus_pipeline.COLUMNS
     assert sorted(map(tuple, got.collect()), key=repr) == sorted((r for r in rows if "moron" not in (r[1] or "")), key=repr)
+
+
+def test_mixed_rows_have_their_own_share(spark):
+    import corpus_pipeline
+
+    rows = [(i % 40 if i % 7 else None, "w " * (i % 23), "en", "abc"[i * i % 3], i) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = corpus_pipeline.mixed(spark, docs, SF).collect()
+    size = {i: len(t.split()) for _, t, _, _, i in rows}
+    assert all(0 < r.taken <= 2 * size[r.n_chars] and (r.doc_id, r.text, r.lang, r.source, r.n_chars) == rows[r.n_chars] for r in got)
+    assert len({r.n_chars for r in got}) == len(got) and abs(sum(r.taken for r in got) - 1.5 * sum(size.values())) <= 3
