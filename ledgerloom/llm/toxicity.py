@@ -7,10 +7,12 @@
    strings, each at a price. Viterbi finds the reading of least price plus
    surprise under the language model. Only words that look disguised are
    decoded; readings are kept in a bounded cache.
-3. Score. Hashed words and word beginnings of the restored text, those that tell
-   toxic from other documents, in a logistic model fitted on at most ``sample``
-   labelled rows (a documented bound). Labels, language, source and id are no
-   inputs of a score.
+3. Score. Hashed words and word beginnings of the restored text, how often they
+   occur and what share they make up, those that tell toxic from other documents,
+   in a logistic model fitted on at most ``sample`` labelled rows (a documented
+   bound). Features are 2**(BITS + LEVEL_BITS) at most, of which the executors
+   choose those with a likelihood ratio over ``LEAST_GAIN``; the driver holds the
+   chosen ones only. Labels, language, source and id are no inputs of a score.
 """
 
 from __future__ import annotations
@@ -23,11 +25,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import Words, mix, text_steps
+from ledgerloom.llm.common import Words, materialize, mix, text_steps
 from ledgerloom.llm.quality_model import sigmoid
 
 SAMPLE = 8000
 THRESHOLD = 0.3
+LEAST_GAIN = 6.0
+ROUNDS = 400
 BITS = 22
 LETTERS = 27
 
@@ -174,36 +178,52 @@ _LETTER = np.zeros(256, bool)
 _LETTER[97:123] = True
 _LETTER[128:] = True
 PREFIXES = (4, 5, 6, 7)
+#: A feature is a bin at a level. Level 0: it occurs; the next: so many times at
+#: least; the last: that it makes up one of so many words at least, where it occurs
+#: twice or more.
+TIMES, SHARES = (2, 3, 6), (200, 100, 40)
+LEVEL_BITS = 3
 
 
-def features(data: np.ndarray, offsets: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (document, bin), sorted: words without outer marks, and their
-    first 4 to 7 bytes where they are longer."""
+def cores(data: np.ndarray, offsets: np.ndarray) -> Words:
+    """Words from their first letter to their last; those without one are none."""
     w = Words(data, offsets)
-    start, end = w.start.copy(), w.end.copy()
-    for _ in range(4):
-        trim = (start < end) & ~_LETTER[data[np.minimum(start, len(data) - 1)]] if len(data) else np.zeros(0, bool)
-        start[trim] += 1
-        trim = (start < end) & ~_LETTER[data[end - 1]] if len(data) else trim
-        end[trim] -= 1
-    size = end - start
-    h = np.zeros(len(start), np.uint64)
-    docs, names = [], []
-    longest = 16
-    for j in range(longest):
-        at = np.flatnonzero(size > j)
-        h[at] = mix(h[at] * np.uint64(0x9E3779B97F4A7C15) + data[start[at] + j].astype(np.uint64))
-        done = at[size[at] == j + 1] if j + 1 < longest else at
-        if j + 1 >= 3:
-            docs.append(w.doc[done])
-            names.append(mix(h[done] ^ np.uint64(0xF00D)))
+    letters = np.append(np.flatnonzero(_LETTER[data]), len(data))
+    start = letters[np.searchsorted(letters, w.start)]
+    end = letters[np.searchsorted(letters, w.end) - 1] + 1
+    some = start < w.end
+    edge = np.zeros(len(data) + 1, np.int8)
+    edge[start[some]] = 1
+    edge[end[some]] -= 1
+    return Words(np.where(np.cumsum(edge[:-1], dtype=np.int8) > 0, data, np.uint8(32)), offsets)
+
+
+def features(data: np.ndarray, offsets: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (document, feature), sorted: words without outer marks, and the
+    first 4 to 7 bytes of longer ones, hashed to 2**bits bins, at every level
+    they reach."""
+    w = cores(data, offsets)
+    size = w.end - w.start
+    docs, names = [w.doc[size >= 3]], [mix(w.hash[size >= 3] ^ np.uint64(0xF00D))]
+    at, h = np.flatnonzero(size > PREFIXES[0]), None
+    for j in range(PREFIXES[-1]):
+        if j >= PREFIXES[0]:
+            longer = size[at] > j + 1
+            at, h = at[longer], h[longer]
+        byte = w.data[w.start[at] + j].astype(np.uint64)
+        h = mix((np.uint64(0) if h is None else h * np.uint64(0x9E3779B97F4A7C15)) + byte)
         if j + 1 in PREFIXES:
-            more = at[size[at] > j + 1]
-            docs.append(w.doc[more])
-            names.append(mix(h[more] ^ np.uint64(j + 1)))
+            docs.append(w.doc[at])
+            names.append(mix(h ^ np.uint64(j + 1)))
     doc, name = np.concatenate(docs), np.concatenate(names) >> np.uint64(64 - bits)
-    pair = np.unique((doc.astype(np.uint64) << np.uint64(bits)) | name)
-    return (pair >> np.uint64(bits)).astype(np.int64), (pair & np.uint64((1 << bits) - 1)).astype(np.int64)
+    pair, count = np.unique((doc.astype(np.uint64) << np.uint64(bits)) | name, return_counts=True)
+    words = w.count[(pair >> np.uint64(bits)).astype(np.int64)]
+    reached = [pair << np.uint64(LEVEL_BITS)]
+    for level, holds in enumerate([*(count >= n for n in TIMES), *((count >= 2) & (count * n >= words) for n in SHARES)], 1):
+        reached.append((pair[holds] << np.uint64(LEVEL_BITS)) | np.uint64(level))
+    out = np.sort(np.concatenate(reached))
+    bits += LEVEL_BITS
+    return (out >> np.uint64(bits)).astype(np.int64), (out & np.uint64((1 << bits) - 1)).astype(np.int64)
 
 
 def restored_steps(texts: pa.Array, restorer: Restorer):
@@ -217,65 +237,103 @@ def restored_steps(texts: pa.Array, restorer: Restorer):
 
 
 class Score:
-    """Selected bins (sorted), their weights, a bias."""
+    """Selected features (sorted), their weights, a bias."""
 
-    def __init__(self, bins: np.ndarray, weights: np.ndarray, bias: float):
-        self.bins, self.weights, self.bias = bins, weights, bias
+    def __init__(self, chosen: np.ndarray, weights: np.ndarray, bias: float):
+        self.chosen, self.weights, self.bias = chosen, weights, bias
 
-    def of(self, doc: np.ndarray, bin_: np.ndarray, n: int) -> np.ndarray:
-        if not len(self.bins):
-            return np.full(n, sigmoid(np.array([self.bias]))[0])
-        at = np.minimum(np.searchsorted(self.bins, bin_), len(self.bins) - 1)
-        hit = self.bins[at] == bin_
-        return sigmoid(self.bias + np.bincount(doc[hit], self.weights[at[hit]], n))
+    def of(self, doc: np.ndarray, feature: np.ndarray, n: int) -> np.ndarray:
+        hit, at = places(self.chosen, feature)
+        return sigmoid(self.bias + np.bincount(doc[hit], self.weights[at], n))
 
     @classmethod
-    def fit(cls, row: np.ndarray, bin_: np.ndarray, toxic: np.ndarray, most: int = 4000, rounds: int = 400) -> Score:
-        """Bins that are much more frequent in toxic rows, at most ``most`` by
-        likelihood ratio; logistic weights on these, none below 0."""
+    def fit(cls, chosen: np.ndarray, row: np.ndarray, place: np.ndarray, toxic: np.ndarray, rounds: int = ROUNDS) -> Score:
+        """Logistic weights, none below 0, of ``place`` (in ``chosen``) by row. Half
+        of the occurrences are left out at random in each round, so each feature
+        learns to tell without the others; the seed is fixed."""
         n, pos = len(toxic), int(toxic.sum())
         if not n or not pos or pos == n:
             return cls(np.empty(0, np.int64), np.empty(0), -3.0 if not pos else 3.0)
-        bins, at = np.unique(bin_, return_inverse=True)
-        both = np.bincount(at, minlength=len(bins)).astype(float)
-        a = np.bincount(at, toxic[row], len(bins))
-        b = both - a
-        rate = pos / n
-        fit_rate = (a + 0.5 * rate) / (both + 0.5)
-        gain = 2 * (a * np.log(np.maximum(fit_rate, 1e-9) / rate) + b * np.log(np.maximum(1 - fit_rate, 1e-9) / (1 - rate)))
-        good = np.flatnonzero((a >= 2) & (fit_rate > max(0.5, 2 * rate)) & (gain > 6))
-        good = np.sort(good[np.argsort(-gain[good], kind="stable")[:most]])
-        place = np.full(len(bins), -1)
-        place[good] = np.arange(len(good))
-        keep = place[at] >= 0
-        r, c = row[keep], place[at[keep]]
-        w, bias = np.zeros(len(good)), np.log(rate / (1 - rate))
-        m, v = np.zeros(len(good) + 1), np.zeros(len(good) + 1)
+        w, bias = np.zeros(len(chosen)), np.log(pos / (n - pos))
+        m, v = np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1)
+        draw = np.random.default_rng(1)
         for turn in range(1, rounds + 1):
-            p = sigmoid(bias + np.bincount(r, w[c], n)) - toxic
-            g = np.append(np.bincount(c, p[r], len(good)) / n + 2e-4 * w, p.mean())
+            some = draw.random(len(row)) < 0.5
+            r, c = row[some], place[some]
+            p = sigmoid(bias + 2 * np.bincount(r, w[c], n)) - toxic
+            g = np.append(2 * np.bincount(c, p[r], len(chosen)) / n + 2e-5 * w, p.mean())
             m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
             step = 0.05 * (m / (1 - 0.9**turn)) / (np.sqrt(v / (1 - 0.999**turn)) + 1e-8)
             w, bias = np.maximum(w - step[:-1], 0), bias - step[-1]
-        return cls(bins[good], w, float(bias))
+        return cls(chosen, w, float(bias))
 
 
-def fit(docs: DataFrame, labels: DataFrame, restorer: Restorer, sample: int = SAMPLE) -> Score:
-    """``labels``: doc_id, toxic 0/1, of rows that may be learnt from."""
+def places(chosen: np.ndarray, feature: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of ``feature`` are chosen, and where."""
+    if not len(chosen):
+        return np.zeros(len(feature), bool), np.empty(0, np.int64)
+    at = np.minimum(np.searchsorted(chosen, feature), len(chosen) - 1)
+    hit = chosen[at] == feature
+    return hit, at[hit]
+
+
+def sample_features(docs: DataFrame, labels: DataFrame, restorer: Restorer, sample: int) -> DataFrame:
+    """toxic, features (binary) of at most ``sample`` labelled rows, written."""
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(sample)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             for lo, hi, data, offsets in restored_steps(part.column(0), restorer):
-                doc, bin_ = features(data, offsets)
+                doc, feature = features(data, offsets)
                 cut = np.searchsorted(doc, np.arange(hi - lo + 1))
-                yield pa.RecordBatch.from_arrays([part.column(1).slice(lo, hi - lo), pa.array([bin_[a:b].astype(np.int32).tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], names=["toxic", "bins"])
+                yield pa.RecordBatch.from_arrays([part.column(1).slice(lo, hi - lo), pa.array([feature[a:b].astype(np.int32).tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], names=["toxic", "features"])
+
+    return materialize(docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", "toxic").mapInArrow(run, "toxic int, features binary"), "toxic_sample")
+
 
-    found = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", "toxic").mapInArrow(run, "toxic int, bins binary").collect()
-    bins = [np.frombuffer(r["bins"], np.int32) for r in found]
-    row = np.repeat(np.arange(len(found)), [len(x) for x in bins])
-    return Score.fit(row, np.concatenate(bins).astype(np.int64) if bins else np.empty(0, np.int64), np.array([r["toxic"] for r in found], float))
+def telling(rows: DataFrame, n: int, pos: int) -> np.ndarray:
+    """Features that are much more frequent in toxic rows, by likelihood ratio.
+    They are counted on executors (added up in each batch, then by a shuffle);
+    only those that are chosen come back, 2**(BITS + LEVEL_BITS) whatever the input."""
+
+    def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            sizes = np.diff(np.frombuffer(part.column(1).buffers()[1], np.int32)[part.column(1).offset :][: len(part) + 1]) // 4
+            toxic = np.repeat(part.column(0).to_numpy(), sizes)
+            feature = np.concatenate([np.frombuffer(x.as_buffer(), np.int32) for x in part.column(1)])
+            for lo in range(0, len(feature), 1 << 20):
+                names, at = np.unique(feature[lo : lo + (1 << 20)], return_inverse=True)
+                both, toxic_ = np.bincount(at), np.bincount(at, toxic[lo : lo + (1 << 20)])
+                yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(both), pa.array(toxic_.astype(np.int64))], names=["feature", "n", "a"])
+
+    rate, b = F.lit(pos / n), F.col("n") - F.col("a")
+    fitted = (F.col("a") + 0.5 * rate) / (F.col("n") + 0.5)
+    gain = 2 * (F.col("a") * F.log(fitted / rate) + b * F.log(F.greatest(1 - fitted, F.lit(1e-9)) / (1 - rate)))
+    counted = rows.mapInArrow(count, "feature int, n bigint, a bigint").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("a").alias("a"))
+    found = counted.where((F.col("a") >= 2) & (fitted > 2 * rate) & (gain > LEAST_GAIN)).select("feature").toPandas()
+    return np.sort(found["feature"].to_numpy().astype(np.int64))
+
+
+def fit(docs: DataFrame, labels: DataFrame, restorer: Restorer, sample: int = SAMPLE) -> Score:
+    """``labels``: doc_id, toxic 0/1, of rows that may be learnt from. The driver
+    gets the chosen features and, of each sampled row, which of them it has."""
+    rows = sample_features(docs, labels, restorer, sample)
+    n, pos = rows.agg(F.count(F.lit(1)), F.sum("toxic")).first()
+    if not n or not pos or pos == n:
+        return Score.fit(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), np.full(n, float(bool(pos))))
+    chosen = telling(rows, n, pos)
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            held = [places(chosen, np.frombuffer(x.as_buffer(), np.int32))[1].astype(np.int32).tobytes() for x in part.column(1)]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(held, pa.binary())], names=["toxic", "places"])
+
+    # In one order, whatever that of the files, so that reruns agree.
+    found = sorted((r["toxic"], bytes(r["places"])) for r in rows.mapInArrow(run, "toxic int, places binary").collect())
+    held = [np.frombuffer(x, np.int32) for _, x in found]
+    row = np.repeat(np.arange(len(found)), [len(x) for x in held])
+    return Score.fit(chosen, row, np.concatenate(held).astype(np.int64), np.array([t for t, _ in found], float))
 
 
 def remainder(doc_id: Column) -> Column:

@@ -40,8 +40,8 @@ def test_toxic_rows_go_by_row(spark, monkeypatch):
     import corpus_pipeline
     from ledgerloom.llm import toxicity
 
-    bins = np.unique(toxicity.features(np.frombuffer(b"moron", np.uint8), np.array([0, 5]))[1])
-    monkeypatch.setattr(toxicity, "fit", lambda *_: toxicity.Score(bins, np.full(len(bins), 20.0), -5.0))
+    told = np.unique(toxicity.features(np.frombuffer(b"moron", np.uint8), np.array([0, 5]))[1])
+    monkeypatch.setattr(toxicity, "fit", lambda *_: toxicity.Score(told, np.full(len(told), 20.0), -5.0))
     rows = [(None, "a moron", "en", "a", 7), (None, "a friend", "en", "a", 8), (1, "a moron", "en", "a", 7), (1, "a friend", None, "b", 8), (2, None, "en", "a", 0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(2)
     got = corpus_pipeline.toxic(spark, docs, SF)
