@@ -6,6 +6,7 @@ the space and U+0009..U+000D.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -33,10 +34,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 # ---------------------------------------------------------------- shared tables
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where it is unset (local runs,
-    tests), a temporary folder that is then recorded in the session."""
+    """The folder of ``spark.checkpoint.dir``. Where it is unset a local master
+    (tests) gets a temporary folder, recorded in the session; a cluster, whose
+    executors share no such folder, gets an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is not set; it must name a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="corpus_")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -57,6 +61,14 @@ def small_enough(df: DataFrame, bytes_per_row: Column, limit: int) -> bool:
     return (size or 0) <= limit
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have, in either case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def batches(spark: SparkSession, records: int = 1000) -> None:
     """Rows an Arrow batch holds from now on; documents are long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(records))

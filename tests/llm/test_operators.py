@@ -6,6 +6,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import re
 from collections import Counter, defaultdict
 
 import pytest
@@ -146,6 +147,37 @@ def test_decontamination_odd_rows(spark, odd, none):
     assert {(r.doc_id, r.n_words, r.n_hit, tuple(r["items"]), r.contaminated) for r in shuffled.collect()} == got
 
 
+def brute_hits(text, items, size):
+    terms = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate({c: c + 32 for c in range(65, 91)}))
+    w, hit, found = terms(text), set(), set()
+    for i, item in items:
+        x = terms(item)
+        n = min(size, len(x))
+        windows = {tuple(x[j : j + n]) for j in range(len(x) - n + 1)} if n else set()
+        for j in range(len(w) - n + 1):
+            if n and tuple(w[j : j + n]) in windows:
+                hit |= set(range(j, j + n))
+                found.add(str(i))
+    return len(w), len(hit), tuple(sorted(found))
+
+
+@pytest.mark.parametrize(("size", "broadcast_bytes", "chunk"), [(13, 1 << 20, 2048), (5, 0, 3), (13, 0, 2048), (1, 1 << 20, 1)])
+def test_decontamination_matches_brute_force(spark, rng, monkeypatch, size, broadcast_bytes, chunk):
+    """Items of every length, documents that repeat their passages, one of many hits."""
+    monkeypatch.setattr(decontamination, "CHUNK", chunk)
+    letters = ["a", "B", "c", "D'", "e", "f.", "É", "é", "7"]
+    items = [(i, " ".join(rng.choice(letters) for _ in range(n))) for i, n in enumerate([0, 1, 2, 3, 4, 5, 6, 7, 9, 12, 13, 14, 20, 40])] + [(50, None)]
+    long = [t for _, t in items if t and len(t) > 5]
+    rows = [(i % 40, " ".join(rng.choice([rng.choice(long), *letters]) for _ in range(rng.randint(0, 12)))) for i in range(60)] + [(90, "a B " * 400), (91, long[-1] * 30)]
+    docs = spark.createDataFrame([(*r, "x", 1, "y", 2) for r in rows], "doc_id long, text string, ID string, text_hash int, spans string, `OUT` int").repartition(4)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = decontamination.contamination(docs, bench, window=size, broadcast_bytes=broadcast_bytes).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_hit, tuple(r["items"])) for r in got) == sorted((i, *brute_hits(t, items, size)) for i, t in rows)
+    clean = [r for r in rows if not (n := brute_hits(r[1], items, size))[1] or 20 * n[1] < n[0]]
+    kept = decontamination.decontaminate(docs, bench, window=size, broadcast_bytes=broadcast_bytes)
+    assert kept.columns == docs.columns and sorted((r.doc_id, r.text) for r in kept.collect()) == sorted(clean)
+
+
 # ------------------------------------------------------------------ line dedup (8)
 def distance(a, b):
     row = list(range(len(b) + 1))
