@@ -1,12 +1,16 @@
 """Mixing sources to target weights by weighted fair queueing.
 
 Every source is one queue. Its documents are shuffled by a hash of their id and
-served in that order, up to ``epochs`` times over; a word that stands after
-``c`` words of its queue has the virtual finish time ``c / target``. All queues
-are served in order of virtual time until the total budget is spent, which is
-at virtual time 1, as the targets add up to the budget. The document being
-served at that moment is cut there, so every source meets its target to within
-a word.
+served in that order, up to ``epochs`` times over; the k-th word served of a queue
+has the virtual finish time ``k / target``. All words of all queues, in order of
+virtual finish time, are truncated at the total budget, the targets' whole words.
+
+The budget is met at virtual time ``CUT`` = 1: a queue has as many words up to
+then as its target has whole words, and these add up to the budget. So a word is
+before the cut of the global order if its own virtual finish time isn't past
+``CUT``; the words of a document before the cut are told from where it starts and
+ends in virtual time, and the document in service then is cut there. The SQL of
+op6_mixing sorts all words and truncates, to the same rows.
 
 Scale: cumulative words need no task that holds a whole source. Documents fall
 into ``buckets`` by the leading bits of their shuffle hash; sums of buckets are
@@ -25,6 +29,8 @@ from ledgerloom.llm.common import n_words
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 EPOCHS = 2
+#: Virtual time at which the targets, and so the total budget, are met.
+CUT = 1.0
 BUCKETS = 1024
 
 
@@ -79,9 +85,10 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, epochs:
     inner = Window.partitionBy(*keys, "bucket").orderBy("place", "doc_id", "size", *([F.xxhash64("kept")] if keep else [])).rowsBetween(Window.unboundedPreceding, 0)
     queued = sized.withColumn("upto", F.sum("size").over(inner)).join(places, [*keys, "bucket"])
     queued = queued.withColumn("before", F.col("start") + F.col("upto") - F.col("size"))
-    quota = F.floor(F.col("target")).cast("long")
-    served = lambda e: F.greatest(F.lit(0), F.least(F.col("size"), quota - F.col("before") - F.col("source_size") * e))
-    taken = sum((served(e) for e in range(1, epochs)), served(0)).cast("long")
+    # In pass e a document's words are those after ``before + e * source_size`` of its queue.
+    due = F.floor(F.lit(CUT) * F.col("target")).cast("long")  # words of the queue before the cut
+    before_cut = lambda e: F.greatest(F.lit(0), F.least(F.col("size"), due - F.col("before") - F.col("source_size") * e))
+    taken = sum((before_cut(e) for e in range(1, epochs)), before_cut(0)).cast("long")
     full = F.least(F.lit(epochs - 1), F.floor(F.try_divide(F.col("taken") - 1, F.col("size")))).cast("long")
     last = F.when(F.col("taken") > 0, (full * F.col("source_size") + F.col("before") + F.col("taken") - full * F.col("size")) / F.col("target"))
     out = queued.withColumn("taken", taken).withColumn("virtual_finish", last)

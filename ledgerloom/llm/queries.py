@@ -169,16 +169,17 @@ f as (
 t as (
   select source, source_size, case when fill is null then cap else least(cap, fill[3] * weight) end as target from f),
 q as (
-  select d.doc_id, d.size, t.source_size, t.target,
+  select row_number() over () as rid, d.doc_id, d.size, t.source_size, t.target,
          (sum(d.size) over (partition by d.source order by place, d.doc_id, d.size rows between unbounded preceding and current row) - d.size)::bigint as before
   from d join t on d.source is not distinct from t.source),
+e as (
+  select rid, unnest(range(1, 2 * size + 1)) as k from q),
+w2 as (
+  select q.rid, case when k <= size then before + k else source_size + before + k - size end / target as fin from q join e using (rid)),
+o as (select rid, fin, row_number() over (order by fin, rid) as place from w2),
 k as (
-  select *, (greatest(0, least(size, floor(target)::bigint - before))
-             + greatest(0, least(size, floor(target)::bigint - before - source_size)))::bigint as taken from q),
-p as (
-  select *, least(1, floor((taken - 1) / nullif(size, 0)))::bigint as passes from k)
-select doc_id, size, source_size, target, taken,
-       case when taken > 0 then (passes * source_size + before + taken - passes * size) / target end as virtual_finish
-from p
+  select rid, count(*) as taken, max(fin) as virtual_finish from o
+  where place <= (select sum(floor(target)) from t) group by rid)
+select doc_id, size, source_size, target, coalesce(taken, 0)::bigint as taken, virtual_finish from q left join k using (rid)
 """,
 }
