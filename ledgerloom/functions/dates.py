@@ -5,37 +5,107 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Notations with a year, then those without, in the order they are
-# tried. A month's name is tried short and full.
-WITH_YEAR = ("M/d/yyyy", "M/d/yy", "M-d-yyyy", "M-d-yy", "yyyy-MM-dd", "d MMM yyyy", "d MMMM yyyy", "MMM d yyyy", "MMMM d yyyy", "MMM d, yyyy", "MMMM d, yyyy", "d MMM yy")
-YEARLESS = ("M/d", "M-d", "d MMM", "MMM d")
+# Months by name, short and full, and the notations: the pattern of a
+# text whose month name is written m<number>, and its year, month and day therein.
+# What has no year comes in the sentinel year, which is a leap year.
+MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
 SENTINEL_YEAR = 1904
-SHAPES = {"yyyy": r"\d{4}", "yy": r"\d{2}", "MMMM": r"[A-Za-z]{3,9}", "MMM": r"[A-Za-z]{3}", "MM": r"\d{2}", "dd": r"\d{2}", "M": r"\d{1,2}", "d": r"\d{1,2}"}
+NOTATIONS = {
+    "M/d/yyyy": (r"^(\d{1,2})/(\d{1,2})/(\d{4})$", "$3-$1-$2"),
+    "M/d/yy": (r"^(\d{1,2})/(\d{1,2})/(\d{2})$", "$3-$1-$2"),
+    "M-d-yyyy": (r"^(\d{1,2})-(\d{1,2})-(\d{4})$", "$3-$1-$2"),
+    "yyyy-M-d": (r"^(\d{4})-(\d{1,2})-(\d{1,2})$", "$1-$2-$3"),
+    "MMM d, yyyy": (r"^m(\d+) (\d{1,2}), (\d{4})$", "$3-$1-$2"),
+    "MMM d yyyy": (r"^m(\d+) (\d{1,2}) (\d{4})$", "$3-$1-$2"),
+    "d MMM yyyy": (r"^(\d{1,2}) m(\d+) (\d{4})$", "$3-$2-$1"),
+    "d MMM yy": (r"^(\d{1,2}) m(\d+) (\d{2})$", "$3-$2-$1"),
+    "M/d": (r"^(\d{1,2})/(\d{1,2})$", f"{SENTINEL_YEAR}-$1-$2"),
+    "M-d": (r"^(\d{1,2})-(\d{1,2})$", f"{SENTINEL_YEAR}-$1-$2"),
+    "MMM d": (r"^m(\d+) (\d{1,2})$", f"{SENTINEL_YEAR}-$1-$2"),
+    "d MMM": (r"^(\d{1,2}) m(\d+)$", f"{SENTINEL_YEAR}-$2-$1"),
+}
+YEARLESS = ("M/d", "M-d", "MMM d", "d MMM")
+#: The hyphen of a range set without blanks, between a digit and a letter.
+RANGE_HYPHEN = r"(?<=\d)-(?=[A-Za-z])|(?<=[A-Za-z])-(?=\d)"
+MAX_WORDS = 4
 
 
-def shape(pattern: str) -> str:
-    """A pattern that text of a notation matches."""
-    out, at = "", 0
-    while at < len(pattern):
-        name = next((k for k in SHAPES if pattern.startswith(k, at)), None)
-        out += SHAPES[name] if name else ("\\" + pattern[at] if pattern[at] in "/-," else pattern[at])
-        at += len(name) if name else 1
-    return f"^{out}$"
+def plain_form(text: Column) -> Column:
+    """Lower case, one blank between words and after a comma, no mark at the end,
+    and a month's name as m and its number."""
+    text = F.regexp_replace(F.lower(text), r"^\s+|[:;.\s]+$", "")
+    text = F.regexp_replace(F.regexp_replace(text, r",(?=\S)", ", "), r"\s+", " ")
+    names = F.create_map(*[F.lit(x) for i, m in enumerate(MONTHS, 1) for name in dict.fromkeys((m, m[:3])) for x in (name, f"m{i}")])
+    name = F.regexp_extract(text, r"([a-z]+)", 1)
+    number = F.try_element_at(names, name)
+    return F.when(name == "", text).when(number.isNotNull(), F.regexp_replace(text, r"[a-z]+", number))
+
+
+def read_date(text: Column) -> Column:
+    """struct<date, notation>, the date null where the text is none. Two-digit years
+    from 69 on are of the last century; yearless dates come in the sentinel year."""
+
+    def read(form: Column) -> Column:
+        name = None
+        for key, (pattern, _) in NOTATIONS.items():
+            name = F.when(form.rlike(pattern), key) if name is None else name.when(form.rlike(pattern), key)
+        return F.transform(F.array(name), lambda n: F.struct(dated(form, n).alias("date"), n.alias("notation")))[0]
+
+    def dated(form: Column, name: Column) -> Column:
+        iso = None
+        for key, (pattern, shape) in NOTATIONS.items():
+            value = F.regexp_replace(form, pattern, shape)
+            iso = F.when(name == key, value) if iso is None else iso.when(name == key, value)
+        century = F.when(iso.rlike(r"^(69|[789]\d)-"), F.concat(F.lit("19"), iso)).when(iso.rlike(r"^\d\d-"), F.concat(F.lit("20"), iso)).otherwise(iso)
+        return F.try_to_date(century, "yyyy-M-d")
+
+    # No notation is longer than forty characters.
+    return F.when(F.length(text) <= 40, F.transform(F.array(plain_form(text)), read)[0])
 
 
 def parse_date(text: Column) -> Column:
-    """The date, or null. Two-digit years from 69 on are of the last century;
-    yearless dates come in the leap year 1904."""
-    text = F.trim(F.regexp_replace(text, r"\s+", " "))
-    tries = []
-    for pattern in WITH_YEAR:
-        day = F.try_to_date(text, pattern)
-        if "yyyy" not in pattern:
-            day = F.when(F.year(day) >= 2069, F.add_months(day, -1200)).otherwise(day)
-        tries.append(F.when(text.rlike(shape(pattern)), day))
-    for pattern in YEARLESS:
-        tries.append(F.when(text.rlike(shape(pattern)), F.try_to_date(F.concat(F.lit(f"{SENTINEL_YEAR} "), text), f"yyyy {pattern}")))
-    return F.coalesce(*tries)
+    return read_date(text)["date"]
+
+
+def notation_of(shape: Column) -> Column:
+    """The notation that a human date format (MM/DD/YYYY, DD MON YY) stands for, or
+    null. Its letters are all of tokens, longest first."""
+    text = F.upper(F.trim(shape))
+    for token, short in (("YYYY", "{y}"), ("MMMM", "{n}"), ("MMM", "{n}"), ("MON", "{n}"), ("DD", "{d}"), ("MM", "{m}"), ("YY", "{s}")):
+        text = F.replace(text, F.lit(token), F.lit(short))
+    out = None
+    for name in NOTATIONS:
+        form = name.replace("yyyy", "{y}").replace("yy", "{s}").replace("MMM", "{n}").replace("d", "{d}")
+        form = form.replace("M", "{m}")
+        out = F.when(text == form, name) if out is None else out.when(text == form, name)
+    return out
+
+
+def words_of(text: Column) -> Column:
+    """Words, a range's hyphen being a blank."""
+    return F.filter(F.split(F.regexp_replace(text, RANGE_HYPHEN, " "), r"\s+"), lambda x: x != "")
+
+
+def find_dates(text: Column) -> Column:
+    """array<date> of the dates in a text, left to right; of the dates that start at
+    a word the one of most words, up to four, after which reading goes on."""
+
+    def at(w: Column, i: Column) -> Column:
+        tries = [F.when(i + k <= F.size(w), parse_date(F.array_join(F.slice(w, i + 1, k), " "))) for k in range(MAX_WORDS, 0, -1)]
+        spans = F.array(*[F.struct(t.alias("date"), F.lit(k).alias("k")) for t, k in zip(tries, range(MAX_WORDS, 0, -1), strict=True)])
+        return F.get(F.filter(spans, lambda s: s["date"].isNotNull()), 0)
+
+    def fold(w: Column) -> Column:
+        start = F.struct(F.array().cast("array<date>").alias("found"), F.lit(0).alias("next"))
+
+        def step(s: Column, i: Column) -> Column:
+            hit = F.when(i >= s["next"], at(w, i))
+            return F.when(hit.isNull(), s).otherwise(F.struct(F.concat(s["found"], F.array(hit["date"])).alias("found"), (i + hit["k"]).alias("next")))
+
+        return F.when(F.size(w) > 0, F.aggregate(F.sequence(F.lit(0), F.size(w) - 1), start, step, lambda s: s["found"])).otherwise(F.array().cast("array<date>"))
+
+    none = F.array().cast("array<date>")
+    return F.when(text.rlike(r"\d"), F.transform(F.array(words_of(text)), fold)[0]).otherwise(none)
 
 
 def with_year(day: Column, start: Column) -> Column:

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The notation of an amount. A sign, bracket or currency mark may
-# stand before, a sign, bracket or CR/DR after; the guards keep dates, longer
+# The notation of an amount. A bracket, sign or currency mark may
+# stand before, a bracket, CR/DR and a sign after; the guards keep dates, longer
 # numbers and parts of words out.
-BODY = r"(?:\d{1,3}(?:,\d{3})+|\d+)\.\d{2}"
-TOKEN = rf"(?U)(?<![\w.,])\(?-?\$?{BODY}\)?(?:-|\s?(?:CR|DR)(?!\w))?(?!\d)"
-WHOLE = rf"^(?:\(\$?{BODY}\)|-?\$?{BODY}(?:-|\s?(?:CR|DR))?)$"
+FORM = r"\(?-?\$?(?:\d{1,3}(?:,\d{3})*|\d+)\.\d{2}\)?(?: ?(?:CR|DR))?-?"
+TOKEN = rf"(?U)(?<![\w.,]){FORM}(?!\d)"
+WHOLE = rf"^{FORM}$"
 
 
 def cents(value: Column) -> Column:
@@ -19,23 +19,23 @@ def cents(value: Column) -> Column:
 
 
 def signed_cents(token: Column) -> Column:
-    """Cents of text that is an amount as a whole."""
+    """Cents of text that has an amount's form. Brackets, a sign on either side and
+    DR make it negative; one bracket without the other makes it none."""
     digits = F.regexp_replace(token, r"[^0-9]", "").cast("bigint")
-    negative = token.rlike(r"^\(|^-|-$|DR$")
-    return F.when(negative, -digits).otherwise(digits)
+    both = token.contains("(") == token.contains(")")
+    return F.when(both, F.when(token.rlike(r"[(-]|DR"), -digits).otherwise(digits))
 
 
 def parse_money(text: Column) -> Column:
-    """Cents, or null where the text isn't one amount (outer blanks allowed)."""
-    token = F.trim(text)
+    """Cents, or null where the text isn't one amount (outer white space allowed)."""
+    token = F.regexp_replace(text, r"^\s+|\s+$", "")
     return F.when(token.rlike(WHOLE), signed_cents(token))
 
 
 def find_money(text: Column) -> Column:
-    """array<struct<text, cents>> of the amounts in a text, in order. A bracket
-    without its partner makes the amount no money."""
-    found = F.filter(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), lambda t: t.startswith("(") == t.contains(")"))
-    return F.transform(found, lambda t: F.struct(t.alias("text"), signed_cents(t).alias("cents")))
+    """array<struct<text, cents>> of the amounts in a text, in order."""
+    found = F.transform(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), lambda t: F.struct(t.alias("text"), signed_cents(t).alias("cents")))
+    return F.filter(found, lambda t: t["cents"].isNotNull())
 
 
 def format_cents(value: Column) -> Column:

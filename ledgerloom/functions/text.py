@@ -13,6 +13,10 @@ LABELS = {
     "withdrawals": ("total checks/debits", "withdrawals and debits", "checks/debits", "total withdrawals", "withdrawals", "debits", "subtractions", "other debits", "checks"),
 }
 
+# What marks a stated cycle, and the two dates of a cycle pair.
+PERIOD_LABELS = ("statement period", "statement date", "for the period", "period covered")
+CYCLE_PAIR = ("last statement", "this statement")
+
 
 def squash(text: Column) -> Column:
     return F.lower(F.regexp_replace(text, r"\s+", ""))
@@ -43,6 +47,11 @@ def names_side(text: Column, field: str) -> Column:
     return found
 
 
+def heading_side(text: Column) -> Column:
+    """The side that a heading's labels name, deposits first; null if none."""
+    return F.when(has_label(text, "deposits"), "deposit").when(has_label(text, "withdrawals"), "withdrawal")
+
+
 def last4(text: Column) -> Column:
     """Last digits of a masked account number, not part of a word."""
     found = F.regexp_extract(text, r"(?<![A-Za-z])[Xx*]{2,}-?(\d{4})(?!\d)", 1)

@@ -13,6 +13,31 @@ READING = ("dropped_row", "duplicated_row", "side_flip", "zero_amount_rows", "su
 VERDICTS = ("tied", "tied_with_notes", "exceptions_identified", "not_tied")
 
 
+# Warnings that leave something in doubt, and what is to be done.
+DOUBTS = {
+    "summary_table": "confirm_no_transactions",
+    "zero_amount": "confirm_no_amount",
+    "against_contract": "inspect_lines",
+    "before_any_section": "determine_side",
+    "no_text_layer": "descriptions_recognised",
+    "listing_added": "vouch_to_listing",
+    "listing_left_out": "confirm_repeats_table",
+    "listing_without_side": "determine_side_of_listing",
+    "no_layout": "perform_by_hand",
+}
+
+
+def doubt_items(rows: DataFrame, warnings: DataFrame, periods: DataFrame) -> DataFrame:
+    """doc_id, period, kind, action, amount, page: rows with an amount taken from
+    the balance or a date of the row before, and the document's warnings of
+    ``DOUBTS``, which count for each of its periods."""
+    flagged = lambda flag, kind, action: rows.where(flag).select("doc_id", "period", F.lit(kind).alias("kind"), F.lit(action).alias("action"), F.col("cents").alias("amount"), "page")
+    doubted = F.create_map(*[F.lit(x) for pair in DOUBTS.items() for x in pair])
+    of_file = warnings.where(F.col("warning").isin(*DOUBTS)).groupBy("doc_id", F.col("period").alias("said_in"), "warning").agg(F.sum("n").alias("n"))
+    noted = periods.join(of_file, "doc_id").select("doc_id", "period", F.col("warning").alias("kind"), F.element_at(doubted, F.col("warning")).alias("action"), F.lit(None).cast("bigint").alias("amount"), F.lit(None).cast("int").alias("page"))
+    return flagged("recovered", "amount_from_balance", "vouch_amount").unionByName(flagged("date_inherited", "date_from_row_before", "confirm_date")).unionByName(noted)
+
+
 def completeness(checks: DataFrame) -> DataFrame:
     """bounded (both counts are printed), missing_deposits, missing_withdrawals."""
     bounded = F.col("deposits_count").isNotNull() & F.col("withdrawals_count").isNotNull()

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.money import format_cents
+
 # Fixed values: (deposits, withdrawals) differences -> kind, side the row belongs
 # on, residual over amount.
 SIGNATURES = (
@@ -93,3 +95,29 @@ def diagnose(checks: DataFrame) -> DataFrame:
         return out.otherwise(F.lit(last).cast(kind))
 
     return checks.withColumns({"diagnosis": ladder(1, "unknown", "string"), "diag_side": ladder(2, None, "string"), "diag_amount": ladder(3, None, "double"), "confident": ladder(4, False, "boolean")})
+
+
+def details(diagnosed: DataFrame) -> DataFrame:
+    """``detail``: what the diagnosis says, in a sentence; null where there is none."""
+    c = F.col
+    short = F.abs(F.least(c("delta_dep"), F.lit(0))) + F.abs(F.least(c("delta_wd"), F.lit(0)))
+    over = F.greatest(c("delta_dep"), F.lit(0)) + F.greatest(c("delta_wd"), F.lit(0))
+    amount = format_cents(c("diag_amount").cast("bigint"))
+    said = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts])
+    row = c("break_index") if "break_index" in diagnosed.columns else F.lit(None)
+    kind, sure = c("diagnosis"), F.coalesce(c("confident"), F.lit(False))
+    text = (
+        F.when(kind == "no_printed_summary", "no summary block is printed")
+        .when(kind == "no_transaction_evidence", "only counts are printed, no amount was compared")
+        .when(kind == "zero_amount_rows", said(short, " row(s) fewer than printed, and the money agrees"))
+        .when(kind == "surplus_rows", said(over, " row(s) more than printed, and the money agrees"))
+        .when(kind == "row_level_break", said("the running balance breaks at row ", row, " by ", amount))
+        .when(sure & (kind == "dropped_row"), said("a ", c("diag_side"), " of ", amount, " was not read"))
+        .when(sure & (kind == "duplicated_row"), said("a ", c("diag_side"), " of ", amount, " was read twice"))
+        .when(sure & (kind == "side_flip"), said("a ", c("diag_side"), " of ", amount, " is on the other side"))
+        .when(kind == "side_flip", said("a row of ", amount, " may be on the other side"))
+        .when(kind == "amount_matches_row", said("the residual is the amount of a row, ", amount))
+        .when(kind == "dropped_row", said(amount, " on page ", c("page"), " may not have been read"))
+        .when(kind == "unknown", said("nothing explains a residual of ", format_cents(c("residual"))))
+    )
+    return diagnosed.withColumn("detail", text)

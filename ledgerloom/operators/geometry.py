@@ -15,28 +15,33 @@ EDGE_SPREAD = 2.0
 MAX_SHIFT = 30.0
 MIN_ROWS = 3
 BIN = 1.0
+MAX_SLOPE, COARSE_STEP, FINE_STEP = 0.06, 0.004, 0.0005
+MIN_WORDS_FOR_SKEW = 30
 
 
 def lines(words: DataFrame, keys: list[str], tolerance: float = LINE_TOLERANCE) -> DataFrame:
     """keys, line_idx, words (by x0), text. Words go top to bottom; one joins the
     open line while its top is at most ``tolerance`` below the mean top of the
-    line so far. A fold over the page's words, one page a row."""
-    word = F.struct("top", "x0", "x1", "text", "height")
-    pages = words.groupBy(*keys).agg(F.array_sort(F.collect_list(word)).alias("w"))
-    kind = "array<struct<top:double,x0:double,x1:double,text:string,height:double>>"
-    start = F.struct(F.expr(f"cast(array() as array<{kind}>)").alias("done"), F.expr(f"cast(array() as {kind})").alias("line"), F.lit(0.0).alias("sum"))
+    line so far. A word further below the one before it opens a line in any case,
+    so only the words between two such gaps are folded, and a page of any length
+    takes time in proportion."""
+    at = Window.partitionBy(*keys).orderBy("top", "x0", "x1", "text")
+    gap = F.coalesce(F.col("top") - F.lag("top").over(at) > tolerance, F.lit(True)).cast("int")
+    cut = words.withColumn("gap", gap).withColumn("island", F.sum("gap").over(at.rowsBetween(Window.unboundedPreceding, 0)))
+    islands = cut.groupBy(*keys, "island").agg(F.array_sort(F.collect_list(F.struct("top", "x0", "x1", "text", "height"))).alias("w"))
+    start = F.struct(F.expr("cast(array() as array<int>)").alias("starts"), F.lit(0).alias("i"), F.lit(0).alias("n"), F.lit(0.0).alias("sum"))
 
     def add(acc: Column, w: Column) -> Column:
-        n = F.size(acc["line"])
-        joins = (n > 0) & (w["top"] - acc["sum"] / F.greatest(n, F.lit(1)) <= tolerance)
-        return F.when(joins, F.struct(acc["done"].alias("done"), F.concat(acc["line"], F.array(w)).alias("line"), (acc["sum"] + w["top"]).alias("sum"))).otherwise(
-            F.struct(F.when(n > 0, F.concat(acc["done"], F.array(acc["line"]))).otherwise(acc["done"]).alias("done"), F.array(w).alias("line"), w["top"].alias("sum"))
-        )
+        joins = (acc["n"] > 0) & (w["top"] - acc["sum"] / F.greatest(acc["n"], F.lit(1)) <= tolerance)
+        starts = F.when(joins, acc["starts"]).otherwise(F.concat(acc["starts"], F.array(acc["i"])))
+        return F.struct(starts.alias("starts"), (acc["i"] + 1).alias("i"), F.when(joins, acc["n"] + 1).otherwise(F.lit(1)).alias("n"), F.when(joins, acc["sum"] + w["top"]).otherwise(w["top"]).alias("sum"))
 
-    folded = pages.select(*keys, F.aggregate("w", start, add, lambda a: F.concat(a["done"], F.array(a["line"]))).alias("lines"))
-    each = folded.select(*keys, F.posexplode("lines").alias("line_idx", "line"))
-    by_x = F.array_sort(F.transform("line", lambda x: F.struct(x["x0"].alias("x0"), x["x1"].alias("x1"), x["top"].alias("top"), x["height"].alias("height"), x["text"].alias("text"))))
-    return each.select(*keys, "line_idx", by_x.alias("words")).withColumn("text", F.array_join(F.transform("words", lambda x: x["text"]), " "))
+    folded = islands.select(*keys, "island", "w", F.aggregate("w", start, add, lambda a: a["starts"]).alias("starts"))
+    each = folded.select(*keys, "island", "w", "starts", F.posexplode("starts").alias("part", "from"))
+    mine = F.slice("w", F.col("from") + 1, F.coalesce(F.get("starts", F.col("part") + 1), F.size("w")) - F.col("from"))
+    by_x = F.array_sort(F.transform(mine, lambda x: F.struct(x["x0"].alias("x0"), x["x1"].alias("x1"), x["top"].alias("top"), x["height"].alias("height"), x["text"].alias("text"))))
+    order = F.row_number().over(Window.partitionBy(*keys).orderBy("island", "part")) - 1
+    return each.select(*keys, order.alias("line_idx"), by_x.alias("words")).withColumn("text", F.array_join(F.transform("words", lambda x: x["text"]), " "))
 
 
 def gap_clusters(points: DataFrame, keys: list[str], at: str, gap: float = COLUMN_GAP) -> DataFrame:
@@ -82,3 +87,33 @@ def deskew(words: DataFrame, slope: Column) -> DataFrame:
     """Turns a page back by its slope, in both directions."""
     x0, x1, top = F.col("x0"), F.col("x1"), F.col("top")
     return words.withColumns({"x0": x0 + top * slope, "x1": x1 + top * slope, "top": top - x0 * slope})
+
+
+def skew(words: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, slope of each page: the sharpest of a coarse sweep, then of a fine one
+    around it; 0 for pages of under 30 words, or where it isn't sharper than the
+    square page by a twentieth."""
+    pages = words.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_words")).where(F.col("n_words") >= MIN_WORDS_FOR_SKEW)
+    full = words.join(pages.select(*keys), keys)
+    steps = lambda step, reach: F.transform(F.sequence(F.lit(-int(reach / step)), F.lit(int(reach / step))), lambda i: i * F.lit(step))
+    first = lambda scores: scores.groupBy(*keys).agg(F.max_by("slope", F.struct("sharpness", -F.col("slope"))).alias("slope"))
+    coarse = first(sharpness(full, keys, steps(COARSE_STEP, MAX_SLOPE)))
+    around = full.join(coarse.withColumnRenamed("slope", "around"), keys)
+    fine = sharpness(around, keys, F.array_distinct(F.concat(F.transform(steps(FINE_STEP, COARSE_STEP), lambda s: s + F.col("around")), F.array(F.lit(0.0)))))
+    return best_slope(fine, keys)
+
+
+def squared(words: DataFrame, recognised: Column) -> DataFrame:
+    """``words`` with the tilt of recognised pages taken out."""
+    keys = ["doc_id", "page"]
+    slopes = skew(words.where(recognised), keys).where("slope <> 0").withColumnRenamed("slope", "tilt")
+    turned = deskew(words.join(slopes, keys, "left").withColumn("tilt", F.coalesce("tilt", F.lit(0.0))), F.col("tilt"))
+    return turned.select(*words.columns)
+
+
+def registered(words: DataFrame, rows: DataFrame, recognised: Column) -> DataFrame:
+    """``words`` with recognised pages moved so that their rows share one margin.
+    ``rows``: doc_id, page, left (of lines that open with a date and carry money)."""
+    shifts = page_shifts(rows, "doc_id", "page", "left").where("shift <> 0").select("doc_id", "page", F.col("shift").alias("moved"))
+    by = F.when(recognised, F.coalesce("moved", F.lit(0.0))).otherwise(F.lit(0.0))
+    return words.join(shifts, ["doc_id", "page"], "left").withColumns({"x0": F.col("x0") + by, "x1": F.col("x1") + by}).select(*words.columns)

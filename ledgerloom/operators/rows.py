@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.operators import reconcile
+
 
 def signed() -> Column:
     return F.when(F.col("side") == "deposit", F.col("cents")).otherwise(-F.col("cents"))
@@ -53,11 +55,13 @@ def side_of(strategy: str, amount: Column, column: Column | None = None, section
     return F.when(before.isNotNull(), F.when(balance > before, "deposit").otherwise("withdrawal"))
 
 
-def best_candidate(candidates: DataFrame, keys: list[str]) -> DataFrame:
+def best_candidate(candidates: DataFrame, keys: list[str], first_reconciled: bool = False) -> DataFrame:
     """Of several readings the best: reconciled first, then more checks that hold,
-    fewer recovered rows, a smaller residual, the earlier candidate. One
-    aggregate, no sort."""
-    rank = F.struct(F.col("reconciled"), F.col("n_ok"), -F.col("n_recovered"), -F.abs("residual"), -F.col("candidate"))
+    fewer recovered rows, a smaller residual, the earlier candidate. With
+    ``first_reconciled`` of those that reconcile just the earliest. One aggregate,
+    no sort."""
+    level = lambda x: F.when(F.col("reconciled"), F.lit(0)).otherwise(x) if first_reconciled else x
+    rank = F.struct(F.col("reconciled"), level(F.col("n_ok")), level(-F.col("n_recovered")), level(-F.abs("residual")), -F.col("candidate"))
     whole = F.struct(*[c for c in candidates.columns if c not in keys])
     return candidates.groupBy(*keys).agg(F.max_by(whole, rank).alias("best")).select(*keys, "best.*")
 
@@ -77,3 +81,12 @@ def fields_diff(expected: DataFrame, observed: DataFrame, keys: list[str], field
     long = lambda df, name: df.select(*keys, F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("bigint").alias("v")) for f in fields])).alias("x")).select(*keys, "x.field", F.col("x.v").alias(name))
     both = long(expected, "expected").join(long(observed, "observed"), [*keys, "field"], "full_outer")
     return both.withColumn("same", F.col("expected").eqNullSafe(F.col("observed")))
+
+
+def repaired(found: DataFrame, edits: DataFrame, printed: DataFrame, keys: list[str], row_id: str) -> DataFrame:
+    """Rows with the edits of those periods that reconcile with them; all other
+    periods keep their rows as they were. ``repaired`` says which a row is of."""
+    edited = apply_edits(found, edits, keys, row_id)
+    closed = reconcile.reconcile(printed, edited, keys).where("reconciled").select(*keys).join(edits.select(*keys).distinct(), keys, "left_semi")
+    plain = found.select(*keys, row_id, "side", "cents").join(closed, keys, "left_anti").withColumn("repaired", F.lit(False))
+    return plain.unionByName(edited.join(closed, keys, "left_semi").withColumn("repaired", F.lit(True)))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions import dates, money, text
 from ledgerloom.operators import audit, diagnose, geometry, reconcile, rows
 from ledgerloom.plans.ledger import KEYS, OPENING, ledger, parsed, printed, table
+from ledgerloom.streaming import tieout
 
 ORACLES: dict[str, str] = {}
 QUERIES: dict = {}
@@ -412,11 +413,24 @@ def money_parse(spark, sf):
     return _rendered(spark, sf).select("o_orderkey", "text", money.parse_money(F.col("text")).alias("cents"))
 
 
-@query()
+@query("""with b as (select o_orderkey, cast(round(o_totalprice * 100) as bigint) as c from orders)
+select o_orderkey, case o_orderkey % 8 when 7 then '' when 2 then (-c)::varchar when 3 then (-c)::varchar when 4 then (-c)::varchar when 6 then (-c)::varchar else c::varchar end as cents from b""")
 def money_spans(spark, sf):
-    """Amounts in running text; the pattern's lookbehind has no SQL twin."""
+    """Amounts in running text; dates, longer numbers and parts of words are none."""
     line = F.concat(F.lit("on 01/02/2025 ref 12.345 paid "), "text", F.lit(" and x1.23 left"))
-    return _rendered(spark, sf).select("o_orderkey", F.transform(money.find_money(line), lambda x: x["cents"]).alias("cents"))
+    return _rendered(spark, sf).select("o_orderkey", F.array_join(F.transform(money.find_money(line), lambda x: x["cents"].cast("string")), ",").alias("cents"))
+
+
+@query("""with b as (select o_orderkey, cast(round(o_totalprice * 100) as bigint) as c, (o_orderkey % 6)::int as k from orders)
+select o_orderkey, case k when 3 then c when 4 then null when 5 then null else -c end as cents, case k when 3 then c when 4 then null when 5 then null else -c end as found from b""")
+def money_marks(spark, sf):
+    """Marks on both sides of an amount, in text that is one and in running text."""
+    cents = money.cents(F.col("o_totalprice"))
+    body = F.concat(F.format_number(F.floor(cents / 100).cast("bigint"), 0), F.lit("."), F.lpad((cents % 100).cast("string"), 2, "0"))
+    k = F.expr("o_orderkey % 6")
+    shown = F.when(k == 0, F.concat(F.lit("("), body, F.lit(") CR"))).when(k == 1, F.concat(F.lit("(-"), body, F.lit(")"))).when(k == 2, F.concat(body, F.lit(" CR-"))).when(k == 3, F.concat(body, F.lit("CR"))).when(k == 4, F.concat(body, F.lit(")"))).otherwise(F.concat(body, F.lit("7")))
+    found = F.get(money.find_money(F.concat(F.lit("of "), shown)), 0)["cents"]
+    return table(spark, sf, "orders").select("o_orderkey", money.parse_money(shown).alias("cents"), found.alias("found"))
 
 
 @query("""select o_orderkey, cast(o_orderdate as date) as date from orders""")
@@ -550,7 +564,7 @@ def doc_diagnostics(spark, sf):
     return table(spark, sf, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("pages"), F.sum(F.length("text")).alias("chars"), F.sum(n).alias("words"), F.count_if(F.length(F.trim("text")) < 20).alias("empty_pages"))
 
 
-@query(f"with {L}, {P} select cast(period as date) as period, side, count(*) as n, sum(cents)::bigint as cents from p group by 1, 2")
+@query(f"with {L} select cast(date_trunc('week', ts) as date) as period, side, count(*) as n, sum(cents)::bigint as cents from l group by 1, 2")
 def weekly_tieout_stream(spark, sf):
-    """Batch form of the streaming tie-out."""
-    return parsed(ledger(spark, sf)).groupBy("period", "side").agg(F.count(F.lit(1)).alias("n"), F.sum("cents").alias("cents"))
+    """The streaming tie-out over the events as a stream of files, drained."""
+    return tieout.weekly(spark, sf)

@@ -15,54 +15,72 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.dates import SENTINEL_YEAR, parse_date, with_year
+from ledgerloom.functions import scan
+from ledgerloom.functions.dates import NOTATIONS, SENTINEL_YEAR, find_dates, with_year
 from ledgerloom.functions.money import find_money, parse_money
-from ledgerloom.functions.text import has_label, labelled_last4, masked_last4, names_side, squash
-from ledgerloom.operators import diagnose, geometry, reconcile, rows
+from ledgerloom.functions.text import CYCLE_PAIR, PERIOD_LABELS, has_label, labelled_last4, masked_last4, names_side, squash
+from ledgerloom.operators import audit, diagnose, geometry, header, listing, reconcile, rows
 from ledgerloom.sources.shared import written
 
 DOC, PERIOD = ["doc_id"], ["doc_id", "period"]
 CAND = ["doc_id", "period", "candidate"]
-MAX_DATE_WORDS = 4
+TRIED = [*CAND, "variant"]
 CANDIDATES = 3
+#: Rank of layouts that were given, after all that were found.
+GIVEN = 100
 MIN_ROWS = 3
 MIN_BALANCE_PAIRS = 2
-PERIOD_LABELS = r"(?i)statement period|statement date|for the period|period covered"
-DATE_LIKE = r"\d{1,2}/\d{1,2}/\d{2,4}|\d{4}-\d{2}-\d{2}|[A-Za-z]{3,9} \d{1,2},? \d{4}|\d{1,2} [A-Za-z]{3,9} \d{4}"
+RECOGNISED = ("ocr",)
 
 
-def line_facts(words: DataFrame) -> DataFrame:
-    """Lines with their leading date (longest of up to four words), its words'
-    extent, their amounts with places, and what they are."""
-    lines = written(geometry.lines(words, ["doc_id", "page"]), "lines").withColumn("line_no", F.row_number().over(Window.partitionBy("doc_id").orderBy("page", "line_idx")))
-    first = lambda k: F.slice("words", 1, k)
-    tries = [F.when(F.size("words") >= k, F.struct(parse_date(F.array_join(F.transform(first(k), lambda w: w["text"]), " ")).alias("date"), F.element_at(first(k), -1)["x1"].alias("x1"))) for k in range(MAX_DATE_WORDS, 0, -1)]
-    lead = F.get(F.filter(F.array(*tries), lambda t: t["date"].isNotNull()), 0)
-    cells = F.filter(F.transform("words", lambda w: F.struct(parse_money(w["text"]).alias("cents"), w["x0"].alias("x0"), w["x1"].alias("x1"), ((w["x0"] + w["x1"]) / 2).alias("c"))), lambda m: m["cents"].isNotNull())
-    out = lines.withColumn("lead", lead).withColumn("cells", cells).withColumn("money", find_money(F.col("text")))
-    out = out.withColumn("dated", F.col("lead").isNotNull())
-    return out.withColumn("kind", F.when(F.col("dated") & (F.size("cells") > 0), "row").when(~F.col("dated") & (F.size("cells") == 0), "heading").otherwise("other"))
+def upright(words: DataFrame) -> DataFrame:
+    """Words of recognised pages (column ``source``: ocr) without tilt, and moved
+    to the margin of their document; other words as they are, as are all without
+    such a column."""
+    if "source" not in words.columns:
+        return words
+    flag = F.coalesce(F.col("source").isin(*RECOGNISED), F.lit(False))
+    square = written(geometry.squared(words, flag), "squared")
+    marked = square.where(flag)
+    facts = line_facts(marked, "recognised_lines").where("dated and size(money) > 0")
+    return geometry.registered(square, facts.select("doc_id", "page", F.get("words", 0)["x0"].alias("left")), flag)
 
 
-def stated_dates(text: Column) -> Column:
-    return F.filter(F.transform(F.regexp_extract_all(text, F.lit(f"({DATE_LIKE})"), F.lit(1)), parse_date), lambda d: d.isNotNull())
+def line_facts(words: DataFrame, name: str = "lines") -> DataFrame:
+    """Lines with their leading date (longest of up to four words) and its words'
+    extent, amounts word by word (cells) and over touching boxes (paid), both with
+    places, amounts in the text (money), and what they are."""
+    lines = written(geometry.lines(words, ["doc_id", "page"]), name).withColumn("line_no", F.row_number().over(Window.partitionBy("doc_id").orderBy("page", "line_idx")))
+    lead = F.when(F.exists(F.slice("words", 1, 4), lambda w: w["text"].rlike(r"\d")), scan.date_at(F.col("words"), F.lit(0)))
+    cells = F.filter(F.transform("words", lambda w: F.struct(parse_money(w["text"]).alias("cents"), w["x0"].alias("x0"), w["x1"].alias("x1"), ((w["x0"] + w["x1"]) / 2).alias("c"))), lambda m: m["cents"].isNotNull())
+    out = lines.withColumns({"lead": lead, "cells": cells, "money": find_money(F.col("text"))})
+    out = out.withColumn("dated", F.col("lead").isNotNull()).withColumn("paid", F.when(F.col("text").rlike(r"\d"), scan.amounts(F.col("words"))))
+    summary = F.when(F.col("dated") & (F.size("paid") > 0), scan.is_summary(F.col("paid"), scan.dates(F.col("words"))))
+    out = out.withColumn("summary", F.coalesce(summary, F.lit(False)))
+    return out.withColumn("kind", F.when(F.col("dated") & (F.size("cells") > 0), "row").when(~F.col("dated") & (F.size("cells") == 0), "heading").otherwise("other"))
 
 
 def page_anchors(lines: DataFrame) -> DataFrame:
     """What a page says about the statement it belongs to, off its undated lines.
     An account number behind a mask goes before one of an account line. A period
-    is two dates of one line; else the one date of a period label is its end, and
-    dates beside the beginning and ending balance fill what is missing."""
+    is the first and last date of a line with a period label; else the one date of
+    such a line is its end; else the dates of a cycle pair; and dates beside the
+    beginning and ending balance fill what is missing."""
     says = F.when(~F.col("dated"), F.col("text"))
-    dates = F.when(says.rlike(r"(?i)period|statement|through"), stated_dates(says))
-    two = F.when(F.size(dates) >= 2, F.struct(F.get(dates, 0).alias("start"), F.get(dates, 1).alias("end")))
-    one = F.when(says.rlike(PERIOD_LABELS), F.get(stated_dates(says), 0))
-    beside = lambda field: F.when(names_side(says, field), F.get(stated_dates(says), 0))
+    read = lines.withColumn("says", says).withColumn("dates", F.when(says.rlike(r"\d"), find_dates(says)))
+    says, dates, some = F.col("says"), F.col("dates"), F.size("dates") > 0
+    labelled = says.rlike("(?i)" + "|".join(PERIOD_LABELS))
+    two = F.when(labelled & (F.size(dates) >= 2), F.struct(F.get(dates, 0).alias("start"), F.element_at(dates, -1).alias("end")))
+    one = F.when(labelled & some, F.get(dates, 0))
+    pair = [F.when(squash(says).contains(x.replace(" ", "")) & some, F.get(dates, 0)) for x in CYCLE_PAIR]
+    beside = lambda field: F.when(names_side(says, field) & some, F.get(dates, 0))
     opens = ~F.col("dated") & has_label(F.col("text"), "beginning") & (F.size("money") > 0)
     first = lambda x: F.min_by(x, F.when(x.isNotNull(), F.col("line_no")))
     closes = F.when(~names_side(says, "beginning"), beside("ending"))
-    found = lines.groupBy("doc_id", "page").agg(F.bool_or(opens).alias("beginning"), first(masked_last4(says)).alias("masked"), first(labelled_last4(says)).alias("labelled"), first(two).alias("two"), first(one).alias("one"), first(beside("beginning")).alias("from"), first(closes).alias("to"))
-    start, end = F.col("from"), F.coalesce("one", "to")
+    found = read.groupBy("doc_id", "page").agg(
+        F.bool_or(opens).alias("beginning"), first(masked_last4(says)).alias("masked"), first(labelled_last4(says)).alias("labelled"), first(two).alias("two"), first(one).alias("one"), first(pair[0]).alias("last_cycle"), first(pair[1]).alias("this_cycle"), first(beside("beginning")).alias("from"), first(closes).alias("to")
+    )
+    start, end = F.coalesce(F.when(F.col("one").isNull(), F.col("last_cycle")), "from"), F.coalesce("one", "this_cycle", "to")
     cycle = F.coalesce("two", F.when(start.isNotNull() | end.isNotNull(), F.struct(start.alias("start"), end.alias("end"))))
     return found.select("doc_id", "page", "beginning", F.coalesce("masked", "labelled").alias("last4"), cycle.alias("cycle"))
 
@@ -84,26 +102,37 @@ def periods(anchors: DataFrame) -> DataFrame:
     return marked.withColumn("period", F.sum(F.col("opens").cast("int")).over(order).cast("int"))
 
 
+def split_header(lines: DataFrame) -> DataFrame:
+    """``lines`` with ``below``: at or after its period's first row."""
+    first = F.min(F.when(F.col("dated") & (F.size("money") > 0), F.col("line_no"))).over(Window.partitionBy(*PERIOD))
+    return lines.withColumn("below", F.coalesce(F.col("line_no") >= first, F.lit(False)))
+
+
 def printed_figures(lines: DataFrame) -> DataFrame:
-    """Printed figures of every period: of each field the last amount of the first
-    line off the rows that names it; a count where the line has one amount and
-    one bare number of up to three digits. Side totals are magnitudes."""
+    """Printed figures of every period (of split_header's lines): from a row of
+    labels over a row of amounts; else of each field the last amount of the first
+    undated line that names it, above the first row before below it, and a count
+    where that line has one amount and one bare number of up to three digits. Side
+    totals are magnitudes."""
     fields = {"beginning": False, "ending": False, "deposits": True, "withdrawals": True}
     off = lines.where(~F.col("dated") & (F.size("money") > 0))
-    bare = F.regexp_extract_all(F.regexp_replace("text", r"\(?-?\$?[0-9][0-9,]*\.[0-9]{2}\)?-?", " "), F.lit(r"(?<![\w.])(\d{1,3})(?![\w.])"), F.lit(1))
+    bare = F.regexp_extract_all(F.regexp_replace("text", r"[-(]?\$?[0-9][0-9,]*\.[0-9]{2}\)?-?", " "), F.lit(r"\b(\d{1,3})\b"), F.lit(1))
     count = F.when((F.size("money") == 1) & (F.size(bare) == 1), F.get(bare, 0).cast("bigint"))
     value = F.element_at("money", -1)["cents"]
-    # Above the first row first, then below it.
     at = F.struct(F.col("below").alias("below"), F.col("line_no").alias("line_no"))
     aggs = []
     for name, total in fields.items():
         named = names_side(F.col("text"), name)
         pick = F.struct((F.abs(value) if total else value).alias("v"), count.alias("n"))
         aggs.append(F.min_by(F.when(named, pick), F.when(named, at)).alias(name))
-    body = lines.groupBy(*PERIOD).agg(F.min(F.when(F.col("kind") == "row", F.col("line_no"))).alias("first_row"))
-    found = off.join(body, PERIOD).withColumn("below", F.coalesce(F.col("line_no") > F.col("first_row"), F.lit(False))).groupBy(*PERIOD).agg(*aggs)
-    out = lines.select(*PERIOD).distinct().join(found, PERIOD, "left")
-    return out.select(*PERIOD, F.col("beginning.v").alias("beginning"), F.col("ending.v").alias("ending"), F.col("deposits.v").alias("deposits_total"), F.col("withdrawals.v").alias("withdrawals_total"), F.col("deposits.n").alias("deposits_count"), F.col("withdrawals.n").alias("withdrawals_count"))
+    found = off.groupBy(*PERIOD).agg(*aggs)
+    above = lines.where(~F.col("below"))
+    out = lines.select(*PERIOD).distinct().join(found, PERIOD, "left").join(header.horizontal(above, PERIOD), PERIOD, "left").join(header.letterhead(above, PERIOD), PERIOD, "left")
+    for name, total in fields.items():
+        block = F.try_element_at("block", F.lit(name))
+        one = F.coalesce(F.abs(block) if total else block, F.col(f"{name}.v"))
+        out = out.withColumn(f"{name}_v", one).withColumn(f"{name}_n", F.when(block.isNull(), F.col(f"{name}.n")))
+    return out.select(*PERIOD, "bank", F.col("beginning_v").alias("beginning"), F.col("ending_v").alias("ending"), F.col("deposits_v").alias("deposits_total"), F.col("withdrawals_v").alias("withdrawals_total"), F.col("deposits_n").alias("deposits_count"), F.col("withdrawals_n").alias("withdrawals_count"))
 
 
 def layouts(lines: DataFrame) -> DataFrame:
@@ -111,6 +140,11 @@ def layouts(lines: DataFrame) -> DataFrame:
     date column, up to two amount columns (the rightmost), balance column where
     its chain holds on most neighbours, side strategy, section headings. A page
     that says nothing about sides gives none."""
+    # Lines of a listing are none of the table's, up to a heading with letters.
+    bare = ~F.col("dated") & (F.size("cells") == 0)
+    mark = F.when(bare, F.when(F.col("listing_header"), 1).when(F.col("text").rlike(r"\p{L}"), 0))
+    page = Window.partitionBy("doc_id", "page").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    lines = lines.withColumn("skipped", F.last(mark, ignorenulls=True).over(page)).where("coalesce(skipped, 0) = 0")
     dense = lines.where("kind = 'row'").groupBy(*PERIOD, "page").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= MIN_ROWS)
     dense = dense.withColumn("candidate", F.row_number().over(Window.partitionBy(*PERIOD).orderBy(F.desc("n"), "page"))).where(F.col("candidate") <= CANDIDATES)
     seen = lines.join(dense.select(*PERIOD, "page", "candidate"), [*PERIOD, "page"])
@@ -132,39 +166,53 @@ def layouts(lines: DataFrame) -> DataFrame:
     shape = bands.groupBy(*CAND).agg(
         F.array_sort(F.collect_list(F.when(~F.col("has_balance") | (F.col("cluster") < F.col("last")), band))).alias("all_amounts"), F.first(F.when(F.col("has_balance") & (F.col("cluster") == F.col("last")), band), ignorenulls=True).alias("balance_column"), F.min("x0").alias("left"), F.max("x1").alias("right")
     )
-    dates = table.groupBy(*CAND).agg((F.min(F.get("words", 0)["x0"]) - geometry.COLUMN_PAD).alias("d0"), (F.max("lead.x1") + geometry.COLUMN_PAD).alias("d1"), F.bool_or(F.exists("cells", lambda m: m["cents"] < 0)).alias("negative"))
+    dates = table.groupBy(*CAND).agg((F.min(F.get("words", 0)["x0"]) - geometry.COLUMN_PAD).alias("d0"), (F.max(F.get("words", F.col("lead.k") - 1)["x1"]) + geometry.COLUMN_PAD).alias("d1"), F.bool_or(F.exists("cells", lambda m: m["cents"] < 0)).alias("negative"))
     heads = seen.where("kind = 'heading'").join(columns.groupBy(*CAND).agg(F.collect_list(band).alias("bands")), CAND)
     heads = heads.where(~F.exists("words", lambda w: F.exists("bands", lambda b: (w["x0"] <= b["x1"]) & (w["x1"] >= b["x0"]))))
     side = F.when(names_side(F.col("text"), "deposits"), "deposit").when(names_side(F.col("text"), "withdrawals"), "withdrawal")
     sections = heads.withColumn("side", side).where("side is not null").groupBy(*CAND).agg(F.collect_set(F.struct(squash(F.col("text")).alias("name"), F.col("side").alias("side"))).alias("sections"))
-    out = shape.join(dates, CAND).join(sections, CAND, "left").withColumn("sections", F.coalesce("sections", F.array().cast("array<struct<name:string,side:string>>")))
+    counted = table.groupBy(*CAND, F.col("lead.notation").alias("notation")).agg(F.count(F.lit(1)).alias("n"))
+    declared = F.array_position(F.array(*map(F.lit, NOTATIONS)), F.col("notation"))
+    dominant = counted.groupBy(*CAND).agg(F.array(F.max_by("notation", F.struct("n", -declared))).alias("date_formats"))
+    out = shape.join(dates, CAND).join(dominant, CAND).join(sections, CAND, "left").withColumn("sections", F.coalesce("sections", F.array().cast("array<struct<name:string,side:string>>")))
     out = out.withColumn("amount_columns", F.slice("all_amounts", F.greatest(F.size("all_amounts") - 1, F.lit(1)), F.lit(2)))
     strategy = F.when(F.size("amount_columns") == 2, "two_columns").when(F.col("negative"), "signed").when(F.size("sections") >= 2, "sections").when(F.col("balance_column").isNotNull(), "balance_delta")
-    return out.withColumn("strategy", strategy).where("strategy is not null and size(amount_columns) > 0").select(*CAND, F.struct(F.col("d0").alias("x0"), F.col("d1").alias("x1")).alias("date_column"), "amount_columns", "balance_column", "strategy", "sections")
+    return out.withColumn("strategy", strategy).where("strategy is not null and size(amount_columns) > 0").select(*CAND, F.struct(F.col("d0").alias("x0"), F.col("d1").alias("x1")).alias("date_column"), "amount_columns", "balance_column", "strategy", "sections", "date_formats")
+
+
+def distinct_layouts(profiles: DataFrame) -> DataFrame:
+    """Equal layouts of a period once, under the first rank."""
+    body = [c for c in profiles.columns if c not in CAND]
+    first = profiles.withColumn("as_text", F.to_json(F.struct(*body))).groupBy(*PERIOD, "as_text").agg(F.min("candidate").alias("candidate"))
+    return profiles.join(first.select(*CAND), CAND, "left_semi")
 
 
 def within(c: Column, band: Column) -> Column:
     return (c >= band["x0"]) & (c <= band["x1"])
 
 
-def transactions(lines: DataFrame, profiles: DataFrame, figures: DataFrame, cycles: DataFrame) -> DataFrame:
-    """Rows of every period under each candidate layout: date, description, side,
-    cents, balance, recovered (amount taken from the balance step),
-    date_inherited. Zero amounts and rows without a side are no rows."""
+def table_rows(lines: DataFrame, profiles: DataFrame, figures: DataFrame, cycles: DataFrame) -> DataFrame:
+    """Every line under each candidate layout with what it is read as: day, amount,
+    balance, side, cents, and whether it emits a row (``emits``: plain, with an
+    inherited date, or recovered from the balance step). Lines of a listing and its
+    header take no part."""
     c = F.col
-    under = lines.join(profiles, PERIOD).join(figures.select(*PERIOD, c("beginning").alias("opening")), PERIOD).join(cycles, PERIOD, "left")
-    in_date = F.coalesce(within((F.get("words", 0)["x0"] + F.get("words", 0)["x1"]) / 2, c("date_column")), F.lit(False))
-    amount = F.get(F.filter(F.transform("cells", lambda m: F.struct(m["cents"].alias("cents"), F.when(within(m["c"], F.get("amount_columns", 0)), 0).when(within(m["c"], F.get("amount_columns", 1)), 1).alias("column"))), lambda m: m["column"].isNotNull()), 0)
-    balance = F.get(F.filter("cells", lambda m: F.coalesce(within(m["c"], c("balance_column")), F.lit(False))), 0)["cents"]
+    table = lines.where(~c("in_listing") & ~c("listing_header"))
+    under = table.join(profiles, PERIOD).join(figures.select(*PERIOD, c("beginning").alias("opening")), PERIOD).join(cycles, PERIOD, "left")
+    placed = F.filter("words", lambda w: F.coalesce(within((w["x0"] + w["x1"]) / 2, c("date_column")), F.lit(False)))
+    read_day = F.when(F.exists(placed, lambda w: w["text"].rlike(r"\d")), scan.date_at(placed, F.lit(0), c("date_formats"))["date"])
+    amount = F.get(F.filter(F.transform("paid", lambda m: F.struct(m["cents"].alias("cents"), F.when(within(m["c"], F.get("amount_columns", 0)), 0).when(within(m["c"], F.get("amount_columns", 1)), 1).alias("column"))), lambda m: m["column"].isNotNull()), 0)
+    balance = F.get(F.filter("paid", lambda m: F.coalesce(within(m["c"], c("balance_column")), F.lit(False))), 0)["cents"]
     spoken = F.filter("words", lambda w: ((w["x0"] + w["x1"]) / 2 >= c("date_column")["x1"]) & ((w["x0"] + w["x1"]) / 2 <= F.get("amount_columns", 0)["x0"]))
-    day = F.when(in_date, with_year(c("lead.date"), c("start")))
     section = F.get(F.filter("sections", lambda s: s["name"] == squash(c("text"))), 0)["side"]
-    read = under.withColumns({"day": day, "amount": amount, "balance": balance, "said": F.array_join(F.transform(spoken, lambda w: w["text"]), " "), "heading": F.when((c("kind") == "heading"), section)})
+    read = under.withColumn("stated", read_day).withColumn("day", with_year(c("stated"), c("start")))
+    read = read.withColumns({"amount": amount, "balance": balance, "said": F.array_join(F.transform(spoken, lambda w: w["text"]), " "), "n_spoken": F.size(spoken)})
+    no_money = c("amount").isNull() & c("balance").isNull()
+    read = read.withColumn("heading", F.when(c("day").isNull() & no_money, section)).withColumn("is_summary", c("summary") & c("day").isNotNull() & c("amount").isNotNull())
     order = Window.partitionBy(*CAND).orderBy("line_no")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
-    printing = F.when(c("balance").isNotNull() & (c("day").isNotNull() | c("amount").isNotNull()), c("balance"))
+    printing = F.when(c("balance").isNotNull() & ~c("is_summary") & (c("day").isNotNull() | c("amount").isNotNull()), c("balance"))
     read = read.withColumn("previous", F.coalesce(F.last(printing, ignorenulls=True).over(before), c("opening"))).withColumn("section", F.last("heading", ignorenulls=True).over(before))
-    step = c("balance") - c("previous")
     by_strategy = {k: rows.side_of(k, c("amount.cents"), column=c("amount.column"), section=F.when(c("section") == "deposit", "deposits").when(c("section") == "withdrawal", "withdrawals"), before=c("previous"), balance=c("balance")) for k in ("two_columns", "signed", "sections", "balance_delta")}
     side = None
     for k, v in by_strategy.items():
@@ -172,54 +220,151 @@ def transactions(lines: DataFrame, profiles: DataFrame, figures: DataFrame, cycl
     read = read.withColumn("side", side)
     signed = F.when(c("side") == "deposit", F.abs("amount.cents")).otherwise(-F.abs("amount.cents"))
     chained = F.coalesce(c("previous") + signed == c("balance"), F.lit(False)) & c("side").isNotNull()
-    plain = c("day").isNotNull() & c("amount").isNotNull()
+    plain = c("day").isNotNull() & c("amount").isNotNull() & ~c("is_summary")
     undated = c("day").isNull() & c("amount").isNotNull() & chained
     recovered = c("day").isNotNull() & c("amount").isNull() & c("balance").isNotNull() & c("previous").isNotNull()
-    read = read.withColumns({"recovered": recovered, "date_inherited": undated, "emits": plain | undated | recovered})
+    step = c("balance") - c("previous")
+    read = read.withColumns({"plain": plain, "recovered": recovered, "date_inherited": undated, "emits": plain | undated | recovered})
     read = read.withColumn("date", F.coalesce("day", F.when(undated, F.coalesce(F.last(F.when(plain, c("day")), ignorenulls=True).over(before), c("start")))))
     read = read.withColumn("side", F.when(recovered, F.when(step > 0, "deposit").otherwise("withdrawal")).otherwise(c("side"))).withColumn("cents", F.when(recovered, F.abs(step)).otherwise(F.abs("amount.cents")))
-    kept = c("emits") & (c("cents") != 0) & c("side").isNotNull() & c("date").isNotNull()
+    return read.withColumn("kept", c("emits") & (c("cents") != 0) & c("side").isNotNull() & c("date").isNotNull())
+
+
+def transactions(read: DataFrame) -> DataFrame:
+    """Rows of every period under each candidate layout (of table_rows): date,
+    description, side, cents, balance, recovered (amount taken from the balance
+    step), date_inherited. Zero amounts and rows without a side are no rows."""
+    c = F.col
+    order = Window.partitionBy(*CAND).orderBy("line_no")
     # A line of words in the description band alone goes on with the row above it.
-    read = read.withColumn("kept", kept).withColumn("row_no", F.sum(kept.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    goes_on = ~c("emits") & (c("kind") == "heading") & c("heading").isNull() & (F.size("words") == F.size(spoken))
+    read = read.withColumn("row_no", F.sum(c("kept").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    goes_on = ~c("emits") & c("day").isNull() & c("amount").isNull() & c("balance").isNull() & c("heading").isNull() & (F.size("words") == c("n_spoken"))
     parts = read.where((c("kept") | goes_on) & (c("row_no") > 0))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "said"))), lambda x: x["said"]), " ")
     head = F.min_by(F.struct("page", "line_no", "date", "side", "cents", "balance", "recovered", "date_inherited", "start", "end"), "line_no").alias("r")
     out = parts.groupBy(*CAND, "row_no").agg(head, text.alias("description"))
     out = out.select(*CAND, (c("row_no") - 1).cast("int").alias("row_index"), "r.*", "description")
-    outside = (c("date") < c("start")) | (c("date") > c("end"))
-    return out.withColumn("out_of_period", F.coalesce(outside, F.lit(False))).withColumn("yearless", F.year("date") == SENTINEL_YEAR).drop("start", "end")
+    return _placed_in_period(out)
 
 
-def extract(words: DataFrame) -> dict[str, DataFrame]:
-    """``transactions`` (of the best candidate), ``checks`` (tie-out and diagnosis,
-    one row a period), ``layouts`` and ``periods``. Words: doc_id, page, text, x0,
-    x1, top, height. A period without a layout ties out with no rows."""
-    facts = written(line_facts(words), "facts")
+def _placed_in_period(found: DataFrame) -> DataFrame:
+    outside = (F.col("date") < F.col("start")) | (F.col("date") > F.col("end"))
+    return found.withColumn("out_of_period", F.coalesce(outside, F.lit(False))).withColumn("yearless", F.year("date") == SENTINEL_YEAR).drop("start", "end")
+
+
+def listing_rows(lines: DataFrame, cycles: DataFrame) -> DataFrame:
+    """Rows of the listings of every period, whatever the layout; side null where
+    neither a heading nor the header says it."""
+    each = lines.where("records is not null").select(*PERIOD, "page", "line_no", F.col("listing_side").alias("side"), F.posexplode("records").alias("slot", "r"))
+    each = each.join(cycles, PERIOD, "left").select(*PERIOD, "page", "line_no", "slot", "side", "start", "end", with_year(F.col("r.date"), F.col("start")).alias("date"), "r.cents", "r.description")
+    return _placed_in_period(each)
+
+
+#: What the rows of a layout leave in doubt, by the flags of table_rows.
+WARNINGS = {
+    "before_any_section": "emits and side is null and cents <> 0",
+    "zero_amount": "emits and cents = 0 and not recovered",
+    "amount_from_balance": "kept and recovered",
+    "summary_table": "is_summary",
+    "against_contract": "emits and cents < 0",
+    "placeholder_year": "kept and start is null and year(date) = 1904",
+    "date_from_row_before": "kept and date_inherited",
+    "no_date": "emits and cents <> 0 and side is not null and date is null",
+}
+
+
+def row_warnings(read: DataFrame) -> DataFrame:
+    """CAND, warning, n: kinds of ``WARNINGS`` that occur."""
+    counts = read.groupBy(*CAND).agg(*[F.count_if(F.expr(cond)).alias(k) for k, cond in WARNINGS.items()])
+    return counts.unpivot(CAND, list(WARNINGS), "warning", "n").where("n > 0")
+
+
+def extract(words: DataFrame, layouts_given: DataFrame | None = None) -> dict[str, DataFrame]:
+    """``transactions`` (of the best candidate), ``checks`` (tie-out, diagnosis and
+    audit, one row a period), ``layouts``, ``periods``, ``warnings`` and ``doubts``.
+    Words: doc_id, page, text, x0, x1, top, height, and source where pages were
+    recognised. A period without a layout ties out with no rows.
+
+    Candidates are tried in order, the first that reconciles stays, else the one
+    that fails least; each with its listings' rows and without, whichever is
+    better. ``layouts_given`` (columns of ``layouts``, candidate apart) are tried
+    where none of those reconciles, and stay only if they do.
+    """
+    facts = written(listing.with_listings(line_facts(upright(words))), "facts")
     pages = written(periods(page_anchors(facts)), "pages")
-    lines = written(facts.join(pages.select("doc_id", "page", "period"), ["doc_id", "page"]), "placed")
+    lines = written(split_header(facts.join(pages.select("doc_id", "page", "period"), ["doc_id", "page"])), "placed")
     cycles = pages.groupBy(*PERIOD).agg(F.min_by("cycle", F.when(F.col("cycle").isNotNull(), F.struct(F.col("cycle.start").isNull() | F.col("cycle.end").isNull(), "page"))).alias("cycle"), F.min_by("last4", F.when(F.col("last4").isNotNull(), F.col("page"))).alias("last4"))
     cycles = cycles.select(*PERIOD, F.col("cycle.start").alias("start"), F.col("cycle.end").alias("end"), "last4")
     figures = written(printed_figures(lines), "figures")
-    profiles = written(layouts(lines), "layouts")
-    found = written(transactions(lines, profiles, figures, cycles), "rows")
-    tried = figures.join(profiles.select(*CAND), PERIOD, "left").withColumn("candidate", F.coalesce("candidate", F.lit(0)))
-    checks = reconcile.reconcile(tried, found, CAND)
-    guessed = found.groupBy(*CAND).agg(F.count_if("recovered").alias("n_recovered"))
-    best = written(rows.best_candidate(checks.join(guessed, CAND, "left").fillna(0, ["n_recovered"]), PERIOD), "best")
-    kept = found.join(best.select(*CAND), CAND, "left_semi")
+    profiles = distinct_layouts(layouts(lines))
+    if layouts_given is not None:
+        given = layouts_given.withColumn("candidate", F.lit(GIVEN)).select(*profiles.columns)
+        profiles = profiles.unionByName(given)
+    profiles = written(profiles, "layouts")
+    read = written(table_rows(lines, profiles, figures, cycles), "read")
+    found = written(transactions(read), "rows")
+    listed = written(listing_rows(lines, cycles), "listed")
+    best, kept = _best(figures, profiles, found, listed)
+    warned = _warnings(read, profiles, listed, best, words)
+    doubts = written(audit.doubt_items(kept, warned, best.select(*PERIOD)), "doubts")
     shown = lines.select(*PERIOD, "page", F.explode("money").alias("m")).select(*PERIOD, "page", "m.cents")
-    signed = kept.withColumn("signed", F.when(F.col("side") == "deposit", F.col("cents")).otherwise(-F.col("cents"))).join(figures.select(*PERIOD, F.col("beginning").alias("opening")), PERIOD)
+    told = diagnose.residual_matches(diagnose.count_signature(best), kept, shown, PERIOD).join(_breaks(kept, figures), PERIOD, "left")
+    diagnosed = diagnose.details(diagnose.diagnose(told))
+    counted = doubts.groupBy(*PERIOD).agg(F.count(F.lit(1)).alias("doubted"))
+    judged = audit.sides(audit.completeness(diagnosed)).join(counted, PERIOD, "left").fillna(0, ["doubted"])
+    audited = audit.next_steps(audit.verdict(audit.attribution(judged, F.col("doubted"))))
+    path = F.when(F.col("candidate") == GIVEN, "given_layout").otherwise("deterministic")
+    checks = audited.withColumn("path", path).join(cycles, PERIOD, "left").join(figures.select(*PERIOD, "bank"), PERIOD, "left")
+    return {"transactions": kept, "checks": checks, "layouts": profiles, "periods": pages, "warnings": warned, "doubts": doubts}
+
+
+def _best(figures: DataFrame, profiles: DataFrame, found: DataFrame, listed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The best reading of each period, and its rows."""
+    sided = listed.where("side is not null and cents <> 0")
+    has = sided.select(*PERIOD).distinct().withColumn("variant", F.lit(1))
+    plain = figures.drop("bank").join(profiles.select(*CAND), PERIOD, "left").withColumn("candidate", F.coalesce("candidate", F.lit(0))).withColumn("variant", F.lit(0))
+    tried = plain.unionByName(plain.where("candidate > 0").drop("variant").join(has, PERIOD).select(*plain.columns))
+    table = found.withColumn("variant", F.lit(0))
+    more = sided.join(plain.select(*CAND).where("candidate > 0"), PERIOD).withColumn("variant", F.lit(1))
+    merged = found.join(has, PERIOD).unionByName(more.drop("slot").withColumn("order_in_line", F.col("line_no")), allowMissingColumns=True).drop("order_in_line")
+    every = written(table.unionByName(merged.withColumns({"recovered": F.coalesce("recovered", F.lit(False)), "date_inherited": F.coalesce("date_inherited", F.lit(False))}), allowMissingColumns=True), "every_row")
+    checks = reconcile.reconcile(tried, every, TRIED)
+    guessed = every.groupBy(*TRIED).agg(F.count_if("recovered").alias("n_recovered"))
+    ranked = checks.join(guessed, TRIED, "left").fillna(0, ["n_recovered"])
+    variant = rows.best_candidate(ranked.withColumnRenamed("candidate", "layout").withColumnRenamed("variant", "candidate"), [*PERIOD, "layout"])
+    variant = variant.withColumnRenamed("candidate", "variant").withColumnRenamed("layout", "candidate")
+    free = variant.where((F.col("candidate") != GIVEN) | F.col("reconciled"))
+    best = written(rows.best_candidate(free, PERIOD, first_reconciled=True), "best")
+    kept = every.join(best.select(*TRIED), TRIED, "left_semi")
+    order = Window.partitionBy(*PERIOD).orderBy("page", "line_no", "row_index", "description", "cents")
+    return best, written(kept.withColumn("row_index", (F.row_number().over(order) - 1).cast("int")), "kept")
+
+
+def _breaks(kept: DataFrame, figures: DataFrame) -> DataFrame:
+    """Where the running balance of a period breaks first, if all its rows print one."""
+    signed = kept.withColumn("signed", rows.signed()).join(figures.select(*PERIOD, F.col("beginning").alias("opening")), PERIOD)
     whole = Window.partitionBy(*PERIOD)
     chain = signed.withColumn("all_balances", (F.count("balance").over(whole) == F.count(F.lit(1)).over(whole)) & F.col("opening").isNotNull()).where("all_balances")
-    breaks = diagnose.chain_breaks(chain, PERIOD, ["row_index"], F.col("opening")).select(*PERIOD, F.col("row_index").alias("break_index"), F.col("amount").alias("break_amount"))
-    told = diagnose.residual_matches(diagnose.count_signature(best), kept, shown, PERIOD).join(breaks, PERIOD, "left")
-    return {"transactions": kept, "checks": diagnose.diagnose(told).join(cycles, PERIOD, "left"), "layouts": profiles, "periods": pages}
+    return diagnose.chain_breaks(chain, PERIOD, ["row_index"], F.col("opening")).select(*PERIOD, F.col("row_index").alias("break_index"), F.col("amount").alias("break_amount"))
+
+
+def _warnings(read: DataFrame, profiles: DataFrame, listed: DataFrame, best: DataFrame, words: DataFrame) -> DataFrame:
+    """PERIOD, warning, n, of the reading that stays; written."""
+    own = row_warnings(read).join(best.select(*CAND), CAND, "left_semi").select(*PERIOD, "warning", "n")
+    none = best.where("candidate = 0").select(*PERIOD, F.lit("no_layout").alias("warning"), F.lit(1).cast("bigint").alias("n"))
+    counted = listed.groupBy(*PERIOD).agg(F.count_if(F.col("side").isNull()).alias("unsided"), F.count_if(F.col("side").isNotNull() & (F.col("cents") != 0)).alias("sided"), F.count_if(F.col("side").isNotNull() & (F.col("cents") == 0)).alias("zero")).join(best.select(*PERIOD, "candidate", "variant"), PERIOD).where("candidate > 0")
+    kinds = {"listing_without_side": "unsided", "listing_added": "if(variant = 1, sided, 0)", "listing_left_out": "if(variant = 0, sided, 0)", "zero_amount": "zero"}
+    of_listing = counted.select(*PERIOD, F.explode(F.array(*[F.struct(F.lit(k).alias("warning"), F.expr(v).cast("bigint").alias("n")) for k, v in kinds.items()])).alias("w")).select(*PERIOD, "w.*").where("n > 0")
+    out = own.unionByName(none).unionByName(of_listing)
+    if "source" in words.columns:
+        pages = words.where(F.col("source").isin(*RECOGNISED)).select("doc_id", "page").distinct().groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+        out = out.unionByName(pages.join(best.groupBy("doc_id").agg(F.min("period").alias("period")), "doc_id").select(*PERIOD, F.lit("no_text_layer").alias("warning"), "n"))
+    return written(out.groupBy(*PERIOD, "warning").agg(F.sum("n").alias("n")), "warnings")
 
 
 def nested(results: dict[str, DataFrame]) -> DataFrame:
     """One row a document: its periods with figures, checks and transactions."""
     listed = results["transactions"].groupBy(*PERIOD).agg(F.array_sort(F.collect_list(F.struct("row_index", "date", "description", "side", "cents", "page", "recovered", "date_inherited"))).alias("transactions"))
     each = results["checks"].join(listed, PERIOD, "left")
-    period = F.struct("period", "last4", "start", "end", "beginning", "ending", "reconciled", "residual", "diagnosis", *[f"check_{x}" for x in reconcile.CHECKS], "transactions")
+    period = F.struct("period", "bank", "last4", "start", "end", "path", "verdict", "detail", "beginning", "ending", "reconciled", "residual", "diagnosis", *[f"check_{x}" for x in reconcile.CHECKS], "transactions")
     return each.groupBy(*DOC).agg(F.array_sort(F.collect_list(period)).alias("periods"), F.bool_and("reconciled").alias("reconciled"), F.sum("residual").alias("residual"))

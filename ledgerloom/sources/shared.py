@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,11 +10,13 @@ from pyspark.sql import DataFrame
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as Parquet in the folder of ``spark.checkpoint.dir`` (a temporary one
-    where that is unset, as in local runs), read back."""
+    """``df`` as Parquet in the folder of ``spark.checkpoint.dir``, read back. Where
+    that is unset a local master gets a temporary folder, a cluster an error."""
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is not set; it must name a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="ledger_")
         spark.conf.set("spark.checkpoint.dir", folder)
     path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"

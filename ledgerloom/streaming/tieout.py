@@ -6,9 +6,14 @@ and tumbling window; a watermark bounds the state, and rows later than it go.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.money import cents
+
 
 def windowed_totals(rows: DataFrame, length: str = "7 days", late: str = "1 day", start: str = "4 days") -> DataFrame:
     """Weeks begin on Mondays: the epoch's first day was a Thursday."""
@@ -22,3 +27,13 @@ def run_once(rows: DataFrame, name: str, checkpoint: str) -> DataFrame:
     query = windowed_totals(rows).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return rows.sparkSession.table(name)
+
+
+def weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals by week and side of the events, read as a stream of files."""
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    side = F.when(F.col("event_type").isin("purchase", "signup"), "deposit").otherwise("withdrawal")
+    rows = stream.select(F.col("ts").cast("timestamp").alias("ts"), cents(F.col("value")).alias("cents"), side.alias("side"))
+    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ledger_")
+    return run_once(rows, f"weekly_{uuid.uuid4().hex[:8]}", f"{folder.rstrip('/')}/stream-{uuid.uuid4().hex}")

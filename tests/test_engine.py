@@ -31,18 +31,83 @@ def test_money(spark):
     assert got == [123456] * len(plus) + [-123456] * len(minus) + [None] * len(wrong) + [1234567890, 0]
 
 
+def test_money_marks(spark):
+    texts = ["(1,234.56) CR", "(-5.00)", "5.00 CR-", "100.00 DR", "5.00 CR", "(5.00", "5.00)", "- 5.00", "100.00 DRAFT", "-5.00-"]
+    assert values(spark, money.parse_money, texts) == [-123456, -500, -500, -10000, 500, None, None, None, None, -500]
+    found = lambda t: F.transform(money.find_money(t), lambda x: x["cents"])
+    assert values(spark, found, ["5.00 CR-", "100.00 DRAFT", "fee 1.00DR and (2.00) CR"]) == [[-500], [-10000], [-100, -200]]
+
+
 def test_find_money(spark):
     found = lambda t: F.transform(money.find_money(t), lambda x: x["cents"])
     assert values(spark, found, ["a 1.00 b (2.00) -3.00 4.00-", "é4.20 5.201 x6.00 7.00", "(8.00 and 9.00)", ""]) == [[100, -200, -300, -400], [700], [], []]
 
 
 def test_dates(spark):
-    got = values(spark, dates.parse_date, ["01/28/2025", "1/2/25", "2025-01-02", "2 Jan 2025", "January 2, 2025", "1-2-99", "04/02", "29 Feb", "13/45/2025", "x", "2 Jan"])
+    got = values(spark, dates.parse_date, ["01/28/2025", "1/2/25", "2025-01-02", "2 Jan 2025", "January 2, 2025", "1-2-1999", "04/02", "29 Feb", "13/45/2025", "x", "2 Jan"])
     assert got == [dt.date(2025, 1, 28), dt.date(2025, 1, 2), dt.date(2025, 1, 2), dt.date(2025, 1, 2), dt.date(2025, 1, 2), dt.date(1999, 1, 2), dt.date(1904, 4, 2), dt.date(1904, 2, 29), None, None, dt.date(1904, 1, 2)]
     year = lambda t: dates.with_year(dates.parse_date(t), F.lit(dt.date(2024, 12, 15)))
     assert values(spark, year, ["12/20", "01/05", "02/03/2023"]) == [dt.date(2024, 12, 20), dt.date(2025, 1, 5), dt.date(2023, 2, 3)]
 
 
+def test_date_spellings(spark):
+    got = values(spark, dates.parse_date, ["1 April 25", "01-02-25", "February 01,2026", "DECEMBER 31, 2024:", "sept 3", "May 1 2025.", "2025-1-5", "Apr1", "31 June 2025", "1,809.28", "4/5;", ""])
+    assert got == [dt.date(2025, 4, 1), None, dt.date(2026, 2, 1), dt.date(2024, 12, 31), None, dt.date(2025, 5, 1), dt.date(2025, 1, 5), None, None, None, dt.date(1904, 4, 5), None]
+    lines = ["February 1,2026-February 28,2026", "from 01/02/2025 to 02/03/2025: LAST", "Apr 11 and 3 May 2025", "no date 12.5", None]
+    assert values(spark, dates.find_dates, lines) == [[dt.date(2026, 2, 1), dt.date(2026, 2, 28)], [dt.date(2025, 1, 2), dt.date(2025, 2, 3)], [dt.date(1904, 4, 11), dt.date(2025, 5, 3)], [], []]
+
+
+def test_scan(spark):
+    from ledgerloom.functions import scan
+
+    box = "array<struct<text:string,x0:double,x1:double>>"
+    at = lambda *t: [(x, a, b) for x, a, b in t]
+    rows = [
+        (0, at(("01/02", 0.0, 30.0), ("1,2", 100.0, 120.0), ("34.", 121.0, 140.0), ("56", 141.0, 150.0), ("x", 160.0, 170.0))),
+        (1, at(("1,234", 0.0, 30.0), ("56", 32.0, 40.0), ("9.00", 60.0, 90.0))),
+        (2, at(("1,234.", 0.0, 30.0), ("56", 39.0, 50.0))),
+        (3, at(("0", 0.0, 6.0), ("1-2", 7.0, 20.0), ("i", 21.0, 27.0), ("5.00", 90.0, 99.0), ("Jan", 120.0, 140.0), ("3", 144.0, 150.0))),
+        (4, []),
+    ]
+    df = spark.createDataFrame(rows, f"i int, w {box}")
+    got = df.select("i", scan.amounts(F.col("w")).alias("m"), scan.dates(F.col("w")).alias("d"), scan.is_summary(scan.amounts(F.col("w")), scan.dates(F.col("w"))).alias("s")).orderBy("i").collect()
+    assert [[(m.cents, m.k) for m in r.m] for r in got] == [[(123456, 3)], [(123456, 2), (900, 1)], [], [(500, 1)], []]
+    assert [[(d.date, d.k) for d in r.d] for r in got] == [[(dt.date(1904, 1, 2), 1)], [], [], [(dt.date(1904, 1, 21), 3), (dt.date(1904, 1, 3), 2)], []]
+    assert [r.s for r in got] == [False, False, False, True, False]
+
+
+def test_lines_take_time_in_proportion(spark):
+    """Words on one height, on a slope that never breaks, and far apart."""
+    words = spark.range(3000).select(F.lit("d").alias("doc_id"), F.lit(1).alias("page"), F.col("id").cast("string").alias("text"), (F.col("id") % 10 * 5.0).alias("x0"), (F.col("id") % 10 * 5.0 + 4).alias("x1"), (F.floor(F.col("id") / 10) * 2.0).alias("top"), F.lit(9.0).alias("height"))
+    got = [r.n for r in geometry.lines(words, ["doc_id", "page"]).orderBy("line_idx").select(F.size("words").alias("n")).collect()]
+    tops, lines, line = [i // 10 * 2.0 for i in range(3000)], [], []
+    for t in tops:
+        if line and t - sum(line) / len(line) > 3:
+            lines.append(line)
+            line = []
+        line.append(t)
+    assert got == [len(x) for x in [*lines, line]]
+
+
+def test_repair_is_all_or_nothing(spark):
+    from ledgerloom.operators import rows
+
+    printed = spark.createDataFrame([(1, 0, 300, 300, 0, None, None), (2, 0, 300, 300, 0, None, None)], PRINTED)
+    found = spark.createDataFrame([(1, 10, D, 100), (2, 20, D, 100)], "k int, id int, side string, cents bigint")
+    edits = spark.createDataFrame([("insert", 1, 11, D, 200), ("insert", 2, 21, D, 199)], "op string, k int, id int, side string, cents bigint")
+    got = {tuple(r) for r in rows.repaired(found, edits, printed, KEY, "id").collect()}
+    assert got == {(1, 10, D, 100, True), (1, 11, D, 200, True), (2, 20, D, 100, False)}
+
+
+def test_segment_edges(spark):
+    from ledgerloom.operators import recognised
+
+    boxes = [(0, [(0.0, 10.0), (50.0, 15.0), (50.0, 30.0), (0.0, 25.0)]), (1, [(5.0, 1.0), (5.0, 1.0), (6.0, 9.0), (5.0, 9.0)])]
+    df = spark.createDataFrame(boxes, "i int, b array<struct<x:double,y:double>>")
+    assert [r[0] for r in df.orderBy("i").select(recognised.rise_of(F.col("b"))).collect()] == [5.0, 0.0]
+    assert values(spark, recognised.repaired, ["32/537.69", "1.234.56", "04.01.2025", "Ixonia", "|1.20", "x1.20"]) == ["32,537.69", "1,234.56", "04.01.2025", "Ixonia", "11.20", "x1.20"]
+
+
 def test_text(spark):
     assert values(spark, text.tokens, ["DepositTotal:12ab **1234"]) == [["Deposit", "Total", "12", "ab", "**", "1234"]]
     assert values(spark, text.last4, ["Acct XXXX1234", "maxXX1234", "none"]) == ["1234", None, None]
