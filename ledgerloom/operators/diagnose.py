@@ -50,19 +50,29 @@ def chain_breaks(rows: DataFrame, keys: list[str], order: list[str], opening: Co
 
 
 def residual_matches(checks: DataFrame, rows: DataFrame, page_money: DataFrame, keys: list[str]) -> DataFrame:
-    """For residuals without printed counts: half_row, whole_row (a parsed row has
-    half the residual, or all of it) and page (the first that shows it). Joins
-    are on key and amount, so a period's rows never meet pairwise."""
-    want = checks.select(*keys, F.abs("residual").alias("magnitude"))
-    amounts = rows.select(*keys, F.col("cents").alias("amount")).distinct()
-    half = want.where("magnitude % 2 = 0").withColumn("amount", F.expr("magnitude div 2")).join(amounts, [*keys, "amount"], "left_semi").select(*keys, F.lit(True).alias("half_row"))
-    whole = want.withColumnRenamed("magnitude", "amount").join(amounts, [*keys, "amount"], "left_semi").select(*keys, F.lit(True).alias("whole_row"))
-    shown = page_money.select(*keys, F.abs("cents").alias("amount"), "page").groupBy(*keys, "amount").agg(F.min("page").alias("page"))
-    page = want.withColumnRenamed("magnitude", "amount").join(shown, [*keys, "amount"]).select(*keys, "page")
-    out = checks
-    for more in (half, whole, page):
-        out = out.join(more, keys, "left")
-    return out.fillna(False, ["half_row", "whole_row"])
+    """For periods with a residual: half_row, whole_row (a parsed row has half the
+    residual, or all of it) and page (the first that shows it). What is wanted, a
+    row or two a period, meets rows and pages in one join on key and amount, so a
+    period's rows never meet pairwise."""
+    c = F.col
+    magnitude = F.abs("residual")
+    halved = F.when(magnitude % 2 == 0, F.expr("abs(residual) div 2"))
+    wanted = checks.where("residual <> 0").select(*keys, F.explode(F.array(F.struct(magnitude.alias("amount"), F.lit(False).alias("half")), F.struct(halved.alias("amount"), F.lit(True).alias("half")))).alias("w")).select(*keys, "w.*").where("amount is not null")
+    seen = rows.select(*keys, c("cents").alias("amount"), F.lit(None).cast(page_money.schema["page"].dataType).alias("page")).unionByName(page_money.select(*keys, F.abs("cents").alias("amount"), "page"))
+    of_row = c("page").isNull()
+    found = wanted.join(seen, [*keys, "amount"]).groupBy(*keys).agg(F.bool_or(of_row & c("half")).alias("half_row"), F.bool_or(of_row & ~c("half")).alias("whole_row"), F.min(F.when(~c("half"), c("page"))).alias("page"))
+    return checks.join(found, keys, "left").fillna(False, ["half_row", "whole_row"])
+
+
+def amount_held(wanted: DataFrame, shown: DataFrame, keys: list[str]) -> DataFrame:
+    """``wanted`` (keys, amount) whose amount some row or page of ``shown`` (keys,
+    cents) has: is an amount there at all?"""
+    return wanted.join(shown.select(*keys, F.abs("cents").alias("amount")), [*keys, "amount"], "left_semi")
+
+
+def unread(shown: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
+    """What is shown (keys, cents) and in no row of its key."""
+    return shown.join(rows.select(*keys, "cents"), [*keys, "cents"], "left_anti")
 
 
 def diagnose(checks: DataFrame) -> DataFrame:

@@ -58,11 +58,16 @@ def columns(cells: DataFrame, keys: list[str], row: str) -> DataFrame:
     return stats.where(f"n_rows >= 2 and spread <= {EDGE_SPREAD}").select(*keys, "cluster", (F.col("lo") - COLUMN_PAD).alias("x0"), (F.col("hi") + COLUMN_PAD).alias("x1"), "n_rows")
 
 
+def row_margins(rows: DataFrame, keys: list[str], left: str) -> DataFrame:
+    """keys, margin (median left edge), n: of pages with three rows or more."""
+    return rows.groupBy(*keys).agg(F.median(left).alias("margin"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= MIN_ROWS)
+
+
 def page_shifts(rows: DataFrame, doc: str, page: str, left: str) -> DataFrame:
     """How far each page is off the document's margin: median of the pages'
-    medians less the page's median, for pages of three rows or more, where two
-    pages at least have them; null beyond 30 points."""
-    medians = rows.groupBy(doc, page).agg(F.median(left).alias("margin"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= MIN_ROWS)
+    margins less the page's, where two pages at least have one; null beyond 30
+    points."""
+    medians = row_margins(rows, [doc, page], left)
     target = medians.groupBy(doc).agg(F.median("margin").alias("target"), F.count(F.lit(1)).alias("pages")).where("pages >= 2")
     shift = F.col("target") - F.col("margin")
     return medians.join(target, doc).select(doc, page, "margin", F.when(F.abs(shift) <= MAX_SHIFT, shift).alias("shift"))

@@ -54,3 +54,14 @@ def reconcile(printed: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame
     out = out.withColumn("n_ok", n("ok")).withColumn("n_fail", n("fail")).withColumn("reconciled", closes)
     why = F.when(c("reconciled") | (c("n_fail") > 0), None).when(n("unavailable") == len(CHECKS), "no_printed_summary").otherwise("no_transaction_evidence")
     return out.withColumn("structural", why)
+
+
+def rollup(checks: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """Several periods as one: first beginning, last ending, sums of both sides, the
+    worst state of each check, reconciled if all are, summed residual."""
+    level = lambda k: F.max(F.when(F.col(f"check_{k}") == "ok", SEVERITY["ok"]).when(F.col(f"check_{k}") == "unavailable", SEVERITY["unavailable"]).otherwise(SEVERITY["fail"]))
+    state_of = lambda n: F.when(n == 0, "ok").when(n == 1, "unavailable").otherwise("fail")
+    first = lambda f, c: f(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(c)
+    sums = [F.sum(c).alias(c) for c in ("dep_cents", "wd_cents", "dep_n", "wd_n", "residual")]
+    worst = [state_of(level(k)).alias(f"check_{k}") for k in CHECKS]
+    return checks.groupBy(*keys).agg(F.count(F.lit(1)).alias("periods"), first(F.min_by, "beginning"), first(F.max_by, "ending"), *sums, F.bool_and("reconciled").alias("reconciled"), *worst)

@@ -55,6 +55,22 @@ def side_of(strategy: str, amount: Column, column: Column | None = None, section
     return F.when(before.isNotNull(), F.when(balance > before, "deposit").otherwise("withdrawal"))
 
 
+def breach(cents: Column, day: Column, side: Column) -> Column:
+    """Why a row breaks the contract of the output (an amount above zero, a date and
+    a side); null if it doesn't."""
+    return F.when(cents.isNull() | (cents < 0), "amount").when(cents == 0, "zero").when(day.isNull(), "date").when(side.isNull() | ~side.isin("deposit", "withdrawal"), "side")
+
+
+def outside(day: Column, start: Column, end: Column) -> Column:
+    """Before the period's start or after its end, where these are known."""
+    return F.coalesce((day < start) | (day > end), F.lit(False))
+
+
+def top_ranked(counts: DataFrame, keys: list[str], by: str, then: str, most: int) -> DataFrame:
+    """The ``most`` rows of each key with the highest ``by``, ranked from 1 in ``k``."""
+    return counts.withColumn("k", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(by), then))).where(F.col("k") <= most)
+
+
 def best_candidate(candidates: DataFrame, keys: list[str], first_reconciled: bool = False) -> DataFrame:
     """Of several readings the best: reconciled first, then more checks that hold,
     fewer recovered rows, a smaller residual, the earlier candidate. With

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ledgerloom.functions import dates, money, text
 from ledgerloom.operators import audit, diagnose, geometry, reconcile, rows
 from ledgerloom.plans.ledger import KEYS, OPENING, ledger, parsed, printed, table
+from ledgerloom.sources import words as edges
+from ledgerloom.sources.shared import written
 from ledgerloom.streaming import tieout
 
 ORACLES: dict[str, str] = {}
@@ -114,7 +116,8 @@ def _checks(spark: SparkSession, sf: str) -> DataFrame:
 def _diagnosed(spark: SparkSession, sf: str) -> DataFrame:
     full = ledger(spark, sf)
     pages = full.select(*KEYS, "cents", (F.col("event_id") % 7).alias("page"))
-    checks = diagnose.count_signature(_checks(spark, sf))
+    # Written: read for what is wanted and for the result.
+    checks = written(diagnose.count_signature(_checks(spark, sf)), "checks")
     return diagnose.diagnose(diagnose.residual_matches(checks, parsed(full), pages, KEYS))
 
 
@@ -205,13 +208,13 @@ def audit_file_verdict(spark, sf):
     return audit.file_verdict(_audited(spark, sf), ["account"])
 
 
-@query(f"""{CHECKED} select account, bool_and(reconciled) as reconciled,
-  max(case check_balance_equation when 'ok' then 0 when 'unavailable' then 1 else 2 end)::int as worst_balance, sum(residual)::bigint as residual,
-  arg_min(beginning, period) as beginning, arg_max(ending, period) as ending, sum(dep_cents)::bigint as dep_cents, sum(wd_cents)::bigint as wd_cents from c group by account""")
+_WORST = ", ".join(f"['ok', 'unavailable', 'fail'][max(case check_{k} when 'ok' then 1 when 'unavailable' then 2 else 3 end)] as check_{k}" for k in reconcile.CHECKS)
+
+
+@query(f"""{CHECKED} select account, count(*) as periods, bool_and(reconciled) as reconciled, sum(residual)::bigint as residual, arg_min(beginning, period) as beginning, arg_max(ending, period) as ending,
+  sum(dep_cents)::bigint as dep_cents, sum(wd_cents)::bigint as wd_cents, sum(dep_n)::bigint as dep_n, sum(wd_n)::bigint as wd_n, {_WORST} from c group by account""")
 def period_rollup(spark, sf):
-    level = F.when(F.col("check_balance_equation") == "ok", 0).when(F.col("check_balance_equation") == "unavailable", 1).otherwise(2)
-    first = lambda f, c: f(F.when(F.col(c).isNotNull(), F.col(c)), F.when(F.col(c).isNotNull(), F.col("period"))).alias(c)
-    return _checks(spark, sf).groupBy("account").agg(F.bool_and("reconciled").alias("reconciled"), F.max(level).alias("worst_balance"), F.sum("residual").alias("residual"), first(F.min_by, "beginning"), first(F.max_by, "ending"), F.sum("dep_cents").alias("dep_cents"), F.sum("wd_cents").alias("wd_cents"))
+    return reconcile.rollup(_checks(spark, sf), ["account"], "period")
 
 
 # ------------------------------------------------------------------ ranking, variants, repair, evaluation
@@ -337,23 +340,22 @@ def side_balance_delta(spark, sf):
 @query(f"with {L} select account, period, count(*) filter (cents // 1000 = 0) as zero_rows, count(*) filter (cents // 1000 <> 0) as kept_rows from l group by all")
 def zero_rows_skipped(spark, sf):
     """Amounts in tens, cut: those of zero are no transactions and are counted."""
-    tens = F.floor(F.col("cents") / 1000)
-    return ledger(spark, sf).groupBy(*KEYS).agg(F.count_if(tens == 0).alias("zero_rows"), F.count_if(tens != 0).alias("kept_rows"))
+    why = rows.breach(F.floor(F.col("cents") / 1000), F.to_date("ts"), F.col("side"))
+    return ledger(spark, sf).groupBy(*KEYS).agg(F.count_if(F.coalesce(why == "zero", F.lit(False))).alias("zero_rows"), F.count_if(why.isNull()).alias("kept_rows"))
 
 
-@query("""select o_orderkey as id, case when o_totalprice is null or o_totalprice <= 0 then 'amount' when o_orderdate is null then 'date' when o_orderkey % 97 = 0 then 'side' end as reason
-from orders where coalesce(o_totalprice, 0) <= 0 or o_orderdate is null or o_orderkey % 97 = 0""")
+@query("""select o_orderkey as id, case when o_totalprice is null or round(o_totalprice * 100) < 0 then 'amount' when round(o_totalprice * 100) = 0 then 'zero' when o_orderkey % 89 = 0 then 'date' when o_orderkey % 97 = 0 then 'side' end as reason
+from orders where o_totalprice is null or round(o_totalprice * 100) <= 0 or o_orderkey % 89 = 0 or o_orderkey % 97 = 0""")
 def contract_quarantine(spark, sf):
     """Rows that break the output's contract, with the first reason."""
-    c = F.col
-    reason = F.when(c("o_totalprice").isNull() | (c("o_totalprice") <= 0), "amount").when(c("o_orderdate").isNull(), "date").when(c("o_orderkey") % 97 == 0, "side")
-    return table(spark, sf, "orders").select(c("o_orderkey").alias("id"), reason.alias("reason")).where("reason is not null")
+    key = F.col("o_orderkey")
+    why = rows.breach(money.cents(F.col("o_totalprice")), F.when(key % 89 != 0, F.col("o_orderdate")), F.when(key % 97 == 0, "sideways").otherwise("deposit"))
+    return table(spark, sf, "orders").select(key.alias("id"), why.alias("reason")).where("reason is not null")
 
 
 @query(f"with {L} select account, event_id, cast(ts as date) not between period + 1 and period + 5 as out_of_period from l")
 def out_of_period(spark, sf):
-    day = F.to_date("ts")
-    return ledger(spark, sf).select("account", "event_id", (~day.between(F.date_add("period", 1), F.date_add("period", 5))).alias("out_of_period"))
+    return ledger(spark, sf).select("account", "event_id", rows.outside(F.to_date("ts"), F.date_add("period", 1), F.date_add("period", 5)).alias("out_of_period"))
 
 
 @query(f"""with {L}, {P}, w as (select account, period, abs(sum(case side when 'deposit' then cents else -cents end))::bigint as amount from p group by all)
@@ -361,13 +363,13 @@ select account, period, amount from w where exists (select 1 from l where l.acco
 def amount_semi(spark, sf):
     full = ledger(spark, sf)
     want = parsed(full).groupBy(*KEYS).agg(F.abs(F.sum(rows.signed())).alias("amount"))
-    return want.join(full.select("account", F.col("cents").alias("amount")), ["account", "amount"], "left_semi")
+    return diagnose.amount_held(want, full, ["account"])
 
 
 @query(f"""with {L}, {P} select account, period, event_id, cents from l where not exists (select 1 from p where p.account = l.account and p.period = l.period and p.cents = l.cents)""")
 def amount_anti(spark, sf):
     full = ledger(spark, sf)
-    return full.join(parsed(full).select(*KEYS, "cents"), [*KEYS, "cents"], "left_anti").select(*KEYS, "event_id", "cents")
+    return diagnose.unread(full, parsed(full), KEYS).select(*KEYS, "event_id", "cents")
 
 
 # ------------------------------------------------------------------ star tables
@@ -499,18 +501,13 @@ def line_fold(spark, sf):
     return geometry.lines(wobble, ["page"]).select("page", "line_idx", "text", F.size("words").alias("n"))
 
 
-@query(f"""with {L}, d as (select distinct cents / 100.0::double as v from l), x as (select v, case when v - lag(v) over (order by v) > 20 then 1 else 0 end as o from d),
-y as (select v, sum(o) over (order by v) as cluster from x)
-select cluster::bigint as cluster, min(v) as lo, max(v) as hi, count(*) as n from y group by 1""")
+@query(f"""with {L}, d as (select account, cents / 100.0::double as v from l), x as (select account, v, case when v - lag(v) over (partition by account order by v) > 20 then 1 else 0 end as o from d),
+y as (select account, v, sum(o) over (partition by account order by v) as cluster from x)
+select account, cluster::bigint as cluster, min(v) as lo, max(v) as hi, count(*) as n from y group by 1, 2""")
 def money_clusters(spark, sf):
-    """Distinct amounts as places on one line, cut at gaps over twenty: exact bins of
-    the gap's width are clustered first, so the only unpartitioned window runs
-    over one row a bin."""
-    v = ledger(spark, sf).select((F.col("cents") / 100).alias("v"))
-    bins = v.groupBy(F.floor(F.col("v") / geometry.COLUMN_GAP).alias("bin")).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.countDistinct("v").alias("n"))
-    w = Window.orderBy("bin")
-    opened = bins.withColumn("opens", F.when(F.col("lo") - F.lag("hi").over(w) > geometry.COLUMN_GAP, 1).otherwise(0)).withColumn("cluster", F.sum("opens").over(w))
-    return opened.groupBy("cluster").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n"))
+    """An account's amounts as places on one line, cut at gaps over twenty."""
+    places = geometry.gap_clusters(ledger(spark, sf).select("account", (F.col("cents") / 100).alias("v")), ["account"], "v")
+    return places.groupBy("account", "cluster").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count(F.lit(1)).alias("n"))
 
 
 @query(f"""with {L}, b as (select account, trunc(cents / 100.0::double - (event_id % 100) * 0.25::double)::bigint as bin, count(*) as n from l group by 1, 2) select account, sum(n * n)::bigint as sharpness from b group by 1""")
@@ -542,7 +539,7 @@ def registration_shift(spark, sf):
 
 @query(f"with {L} select account, median(cents / 100.0::double) as margin, count(*) as n from l group by 1 having count(*) >= 3")
 def row_margin(spark, sf):
-    return ledger(spark, sf).groupBy("account").agg(F.median(F.col("cents") / 100).alias("margin"), F.count(F.lit(1)).alias("n")).where("n >= 3")
+    return geometry.row_margins(ledger(spark, sf).select("account", (F.col("cents") / 100).alias("left")), ["account"], "left")
 
 
 @query(f"with {_GEO} select page, seq, x0 + top * 0.0625::double as x0, top - x0 * 0.0625::double as top from g")
@@ -554,14 +551,18 @@ def deskew(spark, sf):
 r as (select *, row_number() over (partition by source order by rows desc, doc_id) as k from d) select source, doc_id, rows::int as rows, k::int as k from r where k <= 3""")
 def densest_pages(spark, sf):
     found = F.size(F.filter(F.split("text", "\n"), lambda x: x.rlike("[.]$")))
-    dense = table(spark, sf, "documents").select("source", "doc_id", found.alias("rows"))
-    return dense.withColumn("k", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("rows"), "doc_id"))).where("k <= 3")
+    return rows.top_ranked(table(spark, sf, "documents").select("source", "doc_id", found.alias("rows")), ["source"], "rows", "doc_id", 3)
 
 
-@query(r"""select source, count(*) as pages, sum(length(text))::bigint as chars, sum(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')))::bigint as words, count(*) filter (length(trim(text)) < 20) as empty_pages from documents group by 1""")
+@query(r"""with d as (select source, doc_id, case doc_id % 5 when 0 then 'Opening balance 1,000.00 of ' || doc_id || '.00 ' else '' end || text as text from documents)
+select source, count(*) as pages, sum(length(text))::bigint as chars, sum(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')))::bigint as words, count(*) filter (length(trim(text)) < 20) as empty_pages,
+  coalesce(string_agg(doc_id::varchar, ',' order by doc_id) filter (doc_id % 5 = 0), '') as anchor_pages from d group by 1""")
 def doc_diagnostics(spark, sf):
-    n = F.size(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))
-    return table(spark, sf, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("pages"), F.sum(F.length("text")).alias("chars"), F.sum(n).alias("words"), F.count_if(F.length(F.trim("text")) < 20).alias("empty_pages"))
+    """Pages of documents by source, some with an opening balance set before them."""
+    lead = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("Opening balance 1,000.00 of "), F.col("doc_id").cast("string"), F.lit(".00 "))).otherwise("")
+    pages = table(spark, sf, "documents").select("source", F.col("doc_id").alias("page"), F.concat(lead, "text").alias("text"))
+    found = edges.diagnostics(pages, ["source"])
+    return found.withColumn("anchor_pages", F.array_join("anchor_pages", ",")).drop("amounts")
 
 
 @query(f"with {L} select cast(date_trunc('week', ts) as date) as period, side, count(*) as n, sum(cents)::bigint as cents from l group by 1, 2")

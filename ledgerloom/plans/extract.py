@@ -146,7 +146,7 @@ def layouts(lines: DataFrame) -> DataFrame:
     page = Window.partitionBy("doc_id", "page").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     lines = lines.withColumn("skipped", F.last(mark, ignorenulls=True).over(page)).where("coalesce(skipped, 0) = 0")
     dense = lines.where("kind = 'row'").groupBy(*PERIOD, "page").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= MIN_ROWS)
-    dense = dense.withColumn("candidate", F.row_number().over(Window.partitionBy(*PERIOD).orderBy(F.desc("n"), "page"))).where(F.col("candidate") <= CANDIDATES)
+    dense = rows.top_ranked(dense, PERIOD, "n", "page", CANDIDATES).withColumnRenamed("k", "candidate")
     seen = lines.join(dense.select(*PERIOD, "page", "candidate"), [*PERIOD, "page"])
     table = seen.where("kind = 'row'")
     cells = table.select(*CAND, "line_no", F.explode("cells").alias("m")).select(*CAND, "line_no", "m.*")
@@ -227,7 +227,7 @@ def table_rows(lines: DataFrame, profiles: DataFrame, figures: DataFrame, cycles
     read = read.withColumns({"plain": plain, "recovered": recovered, "date_inherited": undated, "emits": plain | undated | recovered})
     read = read.withColumn("date", F.coalesce("day", F.when(undated, F.coalesce(F.last(F.when(plain, c("day")), ignorenulls=True).over(before), c("start")))))
     read = read.withColumn("side", F.when(recovered, F.when(step > 0, "deposit").otherwise("withdrawal")).otherwise(c("side"))).withColumn("cents", F.when(recovered, F.abs(step)).otherwise(F.abs("amount.cents")))
-    return read.withColumn("kept", c("emits") & (c("cents") != 0) & c("side").isNotNull() & c("date").isNotNull())
+    return read.withColumn("kept", c("emits") & rows.breach(c("cents"), c("date"), c("side")).isNull())
 
 
 def transactions(read: DataFrame) -> DataFrame:
@@ -248,8 +248,7 @@ def transactions(read: DataFrame) -> DataFrame:
 
 
 def _placed_in_period(found: DataFrame) -> DataFrame:
-    outside = (F.col("date") < F.col("start")) | (F.col("date") > F.col("end"))
-    return found.withColumn("out_of_period", F.coalesce(outside, F.lit(False))).withColumn("yearless", F.year("date") == SENTINEL_YEAR).drop("start", "end")
+    return found.withColumn("out_of_period", rows.outside(F.col("date"), F.col("start"), F.col("end"))).withColumn("yearless", F.year("date") == SENTINEL_YEAR).drop("start", "end")
 
 
 def listing_rows(lines: DataFrame, cycles: DataFrame) -> DataFrame:
@@ -281,7 +280,7 @@ def row_warnings(read: DataFrame) -> DataFrame:
 
 def extract(words: DataFrame, layouts_given: DataFrame | None = None) -> dict[str, DataFrame]:
     """``transactions`` (of the best candidate), ``checks`` (tie-out, diagnosis and
-    audit, one row a period), ``layouts``, ``periods``, ``warnings`` and ``doubts``.
+    audit, one row a period), ``files`` (one row a document), ``layouts``, ``periods``, ``warnings`` and ``doubts``.
     Words: doc_id, page, text, x0, x1, top, height, and source where pages were
     recognised. A period without a layout ties out with no rows.
 
@@ -315,7 +314,7 @@ def extract(words: DataFrame, layouts_given: DataFrame | None = None) -> dict[st
     audited = audit.next_steps(audit.verdict(audit.attribution(judged, F.col("doubted"))))
     path = F.when(F.col("candidate") == GIVEN, "given_layout").otherwise("deterministic")
     checks = audited.withColumn("path", path).join(cycles, PERIOD, "left").join(figures.select(*PERIOD, "bank"), PERIOD, "left")
-    return {"transactions": kept, "checks": checks, "layouts": profiles, "periods": pages, "warnings": warned, "doubts": doubts}
+    return {"transactions": kept, "checks": checks, "files": reconcile.rollup(checks, DOC, "period"), "layouts": profiles, "periods": pages, "warnings": warned, "doubts": doubts}
 
 
 def _best(figures: DataFrame, profiles: DataFrame, found: DataFrame, listed: DataFrame) -> tuple[DataFrame, DataFrame]:
