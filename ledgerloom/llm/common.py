@@ -61,6 +61,16 @@ def small_enough(df: DataFrame, bytes_per_row: Column, limit: int) -> bool:
     return (size or 0) <= limit
 
 
+def salted(members: DataFrame, most: int, limit: int) -> DataFrame:
+    """``members`` with ``salts``: into how many parts its ``key`` is dealt, one for
+    each ``most`` members. Only the large keys are looked up, a table of at most
+    1 / ``most`` of the rows."""
+    large = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most)
+    large = materialize(large.select("key", F.ceil(F.col("n") / F.lit(most)).cast("int").alias("many")), "large_keys")
+    found = members.join(F.broadcast(large) if small_enough(large, F.lit(16), limit) else large, "key", "left")
+    return found.withColumn("salts", F.coalesce("many", F.lit(1))).drop("many")
+
+
 def unused(df: DataFrame, name: str) -> str:
     """A column name that ``df`` doesn't have, in either case."""
     taken = {c.lower() for c in df.columns}

@@ -26,17 +26,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import SPACES, WORD, materialize, small_enough
+from ledgerloom.llm.common import SPACES, WORD, materialize, salted, small_enough, unused
 
 EDITS = 2
 MIN_CHARS = 20
 BROADCAST_BYTES = 32 << 20
+#: Lines of one key that meet the others in one task.
+SALTED = 2000
+
+
+def text_hash(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
 def lines_of(docs: DataFrame, min_chars: int) -> DataFrame:
-    """doc_id, no, line, h of the lines that count."""
-    parts = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("no", "raw"))
-    lines = parts.select("doc_id", "no", F.btrim("raw", F.lit(SPACES)).alias("line")).where(F.length("line") >= min_chars)
+    """doc_id, t (hash of the text), no, line, h of the lines that count."""
+    parts = docs.where(F.col("doc_id").isNotNull()).select("doc_id", text_hash(F.col("text")).alias("t"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("no", "raw"))
+    lines = parts.select("doc_id", "t", "no", F.btrim("raw", F.lit(SPACES)).alias("line")).where(F.length("line") >= min_chars)
     return lines.withColumn("h", F.xxhash64("line"))
 
 
@@ -137,9 +143,12 @@ def near_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS,
     found = materialize(again.groupBy("h", "key").agg(F.max("own").alias("own"), F.min("line").alias("line")), "line_members")
     texts = materialize(found.groupBy("h").agg(F.min("line").alias("line")).withColumn("sketch", pair_sketch(F.col("line"))), "line_texts")
     members = found.select("h", "key", "own").join(texts.select("h", "sketch"), "h")
-    side = lambda c: members.select("key", F.col("h").alias(c), F.col("own").alias(f"own_{c}"), F.col("sketch").alias(f"s_{c}"))
+    # A key of many lines is dealt over salts: each line meets all others, in several tasks.
+    dealt = salted(members, SALTED, broadcast_bytes)
+    side = lambda c, salt: dealt.select("key", salt.alias("salt"), F.col("h").alias(c), F.col("own").alias(f"own_{c}"), F.col("sketch").alias(f"s_{c}"))
     alike = F.bit_count(F.col("s_a").bitwiseXOR(F.col("s_b"))) <= 4 * edits
-    pairs = side("a").join(side("b"), "key").where((F.col("a") < F.col("b")) & (F.col("own_a") | F.col("own_b")) & alike).select("a", "b").distinct()
+    left, right = side("a", F.pmod(F.col("h"), F.col("salts")).cast("int")), side("b", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    pairs = left.join(right, ["key", "salt"]).where((F.col("a") < F.col("b")) & (F.col("own_a") | F.col("own_b")) & alike).select("a", "b").distinct()
     full = pairs.join(texts.select(F.col("h").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("h").alias("b"), F.col("line").alias("y")), "b")
     longer = F.length("x") >= F.length("y")
     distance = edit_distance(F.when(longer, F.col("y")).otherwise(F.col("x")), F.when(longer, F.col("x")).otherwise(F.col("y")), edits)
@@ -147,12 +156,13 @@ def near_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS,
 
 
 def removed_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, broadcast_bytes: int = BROADCAST_BYTES, exact_chars: int | None = None) -> DataFrame:
-    """doc_id, lines array<int> (numbers of the lines that go), n_near (of those,
-    the ones with no equal line before). Documents that keep all have no row."""
+    """doc_id, t (hash of the text), lines array<int> (numbers of the lines that go),
+    n_near (of those, the ones with no equal line before). Documents that keep all
+    have no row."""
     near = near_lines(docs, edits, min_chars, broadcast_bytes)
     least = min_chars if exact_chars is None else max(min(exact_chars, min_chars), 1)
-    seen = materialize(lines_of(docs, least).select("doc_id", "no", "h"), "line_places")
-    firsts = materialize(seen.groupBy("h").agg(F.min(F.struct("doc_id", "no")).alias("first"), F.count(F.lit(1)).alias("n")), "line_firsts")
+    seen = materialize(lines_of(docs, least).select("doc_id", "t", "no", "h"), "line_places")
+    firsts = materialize(seen.groupBy("h").agg(F.min(F.struct("doc_id", "t", "no")).alias("first"), F.count(F.lit(1)).alias("n")), "line_firsts")
     ends = near.select(F.col("a").alias("h"), F.col("b").alias("other")).unionByName(near.select(F.col("b").alias("h"), F.col("a").alias("other")))
     before = ends.join(firsts.select(F.col("h").alias("other"), F.col("first").alias("theirs")), "other").groupBy("h").agg(F.min("theirs").alias("theirs"))
     state = firsts.join(before, "h", "left").select("h", "first", "n", (F.coalesce(F.col("theirs") < F.col("first"), F.lit(False))).alias("near"))
@@ -160,28 +170,31 @@ def removed_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHAR
     state = materialize(state.where("n > 1 or near").select("h", "first", "near"), "line_state")
     if small_enough(state, F.lit(48), broadcast_bytes):
         state = F.broadcast(state)
-    going = seen.join(state, "h").withColumn("again", F.struct("doc_id", "no") != F.col("first")).where("again or near")
-    return materialize(going.groupBy("doc_id").agg(F.array_sort(F.collect_set("no")).alias("lines"), F.count_if(~F.col("again")).alias("n_near")), "going_lines")
+    going = seen.join(state, "h").withColumn("again", F.struct("doc_id", "t", "no") != F.col("first")).where("again or near")
+    return materialize(going.groupBy("doc_id", "t").agg(F.array_sort(F.collect_set("no")).alias("lines"), F.count_if(~F.col("again")).alias("n_near")), "going_lines")
 
 
 def dedup_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, broadcast_bytes: int = BROADCAST_BYTES, exact_chars: int | None = None) -> DataFrame:
     """All columns of ``docs`` with the text less its repeated lines, and n_lines,
-    n_removed, n_near. Without ``exact_chars`` equal lines count from ``min_chars``.
+    n_removed, n_near, which replace columns of these names; any other column may
+    have any name. Without ``exact_chars`` equal lines count from ``min_chars``.
 
-    A null text stays null and has no lines. An id names one document: repeated
-    rows of an id must have one text and get one result each. A row without an
-    id keeps its lines, which count for nobody. Empty tables stay empty.
+    A null text stays null and has no lines. Rows with one id and one text count
+    once and get one result each; texts under one id follow each other in order of
+    their hash. A row without an id keeps its lines, which count for nobody. Empty
+    tables stay empty.
     """
-    going = removed_lines(docs, edits, min_chars, broadcast_bytes, exact_chars).select(F.col("doc_id").alias("__id"), F.col("lines").alias("__lines"), F.col("n_near").alias("__near"))
-    if small_enough(going, F.lit(64) + F.size("__lines") * 4, broadcast_bytes):
+    id_, t_, lines_, near_ = (unused(docs, x) for x in ("id", "t", "lines", "near"))
+    going = removed_lines(docs.select("doc_id", "text"), edits, min_chars, broadcast_bytes, exact_chars).toDF(id_, t_, lines_, near_)
+    if small_enough(going, F.lit(72) + F.size(lines_) * 4, broadcast_bytes):
         going = F.broadcast(going)
-    joined = docs.join(going, F.col("doc_id") == F.col("__id"), "left")
-    kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(F.col("__lines"), i))
-    text = F.when(F.col("__lines").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    total = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(F.split("text", "\n")))
-    sizes = {"n_lines": total, "n_removed": F.coalesce(F.size("__lines"), F.lit(0)), "n_near": F.coalesce("__near", F.lit(0))}
-    columns = [text.alias(c) if c == "text" else F.col(c) for c in docs.columns if c not in sizes]
-    return joined.select(*columns, *[F.greatest(v, F.lit(0)).cast("long").alias(k) for k, v in sizes.items()])
+    joined = docs.join(going, (docs["doc_id"] == going[id_]) & (text_hash(docs["text"]) == going[t_]), "left")
+    kept = F.filter(F.split(docs["text"], "\n"), lambda x, i: ~F.array_contains(F.col(lines_), i))
+    text = F.when(F.col(lines_).isNull(), docs["text"]).otherwise(F.array_join(kept, "\n"))
+    total = F.when(docs["text"].isNull(), F.lit(0)).otherwise(F.size(F.split(docs["text"], "\n")))
+    sizes = {"n_lines": total, "n_removed": F.greatest(F.coalesce(F.size(lines_), F.lit(0)), F.lit(0)), "n_near": F.coalesce(near_, F.lit(0))}
+    columns = [text.alias(c) if c == "text" else docs[c] for c in docs.columns if c.lower() not in sizes]
+    return joined.select(*columns, *[v.cast("long").alias(k) for k, v in sizes.items()])
 
 
 def is_blank(text: Column) -> Column:
