@@ -12,17 +12,20 @@ Keys. Sizes are cut into classes such that linked sets lie in one class or two
 neighbouring ones; a pair belongs to the class of its larger set, and a set has
 keys for its own class and the next. In a class, linked sets share a shingle of
 their prefixes (the first ``n - least overlap + 1``). Rare shingles of the
-prefix are keys by themselves. If the prefix runs into the frequent class, all
-rare shingles of the set are in it; two such sets that share no rare shingle
-differ in at most ``h`` frequent ones. Frequent shingles are dealt by hash into
-``h + k`` buckets, of which at least k then hold the same: combinations of k whole
-buckets, several shingles each, are the keys. (k is 2 for small sets, where a
-bucket alone says little; sets with too few filled buckets also use empty ones.)
+prefix are keys by themselves. If the prefix runs into the frequent class, it is
+extended and combinations of k = 2 frequent shingles are the keys: the class is
+dealt by hash into partitions, of about three shingles of a set each, the order has
+one partition after the other, and all pairs inside a partition are keys. A
+partition with m shingles of the prefix covers m - 1 of them (two sets without a
+common pair share one at most), so the prefix is extended by whole partitions
+until rare shingles and covers add up to its size. Sets of one or two shingles,
+which hold no pairs, have single keys in both classes.
 
 Pairs. Equal sets are one. In a round each key pairs its members with the
 smallest of them only; links found so far join members into components, and a
 key whose members are all in one component is done. After ``rounds`` such rounds
-members of different components are joined for what is left. A pair must agree
+members of different components are joined for what is left, large keys in salted
+parts. A pair must agree
 in sizes and in a parity sketch (its differing bits bound the symmetric
 difference from below) before it leaves the join, and is verified by the
 shingles themselves.
@@ -31,7 +34,6 @@ shingles themselves.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -39,15 +41,17 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import Words, fold_ascii, materialize, mix, small_enough, text_steps
+from ledgerloom.llm.common import Words, fold_ascii, materialize, mix, salted, small_enough, text_steps
 from ledgerloom.llm.components import components
 
 BIN_BITS, BLOCK = 24, 1 << 14
 SKETCH_WORDS = 32
 ROUNDS = 1
+#: Members of one key that meet the others in one task.
+SALTED = 500
 BROADCAST_BYTES = 32 << 20
-#: Sets up to this symmetric difference use combinations of two buckets.
-PAIRED_BUCKETS = 12
+#: Frequent shingles of a set that fall into one partition, on average.
+PER_PARTITION = 3
 #: Frequent: a bin so many standard deviations, and so many counts, over the mean.
 FREQUENT_DEVIATIONS, FREQUENT_AT_LEAST = 4, 8
 
@@ -101,10 +105,22 @@ def overlap(total: int, percent: int) -> int:
     return -(-percent * total // (100 + percent))
 
 
+def partitions(c: int, percent: int, bounds: list[int]) -> int:
+    """Into how many partitions class c deals its frequent shingles: about
+    ``PER_PARTITION`` of a set fall into one, and so few of a set's shingles are
+    the only or the odd one of theirs that pairs cover the prefix of any set. 0
+    where sets are too small for pairs."""
+    low, high = bounds[max(c - 1, 0)], bounds[c]
+    least = -(-percent * high // 100)
+    sure = min(overlap(high + max(least, low), percent), overlap(max(low, least) + high, percent)) - 1
+    return max(min((bounds[c + 1] - 1) // PER_PARTITION, sure), 0)
+
+
 def keys_of(tokens: np.ndarray, frequent: np.ndarray, percent: int, bounds: list[int]) -> np.ndarray:
     """Keys of one set; ``tokens`` by hash, ``frequent`` marks their class."""
     n = len(tokens)
     own = size_class(n, percent, bounds)
+    size_class(bounds[own + 1], percent, bounds)
     rare, common = tokens[~frequent], tokens[frequent]
     out = []
     for c in (own, own + 1):
@@ -116,23 +132,19 @@ def keys_of(tokens: np.ndarray, frequent: np.ndarray, percent: int, bounds: list
         if size > 0:
             out.append(mix(rare[:size] ^ salt))
         if len(rare) < size:
-            most = bounds[c + 1] - 1
-            h = 2 * most - 2 * overlap(2 * most, percent)
-            h = max(h, 2 * most - 1 - 2 * overlap(2 * most - 1, percent))
-            k = 2 if h <= PAIRED_BUCKETS else 1
-            m = h + k
-            bucket = (mix(common ^ (salt * _K[2])) % np.uint64(m)).astype(np.int64)
-            held = np.zeros(m, np.uint64)
-            np.add.at(held, bucket, mix(common + _K[3]))
-            count = np.bincount(bucket, minlength=m)
-            name = mix(held + mix(np.arange(m, dtype=np.uint64) ^ (salt + _K[4])) + count.astype(np.uint64))
-            filled = np.flatnonzero(count)
-            use = filled if len(filled) >= m else np.arange(m)
-            if k == 1:
-                out.append(name[use])
-            else:
-                a, b = np.array(list(combinations(range(len(use)), 2))).T
-                out.append(mix(mix(name[use[a]]) * _K[0] + name[use[b]]))
+            parts = partitions(c, percent, bounds)
+            if not parts:
+                out.append(mix(common ^ salt))
+                continue
+            part = (mix(common ^ (salt * _K[2])) % np.uint64(parts)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            count = np.bincount(part, minlength=parts)
+            last = int(np.searchsorted(len(rare) + np.cumsum(np.maximum(count - 1, 0)), size))
+            end = int(count[: last + 1].sum())
+            part, token = part[order][:end], common[order][:end]
+            for gap in range(1, int(count[: last + 1].max())):
+                same = part[gap:] == part[:-gap]
+                out.append(mix(mix(token[:-gap][same] ^ (salt + _K[4])) * _K[0] + token[gap:][same]))
     return np.unique(np.concatenate(out)) if out else tokens[:0]
 
 
@@ -292,9 +304,7 @@ class Join:
                 pairs = pairs.select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct()
                 pairs = pairs.join(self.side("a"), "a").join(self.side("b"), "b").where(self.alike())
             else:  # the rest, pair by pair; only pairs that may link leave the join
-                left = members.select("key", F.col("doc_id").alias("a"), F.col("component").alias("ca")).join(self.side("a"), "a")
-                right = members.select("key", F.col("doc_id").alias("b"), F.col("component").alias("cb")).join(self.side("b"), "b")
-                pairs = left.join(right, "key").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & self.alike())
+                pairs = self.rest(members)
             new = self.verified(materialize(pairs.select("a", "b").distinct(), "near"))
             links = new if links is None else links.unionByName(new)
             found = materialize(components(links), "components")
@@ -304,6 +314,14 @@ class Join:
         lost = self.docs.where(F.col("doc_id").isNull()).select("doc_id", F.lit(0).cast("bigint").alias("n_shingles"), "doc_id")
         return named.unionByName(lost.toDF("doc_id", "n_shingles", "component_id"))
 
+    def rest(self, members: DataFrame) -> DataFrame:
+        """Pairs under one key of members in different components that may link. A
+        key of many members is dealt over salts, one for each ``SALTED`` of them."""
+        dealt = salted(members, SALTED, BROADCAST_BYTES)
+        left = dealt.select("key", F.pmod(F.xxhash64("doc_id"), "salts").cast("int").alias("salt"), F.col("doc_id").alias("a"), F.col("component").alias("ca")).join(self.side("a"), "a")
+        right = dealt.select("key", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("doc_id").alias("b"), F.col("component").alias("cb")).join(self.side("b"), "b")
+        return left.join(right, ["key", "salt"]).where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & self.alike())
+
     def open_members(self, members: DataFrame, found: DataFrame) -> DataFrame:
         """Members without the last pivots, of keys that still hold members of
         more than one component, with the next pivots."""
