@@ -48,9 +48,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` as Parquet to the shared folder and reads it back: the
-    lineage is cut, and a lost executor loses nothing that was written."""
+    lineage is cut, and a lost executor loses nothing that was written. The table
+    goes when the driver's JVM ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -84,7 +84,13 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), str(public_tokenizers.path("word_bpe_49k.json")))
 
 
+def quality_rules_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of the newest policy costs, off the ledger's bits."""
+    return quality_rules.ablation(quality_rules.ledger(table(spark, sf_dir, "documents")), quality_rules.POLICIES["v1"])
+
+
 QUERIES = {
+    "quality_rules_ablation": quality_rules_ablation,
     "op1_quality_model": op1_quality_model,
     "op2_quality_rules": op2_quality_rules,
     "op3_toxicity": op3_toxicity,
@@ -183,3 +189,11 @@ k as (
 select doc_id, size, source_size, target, coalesce(taken, 0)::bigint as taken, virtual_finish from q left join k using (rid)
 """,
 }
+
+_RULES = ", ".join(f"('{r.name}', {1 << i})" for i, r in enumerate(quality_rules.RULES))
+ORACLES["quality_rules_ablation"] = f"""
+with q as ({ORACLES["op2_quality_rules"]}), r(rule, bit) as (values {_RULES})
+select rule, bit, coalesce(sum((failed & bit <> 0)::int), 0)::bigint as n_failed, coalesce(sum((failed = bit)::int), 0)::bigint as n_only,
+       coalesce(sum((failed = 0)::int), 0)::bigint as n_kept, coalesce(sum((failed & ~bit = 0)::int), 0)::bigint as n_kept_without
+from q, r group by rule, bit
+"""
