@@ -55,7 +55,10 @@ def line_facts(words: DataFrame, name: str = "lines") -> DataFrame:
     cells = F.filter(F.transform("words", lambda w: F.struct(parse_money(w["text"]).alias("cents"), w["x0"].alias("x0"), w["x1"].alias("x1"), ((w["x0"] + w["x1"]) / 2).alias("c"))), lambda m: m["cents"].isNotNull())
     out = lines.withColumns({"lead": lead, "cells": cells, "money": find_money(F.col("text"))})
     out = out.withColumn("dated", F.col("lead").isNotNull()).withColumn("paid", F.when(F.col("text").rlike(r"\d"), scan.amounts(F.col("words"))))
-    summary = F.when(F.col("dated") & (F.size("paid") > 0), scan.is_summary(F.col("paid"), scan.dates(F.col("words"))))
+    # Only a line with digits beyond its first amount that are no amount can hold another date.
+    after = F.slice("words", F.get("paid", 0)["i"] + 2, F.size("words"))
+    more = F.exists(after, lambda w: w["text"].rlike(r"\d") & parse_money(w["text"]).isNull())
+    summary = F.when(F.col("dated") & (F.size("paid") > 0) & F.coalesce(more, F.lit(False)), scan.is_summary(F.col("paid"), scan.dates(F.col("words"))))
     out = out.withColumn("summary", F.coalesce(summary, F.lit(False)))
     return out.withColumn("kind", F.when(F.col("dated") & (F.size("cells") > 0), "row").when(~F.col("dated") & (F.size("cells") == 0), "heading").otherwise("other"))
 
@@ -321,7 +324,10 @@ def _best(figures: DataFrame, profiles: DataFrame, found: DataFrame, listed: Dat
     """The best reading of each period, and its rows."""
     sided = listed.where("side is not null and cents <> 0")
     has = sided.select(*PERIOD).distinct().withColumn("variant", F.lit(1))
-    plain = figures.drop("bank").join(profiles.select(*CAND), PERIOD, "left").withColumn("candidate", F.coalesce("candidate", F.lit(0))).withColumn("variant", F.lit(0))
+    printed = figures.drop("bank")
+    # A period for which no layout was found is tried with none, whatever was given for it.
+    bare = printed.join(profiles.where(F.col("candidate") != GIVEN).select(*PERIOD), PERIOD, "left_anti").withColumn("candidate", F.lit(0))
+    plain = printed.join(profiles.select(*CAND), PERIOD).unionByName(bare).withColumn("variant", F.lit(0))
     tried = plain.unionByName(plain.where("candidate > 0").drop("variant").join(has, PERIOD).select(*plain.columns))
     table = found.withColumn("variant", F.lit(0))
     more = sided.join(plain.select(*CAND).where("candidate > 0"), PERIOD).withColumn("variant", F.lit(1))

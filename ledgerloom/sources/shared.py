@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as Parquet in the folder of ``spark.checkpoint.dir``, read back. Where
-    that is unset a local master gets a temporary folder, a cluster an error."""
+    that is unset a local master gets a temporary folder, a cluster an error. The
+    table goes when the driver's JVM ends."""
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
@@ -20,5 +21,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
         folder = tempfile.mkdtemp(prefix="ledger_")
         spark.conf.set("spark.checkpoint.dir", folder)
     path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

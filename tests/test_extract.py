@@ -142,3 +142,27 @@ def test_page_anchors(spark):
 
 def test_no_words(spark):
     assert all(v.count() == 0 for v in extract(spark.createDataFrame([], WORDS)).values())
+
+
+def test_given_layout_stays_only_where_it_reconciles(spark):
+    """Two rows are no table, so no layout is found; a given one is tried."""
+    from pyspark.sql import functions as F
+
+    def short(doc, ending):
+        s = Sheet(doc, 1)
+        s.line(("Beginning balance 100.00",))
+        s.line((f"Ending balance {ending}",))
+        s.top += 12
+        s.line(("04/01/2025", 30.0), ("ONE", 110.0), ("50.00", 0, 400.0))
+        s.line(("04/02/2025", 30.0), ("TWO", 110.0), ("-20.00", 0, 400.0))
+        return s.words
+
+    words = spark.createDataFrame(short("ties", "130.00") + short("fails", "131.00"), WORDS)
+    band = lambda a, b: f"named_struct('x0', {a}D, 'x1', {b}D)"
+    given = spark.createDataFrame([("ties", 0), ("fails", 0)], "doc_id string, period int").select(
+        "doc_id", "period", F.expr(band(28, 95)).alias("date_column"), F.expr(f"array({band(340, 402)})").alias("amount_columns"), F.expr("cast(null as struct<x0:double,x1:double>)").alias("balance_column"),
+        F.lit("signed").alias("strategy"), F.expr("cast(array() as array<struct<name:string,side:string>>)").alias("sections"), F.array(F.lit("M/d/yyyy")).alias("date_formats"),
+    )
+    got = {r.doc_id: r for r in extract(words, given)["checks"].collect()}
+    assert got["ties"].reconciled and got["ties"].path == "given_layout" and got["ties"].dep_n == 1 and got["ties"].wd_n == 1
+    assert not got["fails"].reconciled and got["fails"].path == "deterministic" and got["fails"].dep_n == 0 and got["fails"].verdict == "not_tied"
