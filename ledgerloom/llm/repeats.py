@@ -12,11 +12,11 @@ document of a smaller id is removed. Windows are found without listing them all:
 2. Anchors. A window's anchor is the symbol of the highest round whose stretch
    lies in it, of those the longest, of least hash, leftmost. Equal windows have
    equal anchors, at equal places. Windows in a row with one anchor make one
-   row (anchor's name, hash of all their words): about one for eighteen words.
+   row (anchor's name, digest of all their words): about one for eighteen words.
 3. Shared anchors. Rows that agree in anchor and words with a row of a smaller
    document are repeats as a whole. Anchors that occur with different words
    mark the ends of repeats; only there the windows of one row for each content
-   are listed and compared one by one, by the hash of all their words.
+   are listed and compared one by one, by the digest of all their words.
 
 Hot anchors: smallest ids are pre-aggregated on the map side, and the joins back
 are plain sort-merge joins that adaptive execution splits where they are skewed.
@@ -25,13 +25,15 @@ table of spans is at most ``broadcast_bytes`` (its size is summed before; past
 that the spans are joined by a shuffle). Spans of all documents are a written
 table in the shared folder.
 
-Hashes have 64 bits; in 10^12 windows an unequal pair that collides with a given
-window is expected 10^-7 times.
+Names only find what may repeat. That it does is verified on the words themselves,
+by their BLAKE2 digest: 64 bits beside the 64 of the anchor's name, or 128 bits for
+single windows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 from itertools import compress
 
 import numpy as np
@@ -39,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import Words, materialize, mix, small_enough, text_steps
+from ledgerloom.llm.common import _IS_SPACE, Words, materialize, mix, small_enough, text_steps
 
 WINDOW = 50
 ROUNDS = 3
@@ -105,30 +107,31 @@ def name_pairs(s: Level, first: np.ndarray, turn: int) -> Level:
     return Level(name[keep], s.lo[keep], dl[keep], dr[keep], s.doc[keep])
 
 
-def window_hashes(h: np.ndarray, size: int) -> np.ndarray:
-    """Hash of the ``size`` items from each place on, by doubling."""
-    out, have, power, step = None, 0, h, 1
-    while True:
-        if size & step:
-            if out is None:
-                out, have = power, step
-            else:
-                n = len(h) - have - step + 1
-                out = mix(out[:n] * _RUN + power[have : have + n])
-                have += step
-        step *= 2
-        if step > size:
-            return out
-        power = mix(power[: -(step // 2)] * _PAIR + power[step // 2 :]) if len(power) > step // 2 else power[:0]
+class Digests:
+    """BLAKE2 of stretches of words, one space between: equal for equal words."""
+
+    def __init__(self, w: Words):
+        space = _IS_SPACE[w.data]
+        keep = ~space
+        keep[1:] |= ~space[:-1]
+        self.text = memoryview(np.where(space, np.uint8(32), w.data)[keep].tobytes())
+        place = np.cumsum(keep) - 1
+        self.start, self.end = place[w.start], place[w.end - 1] + 1
+
+    def of(self, first: np.ndarray, last: np.ndarray, longs: int = 1) -> np.ndarray:
+        """Of words first .. last of each pair, as rows of ``longs`` integers."""
+        text, size = self.text, 8 * longs
+        found = b"".join([blake2b(text[a:b], digest_size=size).digest() for a, b in zip(self.start[first].tolist(), self.end[last].tolist(), strict=True)])
+        return np.frombuffer(found, np.int64).reshape(-1, longs)
 
 
 def anchors(w: Words, window: int, rounds: int = ROUNDS) -> tuple[np.ndarray, ...]:
-    """(doc, first window in it, number of windows, anchor, hash of their words)
-    of each stretch of windows that have one anchor."""
+    """(doc, first window in it, number of windows, anchor) of each stretch of
+    windows that have one anchor."""
     total = len(w.hash)
     none = np.empty(0, np.int64)
     if total < window:
-        return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
+        return none, none, none, none.astype(np.uint64)
     place = np.arange(total)
     level = Level(w.hash, place, place, place + 1, w.doc)
     levels = [level]
@@ -151,7 +154,6 @@ def anchors(w: Words, window: int, rounds: int = ROUNDS) -> tuple[np.ndarray, ..
         chosen[todo[has]] = least(rank, lo[has], hi[has])
         depth[todo[has]] = k
         todo = todo[~has]
-    hashes = window_hashes(w.hash, window)
     new = np.ones(len(starts), bool)
     new[1:] = (chosen[1:] != chosen[:-1]) | (depth[1:] != depth[:-1]) | (starts[1:] != starts[:-1] + 1)
     at = np.flatnonzero(new)
@@ -161,9 +163,8 @@ def anchors(w: Words, window: int, rounds: int = ROUNDS) -> tuple[np.ndarray, ..
         mine = depth[at] == k
         key[mine] = mix(s.name[chosen[at[mine]]] + np.uint64(k))
     first = starts[at]
-    sig = mix(mix(hashes[first] * _RUN + hashes[first + n - 1]) + n.astype(np.uint64))
     doc = w.doc[first]
-    return doc, first - w.first[doc], n, key, sig
+    return doc, first - w.first[doc], n, key
 
 
 def least(rank: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -205,9 +206,12 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS,
     def find(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             for lo, hi, data, offsets in text_steps(part.column(1)):
-                doc, at, n, key, sig = anchors(Words(data, offsets), window, rounds)
+                w = Words(data, offsets)
+                doc, at, n, key = anchors(w, window, rounds)
                 ids = part.column(0).slice(lo, hi - lo).take(pa.array(doc))
-                yield pa.RecordBatch.from_arrays([ids, _signed(key), _signed(sig), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32))], names=["doc_id", "anchor", "sig", "at", "n"])
+                first = w.first[doc] + at
+                sig = Digests(w).of(first, first + n + window - 2)[:, 0]
+                yield pa.RecordBatch.from_arrays([ids, _signed(key), pa.array(sig), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32))], names=["doc_id", "anchor", "sig", "at", "n"])
 
     rows = materialize(docs.mapInArrow(find, f"doc_id {kind}, anchor bigint, sig bigint, at int, n int"), "anchors")
     firsts = materialize(rows.groupBy("anchor", "sig").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("other")), "owners")
@@ -221,18 +225,19 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS,
             spans = part.column(2)
             for lo, hi, data, offsets in text_steps(part.column(1)):
                 w = Words(data, offsets)
-                hashes = window_hashes(w.hash, window)
                 mine = spans.slice(lo, hi - lo)
                 size = np.diff(mine.offsets.to_numpy())
                 flat = mine.flatten()
                 at, n = flat.field(0).to_numpy().astype(np.int64), flat.field(1).to_numpy().astype(np.int64)
                 doc = np.repeat(np.repeat(np.arange(hi - lo), size), n)
                 each = np.repeat(at - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
-                yield pa.RecordBatch.from_arrays([part.column(0).slice(lo, hi - lo).take(pa.array(doc)), _signed(hashes[w.first[doc] + each]), pa.array(each.astype(np.int32))], names=["doc_id", "words", "at"])
+                first = w.first[doc] + each
+                words = Digests(w).of(first, first + window - 1, 2)
+                yield pa.RecordBatch.from_arrays([part.column(0).slice(lo, hi - lo).take(pa.array(doc)), pa.array(words[:, 0]), pa.array(words[:, 1]), pa.array(each.astype(np.int32))], names=["doc_id", "words", "more", "at"])
 
-    single = materialize(_with_spans(docs, listed, "inner", broadcast_bytes).select("doc_id", "text", "spans").mapInArrow(unfold, f"doc_id {kind}, words bigint, at int"), "windows")
-    owners = single.groupBy("words").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("other")).where("other > owner").select("words", "owner")
-    more = single.join(owners, "words").where("doc_id > owner").select("doc_id", "at", F.lit(1).alias("n"))
+    single = materialize(_with_spans(docs, listed, "inner", broadcast_bytes).select("doc_id", "text", "spans").mapInArrow(unfold, f"doc_id {kind}, words bigint, more bigint, at int"), "windows")
+    owners = single.groupBy("words", "more").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("other")).where("other > owner").select("words", "more", "owner")
+    more = single.join(owners, ["words", "more"]).where("doc_id > owner").select("doc_id", "at", F.lit(1).alias("n"))
     found = repeats.unionByName(more).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("at", "n"))).alias("found"))
     # Spans that touch or overlap become one.
     merged = F.aggregate(
