@@ -216,7 +216,8 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS,
     rows = materialize(docs.mapInArrow(find, f"doc_id {kind}, anchor bigint, sig bigint, at int, n int"), "anchors")
     firsts = materialize(rows.groupBy("anchor", "sig").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("other")), "owners")
     repeats = rows.join(firsts.where("other > owner").select("anchor", "sig", "owner"), ["anchor", "sig"]).where("doc_id > owner").select("doc_id", "at", "n")
-    ends = firsts.groupBy("anchor").agg(F.count(F.lit(1)).alias("contents"), F.min("owner").alias("least"), F.max("owner").alias("most")).where("contents > 1 and most > least").select("anchor")
+    # Written, as the owners below, so that the next join can split a hot anchor.
+    ends = materialize(firsts.groupBy("anchor").agg(F.count(F.lit(1)).alias("contents"), F.min("owner").alias("least"), F.max("owner").alias("most")).where("contents > 1 and most > least").select("anchor"), "ends")
     unsure = rows.join(firsts.join(ends, "anchor").select("anchor", "sig", F.col("owner").alias("doc_id")), ["anchor", "sig", "doc_id"])
     listed = materialize(unsure.groupBy("doc_id").agg(F.collect_list(F.struct("at", "n")).alias("spans")), "listed")
 
@@ -236,7 +237,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS,
                 yield pa.RecordBatch.from_arrays([part.column(0).slice(lo, hi - lo).take(pa.array(doc)), pa.array(words[:, 0]), pa.array(words[:, 1]), pa.array(each.astype(np.int32))], names=["doc_id", "words", "more", "at"])
 
     single = materialize(_with_spans(docs, listed, "inner", broadcast_bytes).select("doc_id", "text", "spans").mapInArrow(unfold, f"doc_id {kind}, words bigint, more bigint, at int"), "windows")
-    owners = single.groupBy("words", "more").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("other")).where("other > owner").select("words", "more", "owner")
+    owners = materialize(single.groupBy("words", "more").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("other")).where("other > owner").select("words", "more", "owner"), "window_owners")
     more = single.join(owners, ["words", "more"]).where("doc_id > owner").select("doc_id", "at", F.lit(1).alias("n"))
     found = repeats.unionByName(more).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("at", "n"))).alias("found"))
     # Spans that touch or overlap become one.
