@@ -91,9 +91,9 @@ def find_dates(text: Column) -> Column:
     a word the one of most words, up to four, after which reading goes on."""
 
     def at(w: Column, i: Column) -> Column:
-        tries = [F.when(i + k <= F.size(w), parse_date(F.array_join(F.slice(w, i + 1, k), " "))) for k in range(MAX_WORDS, 0, -1)]
-        spans = F.array(*[F.struct(t.alias("date"), F.lit(k).alias("k")) for t, k in zip(tries, range(MAX_WORDS, 0, -1), strict=True)])
-        return F.get(F.filter(spans, lambda s: s["date"].isNotNull()), 0)
+        tries = F.array(*[F.struct(F.when(i + k <= F.size(w), F.array_join(F.slice(w, i + 1, k), " ")).alias("t"), F.lit(k).alias("k")) for k in range(MAX_WORDS, 0, -1)])
+        likely = F.filter(tries, lambda s: s["t"].rlike(r"^(?=.*\d)[0-9A-Za-z/,.:; -]{3,40}$"))
+        return F.get(F.filter(F.transform(likely, lambda s: F.struct(parse_date(s["t"]).alias("date"), s["k"].alias("k"))), lambda s: s["date"].isNotNull()), 0)
 
     def fold(w: Column) -> Column:
         start = F.struct(F.array().cast("array<date>").alias("found"), F.lit(0).alias("next"))
