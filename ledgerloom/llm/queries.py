@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import decontamination, line_dedup, mixing, ngram_join, quality_model, quality_rules, repeats, secret_scan, token_counts, toxicity
+from ledgerloom.llm import decontamination, fill_in_middle, line_dedup, mixing, ngram_join, quality_model, quality_rules, repeats, secret_scan, token_counts, toxicity
 from ledgerloom.llm.common import batches, table
 
 
@@ -84,6 +84,14 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), str(public_tokenizers.path("word_bpe_49k.json")))
 
 
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the rearranged texts and of what is restored from them."""
+    batches(spark)
+    cut = fill_in_middle.fill_in_middle(table(spark, sf_dir, "documents"))
+    restored = fill_in_middle.restore(F.col("output"), F.col("form"))
+    return cut.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(restored, 256).alias("restored_sha256"))
+
+
 def quality_rules_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each rule of the newest policy costs, off the ledger's bits."""
     return quality_rules.ablation(quality_rules.ledger(table(spark, sf_dir, "documents")), quality_rules.POLICIES["v1"])
@@ -101,6 +109,7 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_ngram_join": op9_ngram_join,
     "op10_token_counts": op10_token_counts,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -190,6 +199,25 @@ select doc_id, size, source_size, target, coalesce(taken, 0)::bigint as taken, v
 """,
 }
 
+ORACLES["op13_fill_in_middle"] = r"""
+with d as (
+  select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') as u,
+         sha256('1:' || coalesce(doc_id::varchar, '')) as g from documents),
+h as (
+  select *, len(u)::bigint as n, ('0x' || substr(g, 1, 8))::bigint % (len(u) + 1) as x, ('0x' || substr(g, 9, 8))::bigint % (len(u) + 1) as y,
+         case when text = '' or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') or ('0x' || substr(g, 17, 8))::bigint % 100 >= 90 then 'plain'
+              when ('0x' || substr(g, 25, 8))::bigint % 100 < 20 then 'spm' else 'psm' end as form
+  from d),
+c as (
+  select *, array_to_string(u[1:least(x, y)], '') as prefix, array_to_string(u[least(x, y) + 1:greatest(x, y)], '') as middle,
+         array_to_string(u[greatest(x, y) + 1:n], '') as suffix from h)
+select doc_id, n, form, case when form <> 'plain' then length(prefix) end::bigint as prefix_chars, case when form <> 'plain' then length(middle) end::bigint as middle_chars,
+       sha256(case form when 'plain' then text when 'psm' then '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+              else '<S>' || suffix || '<P>' || prefix || '<M>' || middle end) as output_sha256,
+       sha256(prefix || middle || suffix) as restored_sha256
+from c
+"""
+
 _RULES = ", ".join(f"('{r.name}', {1 << i})" for i, r in enumerate(quality_rules.RULES))
 ORACLES["quality_rules_ablation"] = f"""
 with q as ({ORACLES["op2_quality_rules"]}), r(rule, bit) as (values {_RULES})
