@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import decontamination, fill_in_middle, line_dedup, mixing, ngram_join, quality_model, quality_rules, repeats, secret_scan, token_counts, toxicity
+from ledgerloom.llm import decontamination, fill_in_middle, importance, line_dedup, mixing, ngram_join, quality_model, quality_rules, repeats, secret_scan, token_counts, toxicity
 from ledgerloom.llm.common import batches, table
 
 
@@ -84,6 +84,12 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), str(public_tokenizers.path("word_bpe_49k.json")))
 
 
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    batches(spark)
+    rows = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return rows.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the rearranged texts and of what is restored from them."""
     batches(spark)
@@ -109,6 +115,7 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_ngram_join": op9_ngram_join,
     "op10_token_counts": op10_token_counts,
+    "op12_importance": op12_importance,
     "op13_fill_in_middle": op13_fill_in_middle,
 }
 
@@ -218,6 +225,36 @@ select doc_id, n, form, case when form <> 'plain' then length(prefix) end::bigin
 from c
 """
 
+# CRC-32 as a table of 256 remainders and a fold over the bytes of each distinct run.
+ORACLES["op12_importance"] = rf"""
+with recursive k(n, c, i) as (
+  select n::bigint, n::bigint, 0 from range(256) t(n)
+  union all select n, case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, i + 1 from k where i < 8),
+tab as (select list(c order by n) as t from k where i = 8),
+w as (
+  select row_number() over () as rid, true as doc, doc_id, {_TERMS} as w from documents
+  union all select row_number() over (), false, null, {_TERMS} from benchmark),
+g as (
+  select rid, doc, doc_id, len(w) as n_words, w || list_transform(range(1, greatest(len(w), 1)), lambda i: w[i] || ' ' || w[i + 1])
+         || list_transform(range(1, greatest(len(w) - 1, 1)), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) as runs from w),
+e as (select rid, doc, unnest(runs) as s from g),
+x as (select s, list_transform(range(0, octet_length(encode(s))), lambda i: ('0x' || substr(hex(encode(s)), 2 * i + 1, 2))::bigint) as b from (select distinct s from e)),
+h as (select s, xor(list_reduce(b, lambda c, v: xor(t[(xor(c, v) & 255) + 1], c >> 8), 4294967295::bigint), 4294967295) % 10000 as bucket from x, tab),
+n as (select rid, doc, bucket, count(*) as n from e join h using (s) group by all),
+c as (
+  select b.bucket, coalesce(sum(n) filter (doc), 0)::double as s, coalesce(sum(n) filter (not doc), 0)::double as t
+  from range(10000) b(bucket) left join n using (bucket) group by 1),
+gain as (
+  select bucket, floor(1000 * ln((t + 1) * (sum(s) over () + 10000) / ((s + 1) * (sum(t) over () + 10000))))::bigint as gain from c),
+v as (select rid, sum(n * gain)::bigint as weight from n join gain using (bucket) where doc group by rid),
+r as (
+  select g.rid, doc_id, n_words, len(runs)::bigint as n_features, coalesce(weight, 0)::bigint as weight,
+         coalesce(weight, 0)::bigint + floor(-1000.0::double * ln(-ln((('0x' || substr(sha256('42:' || coalesce(doc_id::varchar, '')), 1, 8))::bigint + 0.5::double) / 4294967296.0::double)))::bigint as score
+  from g left join v on g.rid = v.rid where g.doc),
+o as (select *, row_number() over (partition by n_words >= 20 order by score desc, doc_id nulls last) as place, count(*) filter (n_words >= 20) over () as many from r)
+select doc_id, n_features, weight, score, case when n_words >= 20 and place <= many * 5 // 100 then place end::bigint as rank from o
+"""
+
 _RULES = ", ".join(f"('{r.name}', {1 << i})" for i, r in enumerate(quality_rules.RULES))
 ORACLES["quality_rules_ablation"] = f"""
 with q as ({ORACLES["op2_quality_rules"]}), r(rule, bit) as (values {_RULES})
