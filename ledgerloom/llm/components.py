@@ -4,7 +4,9 @@ Each turn links every node's larger neighbours to its smallest neighbour (large
 star), then the smaller ones likewise (small star), as aggregations and joins;
 after a logarithmic number of turns every node is linked to the smallest node
 of its component alone. Turns are written tables in the shared folder, so
-lineage stays short and nothing is brought to the driver but one count a turn.
+lineage stays short and nothing is brought to the driver but one count a turn. The
+smallest neighbours are a written table too: so both sides of the join with them are
+shuffled for the join alone, and AQE can split the rows of a hub over tasks.
 """
 
 from __future__ import annotations
@@ -12,7 +14,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import materialize
+from ledgerloom.llm.common import materialize, small_enough
+
+BROADCAST_BYTES = 16 << 20
 
 
 def _star(links: DataFrame, small: bool) -> DataFrame:
@@ -21,8 +25,8 @@ def _star(links: DataFrame, small: bool) -> DataFrame:
         near = links.select(F.col("b").alias("u"), F.col("a").alias("v"))
     else:
         near = links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    least = near.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    moved = near.join(least, "u")
+    least = materialize(near.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
+    moved = near.join(F.broadcast(least) if small_enough(least, F.lit(96), BROADCAST_BYTES) else least, "u")
     if small:
         out = moved.select(F.col("m").alias("a"), F.col("v").alias("b")).unionByName(least.select(F.col("m").alias("a"), F.col("u").alias("b")))
     else:

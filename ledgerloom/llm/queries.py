@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import decontamination, fill_in_middle, importance, line_dedup, mixing, ngram_join, quality_model, quality_rules, repeats, secret_scan, token_counts, toxicity
+from ledgerloom.llm import decontamination, fill_in_middle, importance, line_dedup, mixing, ngram_join, quality_model, quality_rules, repeats, secret_scan, token_counts, toxicity, url_filters
 from ledgerloom.llm.common import batches, table
 
 
@@ -84,6 +84,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), str(public_tokenizers.path("word_bpe_49k.json")))
 
 
+def op11_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.filter_urls(table(spark, sf_dir, "pages"))
+
+
 def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     batches(spark)
     rows = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -115,6 +119,7 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_ngram_join": op9_ngram_join,
     "op10_token_counts": op10_token_counts,
+    "op11_url_filters": op11_url_filters,
     "op12_importance": op12_importance,
     "op13_fill_in_middle": op13_fill_in_middle,
 }
@@ -225,6 +230,55 @@ select doc_id, n, form, case when form <> 'plain' then length(prefix) end::bigin
 from c
 """
 
+def _attribute_sql(name: str) -> str:
+    pattern = rf"""(?i)[\s"''/]{name}\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s"''>]+))"""
+    return " || ".join(f"regexp_extract(tag, '{pattern}', {k})" for k in (1, 2, 3))
+
+
+# Groups by reach from blocked addresses over links whose ends no rule allows.
+ORACLES["op11_url_filters"] = r"""
+with recursive p as (
+  select row_number() over () as rid, page_id, coalesce(html, '') as html,
+         case when contains(url, '://') then substr(url, instr(url, '://') + 3) else '' end as rest from pages),
+u as (
+  select rid, page_id, html, translate(regexp_extract(coalesce(rest, ''), '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+         regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) as path, regexp_extract(coalesce(rest, ''), '^[^?#]*(\?[^#]*)', 1) as query from p),
+rules(rhost, rpath, verdict) as (values ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
+tags as (select rid, host as site, path as folder, unnest(regexp_extract_all(html, '(?i)<(?:link|meta)\b[^<>]*>')) as tag from u where host <> ''),
+attrs as (select rid, site, folder, tag, [$ATTRIBUTES] as v from tags),
+refs as (
+  select rid, site, folder, trim(replace(case
+    when regexp_matches(tag, '(?i)^<link') and regexp_matches(v[1], '(?i)(^|\s)canonical(\s|$)') then v[3]
+    when regexp_matches(tag, '(?i)^<meta') and regexp_matches(v[2], '(?i)^\s*refresh\s*$') then regexp_extract(v[4], '(?is)^[\s\d.]*[;,]\s*(?:url\s*=\s*)?["'']?([^"'']*)', 1) end,
+    '&amp;', '&')) as ref from attrs),
+aims as (
+  select rid, case when regexp_matches(ref, '^[A-Za-z][A-Za-z0-9+.-]*://') then ref when regexp_matches(ref, '^[A-Za-z][A-Za-z0-9+.-]*:') then null
+    when starts_with(ref, '//') then 'http:' || ref when starts_with(ref, '/') then 'http://' || site || ref when starts_with(ref, '?') then 'http://' || site || folder || ref
+    else 'http://' || site || case when folder = '' then '/' else regexp_replace(folder, '[^/]*$', '') end || ref end as url
+  from refs where ref is not null and not regexp_matches(ref, '^(#|$)')),
+cut as (select rid, substr(url, instr(url, '://') + 3) as rest from aims where contains(url, '://')),
+ends as (
+  select rid, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path, regexp_extract(rest, '^[^?#]*(\?[^#]*)', 1) as query from cut),
+places as (select distinct host, path, query from (select host, path, query from u union all select host, path, query from ends)),
+ruled as (
+  select host, path, query, max_by(rhost || rpath, length(rhost || rpath)) filter (starts_with(path, rpath)) as rule,
+         max_by(verdict, length(rhost || rpath)) filter (starts_with(path, rpath)) as verdict, max_by(verdict, length(rhost || rpath)) as known
+  from places join rules on (host = rhost or ends_with(host, '.' || rhost)) and starts_with(case when path = '' then '/' else path end, rpath) group by all),
+named as (
+  select p.*, host || case when path = '' then '/' else path end || query as node, rule, verdict, known from places p left join ruled using (host, path, query)),
+links as (
+  select distinct a.node as a, b.node as b from u join named a using (host, path, query) join ends e using (rid)
+  join named b on b.host = e.host and b.path = e.path and b.query = e.query
+  where a.host <> '' and b.host <> '' and coalesce(a.known, '') <> 'allow' and coalesce(b.known, '') <> 'allow'),
+both_ways as (select a, b from links union select b, a from links),
+reach(node) as (
+  select distinct a from both_ways join named on node = a where known = 'block'
+  union select b from reach join both_ways on a = reach.node)
+select page_id, host, path, rule, coalesce(verdict, known, case when host <> '' and node in (select node from reach) then 'block' else 'allow' end) as verdict
+from u join named using (host, path, query)
+""".replace("$ATTRIBUTES", ", ".join(map(_attribute_sql, ("rel", "http-equiv", "href", "content"))))
+
 # CRC-32 as a table of 256 remainders and a fold over the bytes of each distinct run.
 ORACLES["op12_importance"] = rf"""
 with recursive k(n, c, i) as (
