@@ -1,7 +1,8 @@
 """Row operators over an ordered ledger: balances, recovery, dates, sides.
 
 Every window is partitioned by the account keys, so one exchange serves a chain
-of them.
+of them. With ``most`` a key of more rows than that is read in blocks (see
+``prefix``), so that one account may hold most of a ledger.
 """
 
 from __future__ import annotations
@@ -10,37 +11,38 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import reconcile
+from ledgerloom.operators.prefix import along
 
 
 def signed() -> Column:
     return F.when(F.col("side") == "deposit", F.col("cents")).otherwise(-F.col("cents"))
 
 
-def running_balance(rows: DataFrame, keys: list[str], order: list[str], opening: Column) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("signed", signed()).withColumn("balance", opening + F.sum("signed").over(w))
+def running_balance(rows: DataFrame, keys: list[str], order: list[str], opening: Column, most: int | None = None) -> DataFrame:
+    moved = along(rows.withColumn("signed", signed()), keys, order, sums={"balance": F.col("signed")}, most=most)
+    return moved.withColumn("balance", opening + F.col("balance"))
 
 
-def balance_step(rows: DataFrame, keys: list[str], order: list[str], opening: Column) -> DataFrame:
+def balance_step(rows: DataFrame, keys: list[str], order: list[str], opening: Column, most: int | None = None) -> DataFrame:
     """Rows whose ``signed`` wasn't read get it from the balance step; ``recovered``
     marks them. A step of zero is no transaction and stays null."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    step = F.col("balance") - F.coalesce(F.lag("balance").over(w), opening)
+    # In a struct, so that the row before counts also where it prints no balance.
+    before = along(rows, keys, order, lasts={"before": F.struct("balance")}, most=most)
+    step = F.col("balance") - F.coalesce(F.col("before.balance"), opening)
     lost = F.col("signed").isNull()
-    return rows.withColumn("step", step).withColumn("recovered", lost & (F.col("step") != 0)).withColumn("signed", F.coalesce("signed", F.when(F.col("step") != 0, F.col("step")))).drop("step")
+    return before.withColumn("step", step).withColumn("recovered", lost & (F.col("step") != 0)).withColumn("signed", F.coalesce("signed", F.when(F.col("step") != 0, F.col("step")))).drop("step", "before")
 
 
-def inherit_date(rows: DataFrame, keys: list[str], order: list[str], start: Column) -> DataFrame:
+def inherit_date(rows: DataFrame, keys: list[str], order: list[str], start: Column, most: int | None = None) -> DataFrame:
     """A row without a date takes that of the last row with one, else the start of
     the period; ``date_inherited`` marks it."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("date_inherited", F.col("date").isNull()).withColumn("date", F.coalesce("date", F.last("date", ignorenulls=True).over(w), start))
+    found = along(rows.withColumn("date_inherited", F.col("date").isNull()), keys, order, lasts={"date_before": F.col("date")}, most=most)
+    return found.withColumn("date", F.coalesce("date", "date_before", start)).drop("date_before")
 
 
-def segments(rows: DataFrame, keys: list[str], order: list[str], opens: Column) -> DataFrame:
+def segments(rows: DataFrame, keys: list[str], order: list[str], opens: Column, most: int | None = None) -> DataFrame:
     """``segment``: number of the island a row is in; ``opens`` starts one."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("segment", F.sum(F.when(opens, 1).otherwise(0)).over(w))
+    return along(rows, keys, order, sums={"segment": F.when(opens, 1).otherwise(0)}, most=most)
 
 
 def side_of(strategy: str, amount: Column, column: Column | None = None, section: Column | None = None, before: Column | None = None, balance: Column | None = None) -> Column:

@@ -307,6 +307,43 @@ def period_segments(spark, sf):
     return rows.segments(opened, ["account"], ["ts", "event_id"], F.col("opens")).select("account", "event_id", "segment")
 
 
+# One account holds nine tenths of the events; keys of more rows than these are read in blocks.
+LARGE_KEY = 2_000
+_HOT = f"""{L}, hot as (select *, case when account % 10 = 0 then account else 0 end as holder, case side when 'deposit' then cents else -cents end as signed from l)"""
+
+
+def _hot(spark, sf):
+    return ledger(spark, sf).withColumn("holder", F.when(F.col("account") % 10 == 0, F.col("account")).otherwise(0))
+
+
+@query(f"""with {_HOT} select holder, event_id, ({OPENING} + sum(signed) over (partition by holder order by ts, event_id rows unbounded preceding))::bigint as balance from hot""")
+def running_balance_hot(spark, sf):
+    return rows.running_balance(_hot(spark, sf), ["holder"], ["ts", "event_id"], F.lit(OPENING), LARGE_KEY).select("holder", "event_id", "balance")
+
+
+@query(f"""with {_HOT}, b as (select *, case when event_id % 17 <> 3 then ({OPENING} + sum(signed) over (partition by holder order by ts, event_id rows unbounded preceding))::bigint end as balance, case when event_id % 31 <> 0 then signed end as sg from hot),
+x as (select *, balance - (case when row_number() over (partition by holder order by ts, event_id) = 1 then {OPENING} else coalesce(lag(balance) over (partition by holder order by ts, event_id), {OPENING}) end) as step from b)
+select holder, event_id, coalesce(sg, nullif(step, 0)) as signed, sg is null and step <> 0 as recovered from x""")
+def balance_recovery_hot(spark, sf):
+    """Amounts off the balance step, where some rows print no balance either."""
+    full = rows.running_balance(_hot(spark, sf), ["holder"], ["ts", "event_id"], F.lit(OPENING), LARGE_KEY)
+    lost = full.withColumns({"signed": F.when(F.col("event_id") % 31 != 0, F.col("signed")), "balance": F.when(F.col("event_id") % 17 != 3, F.col("balance"))})
+    return rows.balance_step(lost, ["holder"], ["ts", "event_id"], F.lit(OPENING), LARGE_KEY).select("holder", "event_id", "signed", "recovered")
+
+
+@query(f"""with {_HOT}, r as (select *, case when event_id % 29 = 1 then cast(ts as date) end as dt from hot)
+select holder, event_id, coalesce(dt, last_value(dt ignore nulls) over (partition by holder order by ts, event_id rows between unbounded preceding and 1 preceding), date '2024-01-01') as date, dt is null as date_inherited from r""")
+def inherited_dates_hot(spark, sf):
+    """One row in 29 has a date, so it is carried on over the borders of blocks."""
+    read = _hot(spark, sf).withColumn("date", F.when(F.col("event_id") % 29 == 1, F.to_date("ts")))
+    return rows.inherit_date(read, ["holder"], ["ts", "event_id"], F.lit("2024-01-01").cast("date"), LARGE_KEY).select("holder", "event_id", "date", "date_inherited")
+
+
+@query(f"""with {_HOT} select holder, event_id, (sum(case when event_id % 101 = 7 then 1 else 0 end) over (partition by holder order by ts, event_id rows unbounded preceding))::bigint as segment from hot""")
+def segments_hot(spark, sf):
+    return rows.segments(_hot(spark, sf), ["holder"], ["ts", "event_id"], F.col("event_id") % 101 == 7, LARGE_KEY).select("holder", "event_id", "segment")
+
+
 @query(f"with {L} select event_id, case when case side when 'deposit' then cents else -cents end < 0 then 'withdrawal' else 'deposit' end as side from l")
 def side_signed(spark, sf):
     full = ledger(spark, sf)
