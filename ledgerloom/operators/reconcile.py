@@ -34,7 +34,11 @@ def reconcile(printed: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame
     """Printed and parsed figures, ``residual``, one column ``check_<name>`` each,
     ``n_ok``, ``reconciled`` and ``structural`` (why a period fails with no
     failing check). A period without rows is compared with zeros."""
-    both = printed.join(totals(rows, keys), keys, "left").fillna(0, ["dep_cents", "wd_cents", "dep_n", "wd_n"])
+    return judged(printed.join(totals(rows, keys), keys, "left").fillna(0, ["dep_cents", "wd_cents", "dep_n", "wd_n"]))
+
+
+def judged(both: DataFrame) -> DataFrame:
+    """The checks of printed figures that stand beside their totals."""
     c = F.col
     beginning = F.coalesce("beginning", F.lit(0))
     ending = F.coalesce("ending", beginning + F.coalesce("deposits_total", "dep_cents") - F.coalesce("withdrawals_total", "wd_cents"))

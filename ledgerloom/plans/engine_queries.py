@@ -18,8 +18,10 @@ _RUNS: dict = {}
 
 
 def extracted(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
-    """The extraction's written tables, made once a session and folder."""
-    key = (spark.sparkContext.applicationId, sf, spark.conf.get("spark.checkpoint.dir", None))
+    """The extraction's written tables, made once a session and state of the events'
+    files: a file that is written again has another time."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"{sf}/events.parquet").select("path", "modificationTime", "length")
+    key = (spark.sparkContext.applicationId, spark.conf.get("spark.checkpoint.dir", None), sf, found.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*found.columns).cast("decimal(38,0)"))).first())
     if key not in _RUNS:
         _RUNS.clear()
         _RUNS[key] = extract(statements.render(spark, sf))
@@ -136,7 +138,49 @@ def extract_report(spark, sf):
     return edges.report_lines(extracted(spark, sf)["checks"], ["doc_id", "period"])
 
 
+@query(f"""{STATED} select doc_id, period, 1 as layout, 1 + (n_listed + n_left > 0)::int::bigint as readings from h where not lost""")
+def extract_frontier(spark, sf):
+    """Readings that closed periods took: one layout, with its listings and without;
+    later layouts are tried on open periods alone."""
+    found = extracted(spark, sf)
+    closed = found["checks"].where("reconciled").select("doc_id", "period")
+    return found["attempts"].join(closed, ["doc_id", "period"]).groupBy("doc_id", "period").agg(F.max("candidate").alias("layout"), F.count(F.lit(1)).alias("readings"))
+
+
 # ------------------------------------------------------------------ repair, usage, edges
+def repair_turns(spark: SparkSession, sf: str) -> DataFrame:
+    """Turns of edits for the periods that lost a row, by account: the row at once; a
+    wrong amount; a wrong amount, dropped again beside the right one; turns too dear;
+    none."""
+    c = F.col
+    lost = statements.facts(spark, sf).where("lost").withColumn("k", (F.floor(c("account") / 11) % 5).cast("int"))
+    call = lambda name, **args: F.struct(F.lit(name).alias("name"), F.to_json(F.struct(*[v.alias(k) for k, v in args.items()])).alias("arguments"))
+    amount = lambda v: statements.shown(v)
+    insert = lambda v: call("insert_row", when=F.date_format("day", "yyyy-MM-dd"), description=F.concat(F.lit("PAYMENT E"), c("event_id").cast("string")), side=c("side"), amount=amount(v))
+    look = F.array(call("find_amount", amount=amount(c("cents"))))
+    wrong, right = insert(c("cents") + 1), insert(c("cents"))
+    # The lost row is the last of its period, so the first row put in is at the place it had.
+    again = F.array(call("drop_row", index=(c("rows") - 1).cast("bigint")), right)
+    script = F.when(c("k") == 0, F.array(look, F.array(right))).when(c("k") == 1, F.array(F.array(wrong))).when(c("k") == 2, F.array(look, F.array(wrong), again)).otherwise(F.array(F.slice(look, 1, 0), F.array(right)))
+    dear = (c("account") % 2 == 1) & (c("k") == 0)
+    turns = lost.select(c("account").cast("string").alias("doc_id"), c("half").alias("period"), F.posexplode(script).alias("turn", "calls"), dear.alias("dear"))
+    return turns.select("doc_id", "period", "turn", F.when(c("dear"), 1_000_000).otherwise(1_000).alias("tokens_in"), F.lit(200).alias("tokens_out"), "calls")
+
+
+@query(f"""{STATED}, m as (select *, lost and ((account // 11) % 5 = 0 and account % 2 = 0 or (account // 11) % 5 = 2) as mended from h),
+n as (select account::varchar as doc_id, half as period, count(*) as n_rows from x group by all)
+select doc_id, period, case when mended then 'repaired' else 'deterministic' end as path, mended or not lost as reconciled, n_rows - (lost and not mended)::int::bigint as n_rows,
+  case when lost and not mended then case lost_side when 'deposit' then -lost_cents else lost_cents end else 0 end::bigint as residual,
+  case when lost then case (account // 11) % 5 when 0 then case when account % 2 = 0 then 2 else 1 end when 1 then 1 when 2 then 3 else 1 end end::bigint as calls,
+  case when mended then case (account // 11) % 5 when 0 then 1 else 3 end end::bigint as n_edits from m join n using (doc_id, period)""")
+def extract_repaired(spark, sf):
+    """Edits kept only where the period closes within its turns and budget."""
+    found = extract(statements.render(spark, sf), turns=repair_turns(spark, sf), prices=(0.3, 1.2))
+    edits = found["warnings"].where("warning = 'rows_repaired'").select("doc_id", "period", F.col("n").alias("n_edits"))
+    both = found["checks"].join(found["usage"].select("doc_id", "period", "calls"), ["doc_id", "period"], "left").join(edits, ["doc_id", "period"], "left")
+    return both.select("doc_id", "period", "path", "reconciled", (F.col("dep_n") + F.col("wd_n")).alias("n_rows"), "residual", "calls", "n_edits")
+
+
 @query(f"""with {L}, {P}, {F0}, q as (select account, period, event_id, any_value(side) as side, any_value(cents) as cents from p group by all),
 n as (select account, period, coalesce(sum(cents) filter (side = 'deposit'), 0) - coalesce(sum(cents) filter (side = 'withdrawal'), 0) as net from l where cents <> 0 group by all),
 e as (select distinct account, period from l where (event_id % 197 = 5 or event_id % 211 = 7) and cents <> 0),

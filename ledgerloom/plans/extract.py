@@ -19,7 +19,7 @@ from ledgerloom.functions import scan
 from ledgerloom.functions.dates import NOTATIONS, SENTINEL_YEAR, find_dates, with_year
 from ledgerloom.functions.money import find_money, parse_money
 from ledgerloom.functions.text import CYCLE_PAIR, PERIOD_LABELS, has_label, labelled_last4, masked_last4, names_side, squash
-from ledgerloom.operators import audit, diagnose, geometry, header, listing, reconcile, rows
+from ledgerloom.operators import audit, diagnose, geometry, header, listing, reconcile, repair, rows
 from ledgerloom.sources.shared import written
 
 DOC, PERIOD = ["doc_id"], ["doc_id", "period"]
@@ -196,8 +196,9 @@ def within(c: Column, band: Column) -> Column:
 
 def table_rows(lines: DataFrame, profiles: DataFrame, figures: DataFrame, cycles: DataFrame) -> DataFrame:
     """Every line under each candidate layout with what it is read as: day, amount,
-    balance, side, cents, and whether it emits a row (``emits``: plain, with an
-    inherited date, or recovered from the balance step). Lines of a listing and its
+    balance, side, cents, whether it emits a row (``emits``: plain, with an inherited
+    date, or recovered from the balance step), and whether it is words of the
+    description band alone (``alone``). Lines of a listing and its
     header take no part."""
     c = F.col
     table = lines.where(~c("in_listing") & ~c("listing_header"))
@@ -230,7 +231,10 @@ def table_rows(lines: DataFrame, profiles: DataFrame, figures: DataFrame, cycles
     read = read.withColumns({"plain": plain, "recovered": recovered, "date_inherited": undated, "emits": plain | undated | recovered})
     read = read.withColumn("date", F.coalesce("day", F.when(undated, F.coalesce(F.last(F.when(plain, c("day")), ignorenulls=True).over(before), c("start")))))
     read = read.withColumn("side", F.when(recovered, F.when(step > 0, "deposit").otherwise("withdrawal")).otherwise(c("side"))).withColumn("cents", F.when(recovered, F.abs(step)).otherwise(F.abs("amount.cents")))
-    return read.withColumn("kept", c("emits") & rows.breach(c("cents"), c("date"), c("side")).isNull())
+    read = read.withColumn("kept", c("emits") & rows.breach(c("cents"), c("date"), c("side")).isNull())
+    # What is written of a line: no words, amounts or layouts again.
+    alone = c("day").isNull() & c("amount").isNull() & c("balance").isNull() & c("heading").isNull() & (F.size("words") == c("n_spoken"))
+    return read.select(*CAND, "page", "line_no", "date", "side", "cents", "balance", "said", "recovered", "date_inherited", "emits", "kept", "is_summary", alone.alias("alone"), "start", "end")
 
 
 def transactions(read: DataFrame) -> DataFrame:
@@ -241,8 +245,7 @@ def transactions(read: DataFrame) -> DataFrame:
     order = Window.partitionBy(*CAND).orderBy("line_no")
     # A line of words in the description band alone goes on with the row above it.
     read = read.withColumn("row_no", F.sum(c("kept").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    goes_on = ~c("emits") & c("day").isNull() & c("amount").isNull() & c("balance").isNull() & c("heading").isNull() & (F.size("words") == c("n_spoken"))
-    parts = read.where((c("kept") | goes_on) & (c("row_no") > 0))
+    parts = read.where((c("kept") | (~c("emits") & c("alone"))) & (c("row_no") > 0))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "said"))), lambda x: x["said"]), " ")
     head = F.min_by(F.struct("page", "line_no", "date", "side", "cents", "balance", "recovered", "date_inherited", "start", "end"), "line_no").alias("r")
     out = parts.groupBy(*CAND, "row_no").agg(head, text.alias("description"))
@@ -281,16 +284,21 @@ def row_warnings(read: DataFrame) -> DataFrame:
     return counts.unpivot(CAND, list(WARNINGS), "warning", "n").where("n > 0")
 
 
-def extract(words: DataFrame, layouts_given: DataFrame | None = None) -> dict[str, DataFrame]:
+def extract(words: DataFrame, layouts_given: DataFrame | None = None, turns: DataFrame | None = None, budget: float = repair.BUDGET, prices: tuple[float, float] = (0.0, 0.0)) -> dict[str, DataFrame]:
     """``transactions`` (of the best candidate), ``checks`` (tie-out, diagnosis and
-    audit, one row a period), ``files`` (one row a document), ``layouts``, ``periods``, ``warnings`` and ``doubts``.
+    audit, one row a period), ``files`` (one row a document), ``layouts``, ``attempts``
+    (one row a reading that was tried), ``periods``, ``warnings`` and ``doubts``; with
+    ``turns`` also ``usage``.
     Words: doc_id, page, text, x0, x1, top, height, and source where pages were
     recognised. A period without a layout ties out with no rows.
 
-    Candidates are tried in order, the first that reconciles stays, else the one
-    that fails least; each with its listings' rows and without, whichever is
-    better. ``layouts_given`` (columns of ``layouts``, candidate apart) are tried
-    where none of those reconciles, and stay only if they do.
+    Candidates are tried in turn, each with its listings' rows and without; a period
+    that reconciles is closed, and only open ones are read under the next layout (see
+    ``climb``). The first that reconciles stays, else the one that fails least.
+    ``layouts_given`` (columns of ``layouts``, candidate apart; cost_usd may say what a
+    layout took) are tried where none of those reconciles, and stay only if they do.
+    ``turns`` of edits (see ``repair``) are taken where no layout did, within ``budget``
+    dollars a document at ``prices`` a million tokens in and out.
     """
     facts = written(listing.with_listings(line_facts(upright(words))), "facts")
     pages = written(periods(page_anchors(facts)), "pages")
@@ -303,11 +311,14 @@ def extract(words: DataFrame, layouts_given: DataFrame | None = None) -> dict[st
         given = layouts_given.withColumn("candidate", F.lit(GIVEN)).select(*profiles.columns)
         profiles = profiles.unionByName(given)
     profiles = written(profiles, "layouts")
-    read = written(table_rows(lines, profiles, figures, cycles), "read")
-    found = written(transactions(read), "rows")
     listed = written(listing_rows(lines, cycles), "listed")
-    best, kept = _best(figures, profiles, found, listed)
-    warned = _warnings(read, profiles, listed, best, words)
+    attempts, every, read = climb(lines, profiles, figures, cycles, listed)
+    best = written(_best(attempts), "best")
+    kept = written(_kept(every, best), "kept")
+    repaired = usage = None
+    if turns is not None:
+        best, kept, repaired, usage = _repaired(turns, best, kept, attempts, cycles, layouts_given, budget, prices)
+    warned = _warnings(read, listed, best, words, repaired)
     doubts = written(audit.doubt_items(kept, warned, best.select(*PERIOD)), "doubts")
     shown = lines.select(*PERIOD, "page", F.explode("money").alias("m")).select(*PERIOD, "page", "m.cents")
     told = diagnose.residual_matches(diagnose.count_signature(best), kept, shown, PERIOD).join(_breaks(kept, figures), PERIOD, "left")
@@ -316,33 +327,95 @@ def extract(words: DataFrame, layouts_given: DataFrame | None = None) -> dict[st
     judged = audit.sides(audit.completeness(diagnosed)).join(counted, PERIOD, "left").fillna(0, ["doubted"])
     audited = audit.next_steps(audit.verdict(audit.attribution(judged, F.col("doubted"))))
     path = F.when(F.col("candidate") == GIVEN, "given_layout").otherwise("deterministic")
-    checks = audited.withColumn("path", path).join(cycles, PERIOD, "left").join(figures.select(*PERIOD, "bank"), PERIOD, "left")
-    return {"transactions": kept, "checks": checks, "files": reconcile.rollup(checks, DOC, "period"), "layouts": profiles, "periods": pages, "warnings": warned, "doubts": doubts}
+    if repaired is not None:
+        audited = audited.join(repaired.select(*PERIOD, F.lit(True).alias("repaired")), PERIOD, "left")
+        path = F.when(F.col("repaired"), "repaired").otherwise(path)
+    checks = audited.withColumn("path", path).drop("repaired").join(cycles, PERIOD, "left").join(figures.select(*PERIOD, "bank"), PERIOD, "left")
+    out = {"transactions": kept, "checks": checks, "files": reconcile.rollup(checks, DOC, "period"), "layouts": profiles, "attempts": attempts, "periods": pages, "warnings": warned, "doubts": doubts}
+    return out | ({"usage": usage} if usage is not None else {})
 
 
-def _best(figures: DataFrame, profiles: DataFrame, found: DataFrame, listed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The best reading of each period, and its rows."""
-    sided = listed.where("side is not null and cents <> 0")
-    has = sided.select(*PERIOD).distinct().withColumn("variant", F.lit(1))
+def climb(lines: DataFrame, profiles: DataFrame, figures: DataFrame, cycles: DataFrame, listed: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Readings of the periods, layout by layout: tie-outs (TRIED), rows and lines read.
+
+    The frontier is the periods that no layout has closed yet. A turn reads and ties
+    out the frontier alone, under its next layout, and writes what came of it; so a
+    layout of a later rank costs what is still open, not what there is. There are at
+    most ``CANDIDATES`` turns and one more for layouts that were given.
+    """
     printed = figures.drop("bank")
+    sided = listed.where("side is not null and cents <> 0")
+    order = Window.partitionBy(*PERIOD).orderBy("candidate")
+    dealt = profiles.withColumn("turn", F.when(F.col("candidate") == GIVEN, CANDIDATES + 1).otherwise(F.row_number().over(order)))
     # A period for which no layout was found is tried with none, whatever was given for it.
-    bare = printed.join(profiles.where(F.col("candidate") != GIVEN).select(*PERIOD), PERIOD, "left_anti").withColumn("candidate", F.lit(0))
-    plain = printed.join(profiles.select(*CAND), PERIOD).unionByName(bare).withColumn("variant", F.lit(0))
-    tried = plain.unionByName(plain.where("candidate > 0").drop("variant").join(has, PERIOD).select(*plain.columns))
-    table = found.withColumn("variant", F.lit(0))
-    more = sided.join(plain.select(*CAND).where("candidate > 0"), PERIOD).withColumn("variant", F.lit(1))
-    merged = found.join(has, PERIOD).unionByName(more.drop("slot").withColumn("order_in_line", F.col("line_no")), allowMissingColumns=True).drop("order_in_line")
-    every = written(table.unionByName(merged.withColumns({"recovered": F.coalesce("recovered", F.lit(False)), "date_inherited": F.coalesce("date_inherited", F.lit(False))}), allowMissingColumns=True), "every_row")
-    checks = reconcile.reconcile(tried, every, TRIED)
-    guessed = every.groupBy(*TRIED).agg(F.count_if("recovered").alias("n_recovered"))
-    ranked = checks.join(guessed, TRIED, "left").fillna(0, ["n_recovered"])
-    variant = rows.best_candidate(ranked.withColumnRenamed("candidate", "layout").withColumnRenamed("variant", "candidate"), [*PERIOD, "layout"])
+    none = printed.join(profiles.where(F.col("candidate") != GIVEN).select(*PERIOD), PERIOD, "left_anti").withColumn("candidate", F.lit(0))
+    attempts = every = read = None
+    for turn in range(1, CANDIDATES + 2):
+        now = dealt.where(F.col("turn") == turn).drop("turn")
+        if attempts is not None:
+            now = written(now.join(attempts.where("reconciled").select(*PERIOD), PERIOD, "left_anti"), "frontier")
+            if now.isEmpty():
+                continue
+        seen = written(table_rows(lines, now, figures, cycles), "read")
+        tried = now.select(*CAND)
+        found = written(_variants(transactions(seen), sided, tried), "every_row")
+        plain = printed.join(tried, PERIOD).withColumn("variant", F.lit(0))
+        both = plain.unionByName(plain.drop("variant").join(sided.select(*PERIOD).distinct().withColumn("variant", F.lit(1)), PERIOD).select(*plain.columns))
+        if turn == 1:
+            both = both.unionByName(none.withColumn("variant", F.lit(0)))
+        guessed = found.groupBy(*TRIED).agg(F.count_if("recovered").alias("n_recovered"))
+        checks = written(reconcile.reconcile(both, found, TRIED).join(guessed, TRIED, "left").fillna(0, ["n_recovered"]), "attempts")
+        attempts, every, read = (new if old is None else old.unionByName(new) for old, new in ((attempts, checks), (every, found), (read, seen)))
+    return attempts, every, read
+
+
+def _variants(found: DataFrame, sided: DataFrame, tried: DataFrame) -> DataFrame:
+    """Rows of the table alone (variant 0) and, where a period has listings, with
+    theirs (variant 1)."""
+    has = sided.select(*PERIOD).distinct().withColumn("listings", F.lit(True))
+    table = found.join(has, PERIOD, "left").withColumn("variant", F.explode(F.when(F.col("listings"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))).drop("listings")
+    more = sided.drop("slot").join(tried, PERIOD).withColumns({"variant": F.lit(1), "recovered": F.lit(False), "date_inherited": F.lit(False)})
+    return table.unionByName(more, allowMissingColumns=True)
+
+
+def _best(attempts: DataFrame) -> DataFrame:
+    """The best reading of each period: of every layout its better variant, of these
+    the first that reconciles, else the one that fails least."""
+    variant = rows.best_candidate(attempts.withColumnRenamed("candidate", "layout").withColumnRenamed("variant", "candidate"), [*PERIOD, "layout"])
     variant = variant.withColumnRenamed("candidate", "variant").withColumnRenamed("layout", "candidate")
     free = variant.where((F.col("candidate") != GIVEN) | F.col("reconciled"))
-    best = written(rows.best_candidate(free, PERIOD, first_reconciled=True), "best")
+    return rows.best_candidate(free, PERIOD, first_reconciled=True)
+
+
+def _kept(every: DataFrame, best: DataFrame) -> DataFrame:
     kept = every.join(best.select(*TRIED), TRIED, "left_semi")
     order = Window.partitionBy(*PERIOD).orderBy("page", "line_no", "row_index", "description", "cents")
-    return best, written(kept.withColumn("row_index", (F.row_number().over(order) - 1).cast("int")), "kept")
+    return kept.withColumn("row_index", (F.row_number().over(order) - 1).cast("int"))
+
+
+def _repaired(turns: DataFrame, best: DataFrame, kept: DataFrame, attempts: DataFrame, cycles: DataFrame, layouts_given: DataFrame | None, budget: float, prices: tuple[float, float]) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Best readings and rows with the edits of the periods that close with them; these
+    periods with their number of edits; and what each period's turns took."""
+    c = F.col
+    failed = best.where("not reconciled")
+    counts = kept.join(failed, PERIOD, "left_semi").groupBy(*PERIOD).agg(F.count(F.lit(1)).alias("n"))
+    taking = written(repair.numbered(turns.join(failed, PERIOD, "left_semi")), "turns")
+    located = written(repair.placed(repair.edits_of(taking), counts), "edits")
+    spent = None
+    if layouts_given is not None and "cost_usd" in layouts_given.columns:
+        spent = layouts_given.groupBy(*PERIOD).agg(F.sum("cost_usd").alias("cost")).join(attempts.where(c("candidate") == GIVEN), PERIOD, "left_semi")
+    played = written(repair.outcome(taking, located, kept, failed, prices, budget, spent), "outcome")
+    closed = written(played.where("closes").select(*PERIOD, c("turn").alias("upto"), "n_edits"), "closed")
+    again = repair.edited(kept, located, closed).join(cycles.select(*PERIOD, "start", "end"), PERIOD, "left")
+    again = again.withColumn("out_of_period", F.coalesce("out_of_period", rows.outside(c("date"), c("start"), c("end")))).fillna(False, ["recovered", "date_inherited", "yearless"]).select(*kept.columns)
+    of = best.join(closed, PERIOD, "left_semi")
+    again = written(again.drop("candidate", "variant").join(of.select(*TRIED), PERIOD).select(*kept.columns), "repaired_rows")
+    checked = reconcile.reconcile(of.select(*TRIED, *reconcile.PRINTED), again, TRIED).join(again.groupBy(*TRIED).agg(F.count_if("recovered").alias("n_recovered")), TRIED, "left").fillna(0, ["n_recovered"])
+    best = written(best.join(closed, PERIOD, "left_anti").unionByName(checked.select(*best.columns)), "best")
+    kept = written(kept.join(closed, PERIOD, "left_anti").unionByName(again), "kept")
+    took = taking.join(played.where("taken"), [*PERIOD, "turn"])
+    usage = took.groupBy(*PERIOD).agg(F.count(F.lit(1)).alias("calls"), F.sum("tokens_in").alias("tokens_in"), F.sum("tokens_out").alias("tokens_out"), F.sum("cost").alias("cost_usd"))
+    return best, kept, closed.select(*PERIOD, "n_edits"), usage
 
 
 def _breaks(kept: DataFrame, figures: DataFrame) -> DataFrame:
@@ -353,7 +426,7 @@ def _breaks(kept: DataFrame, figures: DataFrame) -> DataFrame:
     return diagnose.chain_breaks(chain, PERIOD, ["row_index"], F.col("opening")).select(*PERIOD, F.col("row_index").alias("break_index"), F.col("amount").alias("break_amount"))
 
 
-def _warnings(read: DataFrame, profiles: DataFrame, listed: DataFrame, best: DataFrame, words: DataFrame) -> DataFrame:
+def _warnings(read: DataFrame, listed: DataFrame, best: DataFrame, words: DataFrame, repaired: DataFrame | None) -> DataFrame:
     """PERIOD, warning, n, of the reading that stays; written."""
     own = row_warnings(read).join(best.select(*CAND), CAND, "left_semi").select(*PERIOD, "warning", "n")
     none = best.where("candidate = 0").select(*PERIOD, F.lit("no_layout").alias("warning"), F.lit(1).cast("bigint").alias("n"))
@@ -361,6 +434,8 @@ def _warnings(read: DataFrame, profiles: DataFrame, listed: DataFrame, best: Dat
     kinds = {"listing_without_side": "unsided", "listing_added": "if(variant = 1, sided, 0)", "listing_left_out": "if(variant = 0, sided, 0)", "zero_amount": "zero"}
     of_listing = counted.select(*PERIOD, F.explode(F.array(*[F.struct(F.lit(k).alias("warning"), F.expr(v).cast("bigint").alias("n")) for k, v in kinds.items()])).alias("w")).select(*PERIOD, "w.*").where("n > 0")
     out = own.unionByName(none).unionByName(of_listing)
+    if repaired is not None:
+        out = out.unionByName(repaired.select(*PERIOD, F.lit("rows_repaired").alias("warning"), F.col("n_edits").alias("n")))
     if "source" in words.columns:
         pages = words.where(F.col("source").isin(*RECOGNISED)).select("doc_id", "page").distinct().groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
         out = out.unionByName(pages.join(best.groupBy("doc_id").agg(F.min("period").alias("period")), "doc_id").select(*PERIOD, F.lit("no_text_layer").alias("warning"), "n"))
