@@ -604,5 +604,19 @@ def doc_diagnostics(spark, sf):
 
 @query(f"with {L} select cast(date_trunc('week', ts) as date) as period, side, count(*) as n, sum(cents)::bigint as cents from l group by 1, 2")
 def weekly_tieout_stream(spark, sf):
-    """The streaming tie-out over the events as a stream of files, drained."""
+    """Running sums over the events as a stream of files, drained."""
     return tieout.weekly(spark, sf)
+
+
+@query(f"""with {L}, {F0}, r as (select * from l where event_id % 83 <> 4 and (account % 20 <> 3 or period <> date '2024-01-08')),
+t as (select account, period, coalesce(sum(cents) filter (side = 'deposit'), 0)::bigint as dep_cents, coalesce(sum(cents) filter (side = 'withdrawal'), 0)::bigint as wd_cents,
+         count(*) filter (side = 'deposit') as dep_n, count(*) filter (side = 'withdrawal') as wd_n from r group by all)
+select account, period, coalesce(dep_n, 0) + coalesce(wd_n, 0) as n_rows, (beginning + coalesce(dep_cents, 0) - coalesce(wd_cents, 0) - ending)::bigint as residual,
+  coalesce(dep_cents, 0) = deposits_total and coalesce(wd_cents, 0) = withdrawals_total and coalesce(dep_n, 0) = deposits_count and coalesce(wd_n, 0) = withdrawals_count as reconciled
+from f1 left join t using (account, period) where period + interval 7 days <= (select max(ts) - interval 1 day from l)""")
+def weekly_checks_stream(spark, sf):
+    """Printed figures and rows as two streams, joined as their weeks close; of some
+    weeks rows are missing, of some all."""
+    rows_ = tieout.event_rows(spark, sf).where("event_id % 83 <> 4 and (account % 20 <> 3 or to_date(date_trunc('week', ts)) <> date'2024-01-08')")
+    found = tieout.closed_weeks(spark, printed(ledger(spark, sf), hide=False), rows_)
+    return found.select("account", "period", (F.col("dep_n") + F.col("wd_n")).alias("n_rows"), "residual", "reconciled")

@@ -13,6 +13,8 @@ from ledgerloom.plans.catalog import F0, KEYS, ORACLES, QUERIES, L, P, query  #
 from ledgerloom.plans.extract import extract
 from ledgerloom.plans.ledger import ledger, parsed, printed, table
 from ledgerloom.sources import words as edges
+from ledgerloom.sources.shared import place
+from ledgerloom.streaming import documents
 
 _RUNS: dict = {}
 
@@ -304,3 +306,16 @@ def page_skew(spark, sf):
     tilt = F.when(F.col("account") % 2 == 0, 0.01).otherwise(0.0)
     words = words.select("doc_id", "page", "x0", (F.col("n") * 12.0 + 0.5 + F.col("x0") * tilt).alias("top"))
     return geometry.skew(words, ["doc_id", "page"]).select("doc_id", F.round("slope", 2).alias("slope"))
+
+
+@query(f"""{STATED} select doc_id, period, case when lost then case lost_side when 'deposit' then -lost_cents else lost_cents end else 0 end::bigint as residual, not lost as reconciled from h where account % 3 = 1""")
+def stream_checks(spark, sf):
+    """A third of the statements as a stream of words: closed by their timers, read as
+    they close. The last words that come only move time on."""
+    words = statements.render(spark, sf).where(F.col("doc_id").cast("bigint") % 3 == 1)
+    coming, out = place(spark, "words"), place(spark, "read")
+    documents.with_arrival(words).write.parquet(coming)
+    spark.read.parquet(coming).limit(1).withColumns({"doc_id": F.lit("~"), "arrived": F.lit("2024-03-01").cast("timestamp")}).write.mode("append").parquet(coming)
+    stream = spark.readStream.schema(spark.read.parquet(coming).schema).parquet(coming)
+    documents.read_documents(stream, out, place(spark, "stream"), ("checks",)).awaitTermination()
+    return documents.results(spark, out, "checks").select("doc_id", "period", "residual", "reconciled")
