@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.money import format_cents
@@ -85,10 +85,28 @@ def next_steps(judged: DataFrame) -> DataFrame:
     return judged.withColumn("steps", F.filter(steps, lambda x: x.isNotNull()))
 
 
+#: What is to be done about a residual, by whose exception it is.
+ACTIONS = {"extraction_uncertainty": "inspect_page", "statement_inconsistency": "raise_and_confirm", "unexplained": "perform_by_hand"}
+
+
 def residual_exceptions(attributed: DataFrame, keys: list[str]) -> DataFrame:
-    """One row for each period with a residual: kind, amount, description."""
-    text = F.concat(F.lit("Residual "), format_cents(F.col("residual")), F.lit(": "), F.coalesce("diagnosis", F.lit("none")))
-    return attributed.where("residual <> 0").select(*keys, F.col("attribution").alias("kind"), F.col("residual").alias("amount"), text.alias("description"))
+    """One row for each period with a residual: kind, amount, description, action and
+    the page that the diagnosis names, where it names one."""
+    detail = F.col("detail") if "detail" in attributed.columns else F.lit(None).cast("string")
+    text = F.concat(F.lit("Residual "), format_cents(F.col("residual")), F.lit(": "), F.coalesce(detail, "diagnosis", F.lit("none")))
+    action = F.element_at(F.create_map(*[F.lit(x) for pair in ACTIONS.items() for x in pair]), F.col("attribution"))
+    page = F.regexp_extract(detail, r"page (\d+)", 1)
+    return attributed.where("residual <> 0").select(*keys, F.col("attribution").alias("kind"), F.col("residual").alias("amount"), text.alias("description"), action.alias("action"), F.when(page != "", page).cast("int").alias("page"))
+
+
+def exceptions(judged: DataFrame, doubts: DataFrame) -> DataFrame:
+    """doc_id, period, position, kind, description, action, amount, page: the list of a
+    period's exceptions, its residual first, then the items in doubt by page."""
+    residual = residual_exceptions(judged, ["doc_id", "period"]).withColumn("rank", F.lit(0))
+    noted = doubts.select("doc_id", "period", F.lit("extraction_uncertainty").alias("kind"), "amount", F.col("kind").alias("description"), "action", "page", F.lit(1).alias("rank"))
+    order = Window.partitionBy("doc_id", "period").orderBy("rank", F.col("page").asc_nulls_last(), "description", "amount")
+    every = residual.unionByName(noted).withColumn("position", F.row_number().over(order))
+    return every.select("doc_id", "period", "position", "kind", "description", "action", "amount", "page")
 
 
 def file_verdict(judged: DataFrame, keys: list[str]) -> DataFrame:

@@ -192,7 +192,7 @@ def audit_verdict(spark, sf):
 @query(f"""{AUDITED} select account, period, attribution as kind, residual as amount,
   'Residual ' || case when residual < 0 then '-' else '' end || (abs(residual) // 100) || '.' || lpad((abs(residual) % 100)::varchar, 2, '0') || ': ' || coalesce(diagnosis, 'none') as description from a where residual <> 0""")
 def audit_exceptions(spark, sf):
-    return audit.residual_exceptions(_audited(spark, sf), KEYS)
+    return audit.residual_exceptions(_audited(spark, sf), KEYS).select(*KEYS, "kind", "amount", "description")
 
 
 @query(f"""{AUDITED} select account, period, array_to_string(list_filter([
@@ -260,8 +260,9 @@ x as (select account, period, event_id, side, cents from (select distinct * from
 u as (select account, period, coalesce(sum(cents) filter (side = 'deposit'), 0) - coalesce(sum(cents) filter (side = 'withdrawal'), 0) as net, count(*) as n_rows from x group by all)
 select f1.account, f1.period, coalesce(n_rows, 0) as n_rows, (beginning + coalesce(net, 0) - ending)::bigint as residual, beginning + coalesce(net, 0) = ending as reconciled from f1 left join u using (account, period)""")
 def repair_edits(spark, sf):
-    """Edits that put back what was lost and turn what was flipped; doubles are
-    dropped first. Kept only where the period then reconciles."""
+    """Edits that put back what was lost and turn what was flipped; doubles are dropped
+    first. All edits stay here, whatever comes of them; ``repair_accepted`` and
+    ``extract_repaired`` undo those of periods that don't close."""
     full = ledger(spark, sf)
     lost, flipped = F.col("event_id") % 197 == 5, F.col("event_id") % 211 == 7
     edits = full.where(lost | flipped).withColumn("op", F.when(lost, "insert").otherwise("set_side")).where("cents <> 0")
@@ -593,13 +594,15 @@ def densest_pages(spark, sf):
 
 @query(r"""with d as (select source, doc_id, case doc_id % 5 when 0 then 'Opening balance 1,000.00 of ' || doc_id || '.00 ' else '' end || text as text from documents)
 select source, count(*) as pages, sum(length(text))::bigint as chars, sum(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')))::bigint as words, count(*) filter (length(trim(text)) < 20) as empty_pages,
-  coalesce(string_agg(doc_id::varchar, ',' order by doc_id) filter (doc_id % 5 = 0), '') as anchor_pages from d group by 1""")
+  coalesce(string_agg(doc_id::varchar, ',' order by doc_id) filter (doc_id % 5 = 0), '') as anchor_pages,
+  sum(len(list_filter(regexp_extract_all(' ' || regexp_replace(text, '([0-9.,]) ', '\1  ', 'g') || ' ', '(?:^|[^\p{L}\p{N}_.,])([(]?-?[$]?(?:[0-9]{1,3}(?:,[0-9]{3})*|[0-9]+)[.][0-9]{2}[)]?)(?:[^0-9]|$)', 1), lambda m: contains(m, '(') = contains(m, ')'))))::bigint as amounts
+  from d group by 1""")
 def doc_diagnostics(spark, sf):
     """Pages of documents by source, some with an opening balance set before them."""
     lead = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("Opening balance 1,000.00 of "), F.col("doc_id").cast("string"), F.lit(".00 "))).otherwise("")
     pages = table(spark, sf, "documents").select("source", F.col("doc_id").alias("page"), F.concat(lead, "text").alias("text"))
     found = edges.diagnostics(pages, ["source"])
-    return found.withColumn("anchor_pages", F.array_join("anchor_pages", ",")).drop("amounts")
+    return found.withColumn("anchor_pages", F.array_join("anchor_pages", ","))
 
 
 @query(f"with {L} select cast(date_trunc('week', ts) as date) as period, side, count(*) as n, sum(cents)::bigint as cents from l group by 1, 2")

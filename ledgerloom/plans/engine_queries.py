@@ -7,11 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import dates, money, scan, text
-from ledgerloom.operators import evaluation, geometry, listing, recognised, rows
+from ledgerloom.operators import evaluation, geometry, listing, recognised, reconcile, requests, rows
 from ledgerloom.plans import statements
-from ledgerloom.plans.catalog import F0, KEYS, ORACLES, QUERIES, L, P, query  # noqa: F401
+from ledgerloom.plans.catalog import F0, F2, KEYS, ORACLES, QUERIES, C, L, P, T, query  # noqa: F401
 from ledgerloom.plans.extract import extract
 from ledgerloom.plans.ledger import ledger, parsed, printed, table
+from ledgerloom.sources import results as sinks
 from ledgerloom.sources import words as edges
 from ledgerloom.sources.shared import place
 from ledgerloom.streaming import documents
@@ -126,7 +127,9 @@ def extract_evaluation(spark, sf):
     full = statements.facts(spark, sf).groupBy(F.col("account").cast("string").alias("doc_id"), F.col("half").alias("period"))
     sums = lambda s: F.coalesce(F.sum(F.when(F.col("side") == s, F.col("cents"))), F.lit(0))
     truth = full.agg(F.min("opening").alias("beginning"), (F.min("opening") + F.sum("signed")).alias("ending"), sums("deposit").alias("deposits_total"), sums("withdrawal").alias("withdrawals_total"), F.count(F.lit(1)).alias("transactions"))
-    return evaluation.report(truth, seen, ["doc_id"], ["period"], ["beginning", "ending", "deposits_total", "withdrawals_total", "transactions"])
+    found = extracted(spark, sf)
+    broken = evaluation.invariants(found["transactions"], found["checks"], found["files"], ["doc_id"], ["period"])
+    return evaluation.report(truth, seen, ["doc_id"], ["period"], ["beginning", "ending", "deposits_total", "withdrawals_total", "transactions"], broken)
 
 
 @query(f"""{STATED} select doc_id, case when bool_and(not lost) then 0 else 1 end as exit_code, sum(case when lost then case lost_side when 'deposit' then -lost_cents else lost_cents end else 0 end)::bigint as residual from h group by doc_id""")
@@ -140,6 +143,86 @@ def extract_report(spark, sf):
     return edges.report_lines(extracted(spark, sf)["checks"], ["doc_id", "period"])
 
 
+@query(f"""{STATED}, w as (
+  select doc_id, 'confirm_no_transactions' as action from h where account % 6 = 1 and period = 0
+  union all select doc_id, 'vouch_to_listing' from h where n_listed > 0 union all select doc_id, 'confirm_repeats_table' from h where n_left > 0
+  union all select doc_id, 'descriptions_recognised' from h where account % 9 = 8 group by doc_id)
+select doc_id, period, case lost_side when 'deposit' then -lost_cents else lost_cents end::bigint as amount, null::int as page, 'inspect_page' as action, 1 as position,
+  'Residual ' || case lost_side when 'deposit' then '-' else '' end || (lost_cents // 100) || '.' || lpad((lost_cents % 100)::varchar, 2, '0') || ': a ' || lost_side || ' of ' || (lost_cents // 100) || '.' || lpad((lost_cents % 100)::varchar, 2, '0') || ' was not read' as description from h where lost
+union all select doc_id, period, cents, page, 'vouch_amount', null, 'amount_from_balance' from t where recovered
+union all select doc_id, period, cents, page, 'confirm_date', null, 'date_from_row_before' from t where date_inherited
+union all select doc_id, period, null, null, action, null, case action when 'confirm_no_transactions' then 'summary_table' when 'vouch_to_listing' then 'listing_added' when 'confirm_repeats_table' then 'listing_left_out' else 'no_text_layer' end from h join w using (doc_id)""")
+def extract_exceptions(spark, sf):
+    """What a reviewer is to look at: a period's residual first, then what is in doubt."""
+    found = extracted(spark, sf)["exceptions"]
+    return found.select("doc_id", "period", "amount", "page", "action", F.when(F.col("description").startswith("Residual"), F.col("position")).alias("position"), "description")
+
+
+@query(f"""{STATED} select doc_id, count(*) as n_periods, sum(n)::bigint as n_rows, bool_and(not lost) as reconciled, sum(s)::bigint as net
+from h join (select doc_id, period, count(*) as n, sum(case side when 'deposit' then cents else -cents end) as s from t group by all) using (doc_id, period) group by doc_id""")
+def extract_json(spark, sf):
+    """The nested objects as they were written, read back."""
+    path = place(spark, "json")
+    sinks.write_results(extracted(spark, sf), path)
+    shape = "doc_id string, reconciled boolean, periods array<struct<period: int, transactions: array<struct<side: string, cents: bigint>>>>"
+    rows_ = F.flatten(F.transform("periods", lambda p: p["transactions"]))
+    net = F.aggregate(rows_, F.lit(0).cast("bigint"), lambda n, r: n + F.when(r["side"] == "deposit", r["cents"]).otherwise(-r["cents"]))
+    return spark.read.schema(shape).json(path).select("doc_id", F.size("periods").cast("bigint").alias("n_periods"), F.size(rows_).cast("bigint").alias("n_rows"), "reconciled", net.alias("net"))
+
+
+@query(f"""{STATED}, c as (
+  select *, case when deposits_count is null then '++++??' when not lost then '++++++' when lost_side = 'deposit' then '+--+-+' else '+-+-+-' end as marks,
+    (coalesce(lost_cents, 0) // 100) || '.' || lpad((coalesce(lost_cents, 0) % 100)::varchar, 2, '0') as gone from h),
+b as (
+  select *, 'period ' || (period + 1) || case when lost then ': DID NOT RECONCILE' else ': reconciled' end || list_aggregate(list_transform(range(1, 7), lambda i:
+      chr(10) || '    ' || lpad(case marks[i] when '+' then 'ok' when '-' then 'FAIL' else '--' end, 4, ' ') || '  ' ||
+      ['printed_block_closes', 'balance_equation', 'deposits_total', 'withdrawals_total', 'deposits_count', 'withdrawals_count'][i]), 'string_agg', '') ||
+    case when lost then chr(10) || '    residual ' || case lost_side when 'deposit' then '-' else '' end || gone || chr(10) || '    a ' || lost_side || ' of ' || gone || ' was not read' else '' end || chr(10) as body from c),
+w as (
+  select doc_id, period, 'amount_from_balance' as warning, n_recovered as n from h where n_recovered > 0 union all select doc_id, period, 'date_from_row_before', n_inherited from h where n_inherited > 0
+  union all select doc_id, period, 'summary_table', 1 from h where account % 6 = 1 and period = 0 union all select doc_id, period, 'listing_added', n_listed from h where n_listed > 0
+  union all select doc_id, period, 'listing_left_out', n_left from h where n_left > 0
+  union all select doc_id, 0, 'no_text_layer', (select count(distinct page) from x where x.account = h.account) from h where account % 9 = 8 and period = 0),
+v as (select doc_id, string_agg('warning: period ' || (period + 1) || ', ' || warning || ' (' || n || ')', chr(10) order by period, warning) as warned from w group by doc_id),
+d as (select b.doc_id, string_agg(body, chr(10) order by period) as body, count(*) as n, any_value(account) as account, min(starts) as s, min(ends) as e from b group by 1),
+n as (select doc_id, count(*) as n_rows from t group by 1)
+select doc_id, concat_ws(chr(10), doc_id, repeat('=', length(doc_id)), ['HARBOUR BANK', 'Union Trust', 'First Mutual Savings'][(account % 3 + 1)::int] || ' · account ' || lpad((account % 10000)::varchar, 4, '0') || ' · ' || s || ' to ' || e,
+  n || ' period(s), ' || n_rows || ' transaction(s)', '', body, 'path: deterministic', warned) as text from d join n using (doc_id) left join v using (doc_id)""")
+def extract_text_reports(spark, sf):
+    """The report a reader gets of each document, warnings and all."""
+    return sinks.text_reports(extracted(spark, sf))
+
+
+_ASKED = """q as (
+  select account, period, event_id as request, ['state', 'find_amount', 'list_rows', 'find_amount'][(event_id % 4 + 1)::int] as kind, cents + (event_id % 8 = 3)::bigint as cents, event_id % 9 as first from l where event_id % 6 = 1 or event_id % 8 = 3)"""
+
+
+@query(f"""with {L}, {P}, {F0}, {F2}, {T}, {C}, {_ASKED},
+r as (select *, row_number() over (partition by account, period order by ts, event_id, side) - 1 as i from p),
+s as (select account, period, day(ts) as page, cents from l)
+select q.account, q.period, request, kind, case when kind = 'state' then reconciled end as reconciled, case when kind = 'state' then residual end::bigint as residual, case when kind = 'state' then dep_n + wd_n end::bigint as n_rows,
+  case when kind = 'find_amount' then coalesce((select string_agg(distinct page::varchar, ',' order by page::varchar) from s where s.account = q.account and s.period = q.period and s.cents = q.cents), '') else '' end as on_pages,
+  case kind when 'find_amount' then coalesce((select string_agg(i::varchar, ',' order by i) from r where r.account = q.account and r.period = q.period and r.cents = q.cents), '')
+            when 'list_rows' then coalesce((select string_agg(i::varchar, ',' order by i) from r where r.account = q.account and r.period = q.period and i >= q.first and i < q.first + 20), '') else '' end as row_indexes
+from q left join c using (account, period)""")
+def ledger_requests(spark, sf):
+    """State, amounts and rows asked of many periods at once; some amounts are nowhere."""
+    c = F.col
+    full = ledger(spark, sf)
+    read = parsed(full)
+    order = statements.Window.partitionBy(*KEYS).orderBy("ts", "event_id", "side")
+    rows_ = read.select(*KEYS, (F.row_number().over(order) - 1).cast("int").alias("row_index"), F.to_date("ts").alias("date"), F.concat(F.lit("E"), c("event_id").cast("string")).alias("description"), "side", "cents")
+    asked = full.where("event_id % 6 = 1 or event_id % 8 = 3")
+    kind = F.element_at(F.array(*map(F.lit, ("state", "find_amount", "list_rows", "find_amount"))), (c("event_id") % 4 + 1).cast("int"))
+    amount = money.format_cents(c("cents") + (c("event_id") % 8 == 3).cast("bigint"))
+    asked = asked.select(*KEYS, c("event_id").alias("request"), kind.alias("kind"), amount.alias("amount"), (c("event_id") % 9).cast("int").alias("first"), F.lit(None).cast("int").alias("until"), F.lit(None).cast("int").alias("number"))
+    shown = full.select(*KEYS, F.dayofmonth("ts").alias("page"), "cents")
+    pages = shown.groupBy(*KEYS, "page").agg(F.array_join(F.array_sort(F.collect_list(money.format_cents(c("cents")))), "\n").alias("text"))
+    out = requests.answers(asked, reconcile.reconcile(printed(full), read, KEYS), rows_, shown, pages, KEYS)
+    listed = lambda x: F.array_join(x, ",")
+    return out.select(*KEYS, "request", "kind", "reconciled", "residual", "n_rows", listed(F.array_sort(F.transform("on_pages", lambda p: p.cast("string")))).alias("on_pages"), listed(F.transform("row_indexes", lambda i: i.cast("string"))).alias("row_indexes"))
+
+
 @query(f"""{STATED} select doc_id, period, 1 as layout, 1 + (n_listed + n_left > 0)::int::bigint as readings from h where not lost""")
 def extract_frontier(spark, sf):
     """Readings that closed periods took: one layout, with its listings and without;

@@ -66,25 +66,26 @@ def line_facts(words: DataFrame, name: str = "lines") -> DataFrame:
 def page_anchors(lines: DataFrame) -> DataFrame:
     """What a page says about the statement it belongs to, off its undated lines.
     An account number behind a mask goes before one of an account line. A period
-    is the first and last date of a line with a period label; else the one date of
-    such a line is its end; else the dates of a cycle pair; and dates beside the
-    beginning and ending balance fill what is missing."""
+    is told by the first line with a period label and dates: its first and last date,
+    or its one date as the end; without such a line by a cycle pair; and dates beside
+    the beginning and ending balance fill what is missing."""
     says = F.when(~F.col("dated"), F.col("text"))
     read = lines.withColumn("says", says).withColumn("dates", F.when(says.rlike(r"\d"), find_dates(says)))
     says, dates, some = F.col("says"), F.col("dates"), F.size("dates") > 0
     labelled = says.rlike("(?i)" + "|".join(PERIOD_LABELS))
-    two = F.when(labelled & (F.size(dates) >= 2), F.struct(F.get(dates, 0).alias("start"), F.element_at(dates, -1).alias("end")))
-    one = F.when(labelled & some, F.get(dates, 0))
+    stated = F.when(labelled & some, F.struct(F.get(dates, 0).alias("start"), F.element_at(dates, -1).alias("end"), F.size(dates).alias("n")))
     pair = [F.when(squash(says).contains(x.replace(" ", "")) & some, F.get(dates, 0)) for x in CYCLE_PAIR]
     beside = lambda field: F.when(names_side(says, field) & some, F.get(dates, 0))
     opens = ~F.col("dated") & has_label(F.col("text"), "beginning") & (F.size("money") > 0)
     first = lambda x: F.min_by(x, F.when(x.isNotNull(), F.col("line_no")))
     closes = F.when(~names_side(says, "beginning"), beside("ending"))
     found = read.groupBy("doc_id", "page").agg(
-        F.bool_or(opens).alias("beginning"), first(masked_last4(says)).alias("masked"), first(labelled_last4(says)).alias("labelled"), first(two).alias("two"), first(one).alias("one"), first(pair[0]).alias("last_cycle"), first(pair[1]).alias("this_cycle"), first(beside("beginning")).alias("from"), first(closes).alias("to")
+        F.bool_or(opens).alias("beginning"), first(masked_last4(says)).alias("masked"), first(labelled_last4(says)).alias("labelled"), first(stated).alias("stated"), first(pair[0]).alias("last_cycle"), first(pair[1]).alias("this_cycle"), first(beside("beginning")).alias("from"), first(closes).alias("to")
     )
-    start, end = F.coalesce(F.when(F.col("one").isNull(), F.col("last_cycle")), "from"), F.coalesce("one", "this_cycle", "to")
-    cycle = F.coalesce("two", F.when(start.isNotNull() | end.isNotNull(), F.struct(start.alias("start"), end.alias("end"))))
+    stated = F.col("stated")
+    two = F.when(stated["n"] > 1, F.struct(stated["start"].alias("start"), stated["end"].alias("end")))
+    start, end = F.coalesce(F.when(stated.isNull(), F.col("last_cycle")), "from"), F.coalesce(stated["start"], F.col("this_cycle"), F.col("to"))
+    cycle = F.coalesce(two, F.when(start.isNotNull() | end.isNotNull(), F.struct(start.alias("start"), end.alias("end"))))
     return found.select("doc_id", "page", "beginning", F.coalesce("masked", "labelled").alias("last4"), cycle.alias("cycle"))
 
 
@@ -286,9 +287,10 @@ def row_warnings(read: DataFrame) -> DataFrame:
 
 def extract(words: DataFrame, layouts_given: DataFrame | None = None, turns: DataFrame | None = None, budget: float = repair.BUDGET, prices: tuple[float, float] = (0.0, 0.0)) -> dict[str, DataFrame]:
     """``transactions`` (of the best candidate), ``checks`` (tie-out, diagnosis and
-    audit, one row a period), ``files`` (one row a document), ``layouts``, ``attempts``
-    (one row a reading that was tried), ``periods``, ``warnings`` and ``doubts``; with
-    ``turns`` also ``usage``.
+    audit, one row a period), ``files`` (one row a document, with its worst verdict),
+    ``exceptions`` (of each period the residual first, then what is in doubt, with action
+    and page), ``layouts``, ``attempts`` (one row a reading that was tried), ``periods``,
+    ``warnings`` and ``doubts``; with ``turns`` also ``usage``.
     Words: doc_id, page, text, x0, x1, top, height, and source where pages were
     recognised. A period without a layout ties out with no rows.
 
@@ -331,7 +333,11 @@ def extract(words: DataFrame, layouts_given: DataFrame | None = None, turns: Dat
         audited = audited.join(repaired.select(*PERIOD, F.lit(True).alias("repaired")), PERIOD, "left")
         path = F.when(F.col("repaired"), "repaired").otherwise(path)
     checks = audited.withColumn("path", path).drop("repaired").join(cycles, PERIOD, "left").join(figures.select(*PERIOD, "bank"), PERIOD, "left")
-    out = {"transactions": kept, "checks": checks, "files": reconcile.rollup(checks, DOC, "period"), "layouts": profiles, "attempts": attempts, "periods": pages, "warnings": warned, "doubts": doubts}
+    checks = written(checks, "checks")
+    exceptions = audit.exceptions(checks, doubts)
+    counted = exceptions.groupBy(*DOC).agg(F.count(F.lit(1)).alias("n_exceptions"))
+    files = reconcile.rollup(checks, DOC, "period").join(audit.file_verdict(checks, DOC).select(*DOC, "verdict"), DOC).join(counted, DOC, "left").fillna(0, ["n_exceptions"])
+    out = {"transactions": kept, "checks": checks, "files": files, "exceptions": exceptions, "layouts": profiles, "attempts": attempts, "periods": pages, "warnings": warned, "doubts": doubts}
     return out | ({"usage": usage} if usage is not None else {})
 
 
