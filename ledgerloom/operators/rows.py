@@ -54,7 +54,7 @@ def side_of(strategy: str, amount: Column, column: Column | None = None, section
         return F.when(column == 0, "deposit").otherwise("withdrawal")
     if strategy == "sections":
         return F.when(section.isin("deposits", "credits"), "deposit").when(section.isin("withdrawals", "debits"), "withdrawal")
-    return F.when(before.isNotNull(), F.when(balance > before, "deposit").otherwise("withdrawal"))
+    return F.when(before.isNotNull() & balance.isNotNull(), F.when(balance > before, "deposit").otherwise("withdrawal"))
 
 
 def breach(cents: Column, day: Column, side: Column) -> Column:

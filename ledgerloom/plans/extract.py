@@ -6,8 +6,8 @@ candidate, tie-outs, and the best candidate of each period. State that runs
 down a page (sections, balances, dates) is a window over (document, period,
 candidate); all of these share one exchange by document.
 
-The balance a row is measured against is that of the last line before it that
-prints one, whether or not that line became a row.
+The balance a row is measured against is that of the last row before it that
+printed one, a row of amount zero among them; lines that became no row leave it.
 """
 
 from __future__ import annotations
@@ -214,28 +214,84 @@ def table_rows(lines: DataFrame, profiles: DataFrame, figures: DataFrame, cycles
     read = read.withColumns({"amount": amount, "balance": balance, "said": F.array_join(F.transform(spoken, lambda w: w["text"]), " "), "n_spoken": F.size(spoken)})
     no_money = c("amount").isNull() & c("balance").isNull()
     read = read.withColumn("heading", F.when(c("day").isNull() & no_money, section)).withColumn("is_summary", c("summary") & c("day").isNotNull() & c("amount").isNotNull())
+    alone = c("day").isNull() & no_money & c("heading").isNull() & (F.size("words") == c("n_spoken"))
+    # What is written of a line: no words, amounts or layouts again.
+    return told_rows(read.select(*CAND, "page", "line_no", "day", c("amount.cents").alias("amount"), c("amount.column").alias("column"), "balance", "heading", "is_summary", "said", alone.alias("alone"), "strategy", "opening", "start", "end"))
+
+
+def told_rows(read: DataFrame) -> DataFrame:
+    """Lines by what stands in their bands (day, amount, its column, balance, heading),
+    as rows: side, cents, date, ``emits`` and ``kept``, ``recovered`` and
+    ``date_inherited``."""
+    c = F.col
+    read = chained_rows(written(_resets(read), "read"))
     order = Window.partitionBy(*CAND).orderBy("line_no")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
-    printing = F.when(c("balance").isNotNull() & ~c("is_summary") & (c("day").isNotNull() | c("amount").isNotNull()), c("balance"))
-    read = read.withColumn("previous", F.coalesce(F.last(printing, ignorenulls=True).over(before), c("opening"))).withColumn("section", F.last("heading", ignorenulls=True).over(before))
-    by_strategy = {k: rows.side_of(k, c("amount.cents"), column=c("amount.column"), section=F.when(c("section") == "deposit", "deposits").when(c("section") == "withdrawal", "withdrawals"), before=c("previous"), balance=c("balance")) for k in ("two_columns", "signed", "sections", "balance_delta")}
+    read = read.withColumn("previous", F.coalesce(F.last(F.when(c("resets") | c("chained"), c("balance")), ignorenulls=True).over(before), c("opening")))
+    by_strategy = {k: rows.side_of(k, c("amount"), column=c("column"), section=F.when(c("section") == "deposit", "deposits").when(c("section") == "withdrawal", "withdrawals"), before=c("previous"), balance=c("balance")) for k in ("two_columns", "signed", "sections", "balance_delta")}
     side = None
     for k, v in by_strategy.items():
         side = F.when(c("strategy") == k, v) if side is None else side.when(c("strategy") == k, v)
     read = read.withColumn("side", side)
-    signed = F.when(c("side") == "deposit", F.abs("amount.cents")).otherwise(-F.abs("amount.cents"))
-    chained = F.coalesce(c("previous") + signed == c("balance"), F.lit(False)) & c("side").isNotNull()
-    plain = c("day").isNotNull() & c("amount").isNotNull() & ~c("is_summary")
-    undated = c("day").isNull() & c("amount").isNotNull() & chained
+    undated = c("chained")
     recovered = c("day").isNotNull() & c("amount").isNull() & c("balance").isNotNull() & c("previous").isNotNull()
     step = c("balance") - c("previous")
-    read = read.withColumns({"plain": plain, "recovered": recovered, "date_inherited": undated, "emits": plain | undated | recovered})
-    read = read.withColumn("date", F.coalesce("day", F.when(undated, F.coalesce(F.last(F.when(plain, c("day")), ignorenulls=True).over(before), c("start")))))
-    read = read.withColumn("side", F.when(recovered, F.when(step > 0, "deposit").otherwise("withdrawal")).otherwise(c("side"))).withColumn("cents", F.when(recovered, F.abs(step)).otherwise(F.abs("amount.cents")))
+    read = read.withColumns({"recovered": recovered, "date_inherited": undated, "emits": c("plain") | undated | recovered})
+    read = read.withColumn("date", F.coalesce("day", F.when(undated, F.coalesce(F.last(F.when(c("gives_date"), c("day")), ignorenulls=True).over(before), c("start")))))
+    read = read.withColumn("side", F.when(recovered, F.when(step > 0, "deposit").otherwise("withdrawal")).otherwise(c("side"))).withColumn("cents", F.when(recovered, F.abs(step)).otherwise(F.abs("amount")))
     read = read.withColumn("kept", c("emits") & rows.breach(c("cents"), c("date"), c("side")).isNull())
-    # What is written of a line: no words, amounts or layouts again.
-    alone = c("day").isNull() & c("amount").isNull() & c("balance").isNull() & c("heading").isNull() & (F.size("words") == c("n_spoken"))
-    return read.select(*CAND, "page", "line_no", "date", "side", "cents", "balance", "said", "recovered", "date_inherited", "emits", "kept", "is_summary", alone.alias("alone"), "start", "end")
+    return read.select(*CAND, "page", "line_no", "date", "side", "cents", "balance", "said", "recovered", "date_inherited", "emits", "kept", "is_summary", "alone", "start", "end")
+
+
+def _resets(read: DataFrame) -> DataFrame:
+    """What each line does to the balance that rows are measured against, as far as it
+    doesn't hang on that balance's value: ``resets`` (it becomes the line's own) and
+    ``conditional`` (an undated line, which is a row only if it continues the chain);
+    ``plain`` and ``gives_date`` (a dated row, and one that later rows take dates from).
+
+    A row with a balance resets, one without a side doesn't; an amount of zero does.
+    Where sides follow from the balance, and for a balance without an amount, there
+    must be one to measure from (``known``)."""
+    c = F.col
+    order = Window.partitionBy(*CAND).orderBy("line_no")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    ever = lambda x: F.coalesce(F.max(x).over(before), F.lit(False))
+    read = read.withColumn("section", F.last("heading", ignorenulls=True).over(before)).withColumn("plain", c("day").isNotNull() & c("amount").isNotNull() & ~c("is_summary"))
+    told, by_step = c("strategy").isin("two_columns", "signed") | ((c("strategy") == "sections") & c("section").isNotNull()), c("strategy") == "balance_delta"
+    zero, shown = c("amount") == 0, c("balance").isNotNull()
+    read = read.withColumn("sets", F.coalesce(c("plain") & shown & (zero | told), F.lit(False)))
+    read = read.withColumn("known", c("opening").isNotNull() | ever(c("sets")))
+    alone = c("day").isNotNull() & c("amount").isNull() & shown
+    read = read.withColumn("resets", c("sets") | F.coalesce(c("known") & ((c("plain") & shown & ~zero & by_step) | alone), F.lit(False)))
+    read = read.withColumn("gives_date", F.coalesce(c("plain") & ~zero & (told | (by_step & shown & c("known"))), F.lit(False)))
+    dated = c("start").isNotNull() | ever(c("gives_date"))
+    waits = c("day").isNull() & ~zero & shown & c("known") & dated & (told | by_step)
+    return read.withColumn("conditional", F.coalesce(waits, F.lit(False))).drop("sets", "known")
+
+
+def chained_rows(read: DataFrame) -> DataFrame:
+    """``read`` with ``chained``: undated lines that are rows. Each is one if its balance
+    is the balance so far and its amount; then the balance so far is its own. So they
+    are told in order, from one line that resets the balance to the next: a fold over
+    the undated lines between, which few are, with a mark for each as its result."""
+    c = F.col
+    waiting = read.where("conditional")
+    if waiting.isEmpty():
+        return read.withColumn("chained", F.lit(False))
+    order = Window.partitionBy(*CAND).orderBy("line_no")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    placed = read.withColumn("island", F.coalesce(F.sum(c("resets").cast("int")).over(before), F.lit(0))).withColumn("from", F.coalesce(F.last(F.when(c("resets"), c("balance")), ignorenulls=True).over(before), c("opening"))).where("conditional")
+    size = F.abs("amount")
+    side = F.when(c("strategy") == "two_columns", c("column") == 0).when(c("strategy") == "signed", c("amount") > 0).when(c("strategy") == "sections", c("section") == "deposit")
+    # The balance before it that makes a line a row; two where the step tells the side.
+    after_in, after_out = F.when(F.coalesce(side, F.lit(True)), c("balance") - size), F.when(F.coalesce(~side, F.lit(True)), c("balance") + size)
+    islands = placed.groupBy(*CAND, "island").agg(F.first("from").alias("from"), F.array_sort(F.collect_list(F.struct("line_no", after_in.alias("a"), after_out.alias("b"), "balance"))).alias("l"))
+    holds = lambda s, x: F.coalesce(s["at"] == x["a"], F.lit(False)) | F.coalesce(s["at"] == x["b"], F.lit(False))
+    start = F.struct(c("from").alias("at"), F.lit("").alias("marks"))
+    told = F.aggregate("l", start, lambda s, x: F.struct(F.when(holds(s, x), x["balance"]).otherwise(s["at"]).alias("at"), F.concat(s["marks"], F.when(holds(s, x), "+").otherwise("-")).alias("marks")))["marks"]
+    each = islands.select(*CAND, "l", told.alias("marks")).select(*CAND, "marks", F.posexplode("l").alias("i", "x"))
+    found = each.where(F.substring("marks", c("i") + 1, F.lit(1)) == "+").select(*CAND, c("x.line_no").alias("line_no"), F.lit(True).alias("chained"))
+    return read.join(found, [*CAND, "line_no"], "left").withColumn("chained", F.coalesce("chained", F.lit(False)))
 
 
 def transactions(read: DataFrame) -> DataFrame:
@@ -362,7 +418,7 @@ def climb(lines: DataFrame, profiles: DataFrame, figures: DataFrame, cycles: Dat
             now = written(now.join(attempts.where("reconciled").select(*PERIOD), PERIOD, "left_anti"), "frontier")
             if now.isEmpty():
                 continue
-        seen = written(table_rows(lines, now, figures, cycles), "read")
+        seen = table_rows(lines, now, figures, cycles)
         tried = now.select(*CAND)
         found = written(_variants(transactions(seen), sided, tried), "every_row")
         plain = printed.join(tried, PERIOD).withColumn("variant", F.lit(0))
