@@ -27,11 +27,11 @@ KINDS = ("two_columns", "signed", "sections", "balance_delta")
 BANKS = ("HARBOUR BANK", "Union Trust", "First Mutual Savings")
 
 
-def facts(spark: SparkSession, sf: str) -> DataFrame:
-    """The ledger's rows with what decides how each is set: account, half, page,
-    kind, side, cents, balance, opening (of the half), and flags."""
+def facts(spark: SparkSession, sf: str, book: DataFrame | None = None) -> DataFrame:
+    """The ledger's rows (or those of ``book``) with what decides how each is set:
+    account, half, page, kind, side, cents, balance, opening (of the half), and flags."""
     c = F.col
-    full = ledger(spark, sf).where("cents <> 0").withColumn("half", (F.to_date("ts") > F.lit("2024-01-14").cast("date")).cast("int")).withColumn("day", F.to_date("ts"))
+    full = (ledger(spark, sf) if book is None else book).where("cents <> 0").withColumn("half", (F.to_date("ts") > F.lit("2024-01-14").cast("date")).cast("int")).withColumn("day", F.to_date("ts"))
     full = full.withColumn("kind", F.element_at(F.array(*map(F.lit, KINDS)), (c("account") % 4 + 1).cast("int"))).withColumn("page", (F.least(F.weekofyear("ts"), F.lit(4)) + c("half")).cast("int"))
     full = full.withColumn("signed", F.when(c("side") == "deposit", c("cents")).otherwise(-c("cents")))
     table_order = [c("page"), F.when(c("kind") == "sections", c("side")), c("ts"), c("event_id")]
@@ -81,10 +81,10 @@ def words_of(lines: DataFrame) -> DataFrame:
     return each.select("doc_id", "page", "text", x0.alias("x0"), (x0 + F.length("text") * CHAR).alias("x1"), (F.col("line") * PITCH + 40.0).alias("top"), "height")
 
 
-def render(spark: SparkSession, sf: str) -> DataFrame:
+def render(spark: SparkSession, sf: str, book: DataFrame | None = None) -> DataFrame:
     """doc_id, page, text, x0, x1, top, height, source."""
     c = F.col
-    full = facts(spark, sf)
+    full = facts(spark, sf, book)
     a = c("account")
     sums = lambda s, f: f(F.when(c("side") == s, c("cents")))
     tops = full.groupBy("account", "half", "kind").agg(F.min("page").alias("page"), F.min("opening").alias("opening"), F.coalesce(sums("deposit", F.sum), F.lit(0)).alias("dep"), F.coalesce(sums("withdrawal", F.sum), F.lit(0)).alias("wd"), sums("deposit", F.count).alias("n_dep"), sums("withdrawal", F.count).alias("n_wd"))

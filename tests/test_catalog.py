@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pytest
 
-from ledgerloom.plans import catalog, engine_queries  # noqa: F401 (registers its queries)
+from ledgerloom.plans import catalog, edge_queries, engine_queries  # noqa: F401 (register their queries)
 from tests.compare import both
 
 SF = "/root/testdata/sf0.001"
