@@ -24,6 +24,7 @@ NOTATIONS = {
     "MMM d": (r"^m(\d+) (\d{1,2})$", f"{SENTINEL_YEAR}-$1-$2"),
     "d MMM": (r"^(\d{1,2}) m(\d+)$", f"{SENTINEL_YEAR}-$2-$1"),
 }
+LONGEST = 16
 YEARLESS = ("M/d", "M-d", "MMM d", "d MMM")
 #: The hyphen of a range set without blanks, between a digit and a letter.
 RANGE_HYPHEN = r"(?<=\d)-(?=[A-Za-z])|(?<=[A-Za-z])-(?=\d)"
@@ -59,8 +60,8 @@ def read_date(text: Column) -> Column:
         century = F.when(iso.rlike(r"^(69|[789]\d)-"), F.concat(F.lit("19"), iso)).when(iso.rlike(r"^\d\d-"), F.concat(F.lit("20"), iso)).otherwise(iso)
         return F.try_to_date(century, "yyyy-M-d")
 
-    # No notation is longer than forty characters.
-    return F.when(F.length(text) <= 40, F.transform(F.array(plain_form(text)), read)[0])
+    # In plain form no notation is longer than that; blanks and marks don't count.
+    return F.transform(F.array(plain_form(text)), lambda form: F.when(F.length(form) <= LONGEST, read(form)))[0]
 
 
 def parse_date(text: Column) -> Column:
@@ -92,7 +93,7 @@ def find_dates(text: Column) -> Column:
 
     def at(w: Column, i: Column) -> Column:
         tries = F.array(*[F.struct(F.when(i + k <= F.size(w), F.array_join(F.slice(w, i + 1, k), " ")).alias("t"), F.lit(k).alias("k")) for k in range(MAX_WORDS, 0, -1)])
-        likely = F.filter(tries, lambda s: s["t"].rlike(r"^(?=.*\d)[0-9A-Za-z/,.:; -]{3,40}$"))
+        likely = F.filter(tries, lambda s: s["t"].rlike(r"^(?=.*\d)[0-9A-Za-z/,.:; -]{3,}$"))
         return F.get(F.filter(F.transform(likely, lambda s: F.struct(parse_date(s["t"]).alias("date"), s["k"].alias("k"))), lambda s: s["date"].isNotNull()), 0)
 
     def fold(w: Column) -> Column:

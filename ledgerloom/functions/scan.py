@@ -68,7 +68,7 @@ def date_at(words: Column, i: Column, only: Column | None = None) -> Column:
         return [F.struct(F.when(i + k <= F.size(words), t).alias("t"), F.lit(k).alias("k")) for t in out]
 
     tries = F.array(*[f for k in range(MAX_WORDS, 0, -1) for f in forms(k)])
-    likely = F.filter(tries, lambda c: c["t"].rlike(r"^(?=.*\d)[0-9A-Za-z/,.:;| -]{3,24}$"))
+    likely = F.filter(tries, lambda c: c["t"].rlike(r"^(?=.*\d)[0-9A-Za-z/,.:;| -]{3,}$"))
     read = F.transform(likely, lambda c: let(read_date(c["t"]), lambda r: F.struct(r["date"].alias("date"), c["k"].alias("k"), r["notation"].alias("notation"))))
     fits = lambda c: c["date"].isNotNull() if only is None else c["date"].isNotNull() & F.array_contains(only, c["notation"])
     return F.get(F.filter(read, fits), 0)

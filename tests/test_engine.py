@@ -225,3 +225,14 @@ def test_edges(spark, tmp_path):
     assert checks.agg(edges.exit_code(checks)).first()[0] == 0
     assert edges.report_lines(checks, KEY).first().line == "1 ++++++ 0.00"
     assert '"reconciled":true' in edges.log_lines(checks, KEY).first().line
+
+
+def test_dates_behind_leaders_and_blanks(spark):
+    """Marks and blanks don't count towards a date's length; other text does."""
+    from ledgerloom.functions import dates, scan
+
+    said = [("March 5, 2024" + "." * 60, 1), ("September   5,      2024" + " " * 40, 1), ("03/05/2024" + ";" * 50 + " and 04/05/2024:", 2), ("x" * 100_000 + " 03/05/2024", 1), ("7" * 1000, 0), (" 03/05/2024 ", 1)]
+    rows = spark.createDataFrame(said, "t string, n int").select("n", F.size(dates.find_dates(F.col("t"))).alias("found"), dates.parse_date(F.col("t")).alias("d")).collect()
+    assert [r.found for r in rows] == [n for _, n in said] and [r.d is not None for r in rows] == [True, True, False, False, False, True]
+    boxes = spark.createDataFrame([([("September", 0.0, 50.0), ("5,", 54.0, 60.0), ("2024" + "." * 30, 64.0, 300.0)],)], "w array<struct<text string, x0 double, x1 double>>")
+    assert str(boxes.select(scan.date_at(F.col("w"), F.lit(0))["date"]).first()[0]) == "2024-09-05"
