@@ -7,15 +7,19 @@ if its structure holds:
 * ``jwt``  three base64url parts; the first decodes to a JSON object with an
   ``alg`` string, the second to a JSON object.
 * ``pem``  a BEGIN/END block of one label whose base64 body is DER (or, for
-  OPENSSH keys, the ``openssh-key-v1`` layout) or an encrypted legacy body.
+  OPENSSH keys, the ``openssh-key-v1`` layout, all its fields) or an encrypted legacy
+  body; also with its line ends written as escapes, as JSON has them, as quoted or
+  commented lines, and as string literals put together.
 * ``der``  a base64 or hex run that decodes to one ASN.1 SEQUENCE whose nested
   lengths add up exactly and which holds an INTEGER, BIT STRING or OCTET STRING.
-  A run wrapped over lines is joined as far as its first bytes say.
+  A run wrapped over lines, written as escapes or not, is joined as far as its first
+  bytes say; one behind ``/``, ``-`` or ``_`` (a path, an option) counts from there on.
 * ``ssh``  a base64 run, of one line or more, that starts with an SSH public key's length-prefixed
   algorithm name and whose length-prefixed fields fill it exactly.
 
 Each task reads its own rows once and keeps nothing between them; there is no
-shuffle, so a lost executor costs its own tasks only.
+shuffle, so a lost executor costs its own tasks only. A text takes time in proportion
+to its length, however many keys are in it.
 """
 
 from __future__ import annotations
@@ -40,13 +44,23 @@ MIN_ASSIGN, MIN_ACCESS = 6, 20
 HINT = re.compile(r"[Pp][Aa][Ss][Ss][Ww]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk]")
 
 JWT = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*(?![A-Za-z0-9_-])")
-PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{1,40})-----((?:[^-]|-(?!----BEGIN ))*?)-----END \1-----")
-LONG = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{32,}={0,2}")
+MARK = re.compile(r"-----(BEGIN|END) ([A-Z0-9 ]+)-----")
+#: Where a run may start: behind no character of its own, or behind a written line end.
+START = r"(?:(?<![A-Za-z0-9+/_\\-])|(?<=\\[nrt])|(?<=\\)(?![nrt]))"
+#: A line end, written out or escaped, and marks of quoted lines.
+BREAK = r"(?:[ \t]*\\?\r?\n[ \t]*(?:>[ \t]*)*|(?:\\+r)?\\+n[ \t]*)"
+LONG = re.compile(START + r"[A-Za-z0-9+/_-]{32,}={0,2}")
 #: First line of a wrapped key: how a SEQUENCE or an SSH name's length begins.
-WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])(?:M[A-P]|AAAA|30)[A-Za-z0-9+/_-]{6,}(?=[ \t]*\\?\r?\n)")
-NEXT_LINE = re.compile(r"[ \t]*\\?\r?\n[ \t]*([A-Za-z0-9+/_-]+)(={0,2})")
+WRAPPED = re.compile(START + r"(?:M[A-P]|AAAA|30)[A-Za-z0-9+/_-]{6,}(?=" + BREAK + ")")
+NEXT_LINE = re.compile(BREAK + r"([A-Za-z0-9+/_-]+)(={0,2})")
+#: Inside a run, where a key may begin behind a separator.
+INSIDE = re.compile(r"[/_-](?=M[A-P]|AAAA)")
+ESCAPED_END = re.compile(r"\\+[nrt]")
+LITERAL_END = re.compile(r"""\\*["']\s*[+.,;]?\s*\\?$""")
+LINE_MARKS = re.compile(r"""^[\s>|#*"'\\]+""")
 ALL_HEX = re.compile(r"[0-9A-Fa-f]+")
 SSH_NAMES = (b"ssh-rsa", b"ssh-dss", b"ssh-ed25519", b"ecdsa-sha2-nistp256", b"ecdsa-sha2-nistp384", b"ecdsa-sha2-nistp521")
+OPENSSH = b"openssh-key-v1\0"
 #: Fields of a key by its name, the name among them.
 SSH_FIELDS = dict(zip((len(x).to_bytes(4, "big") + x for x in SSH_NAMES), (3, 5, 2, 3, 3, 3), strict=True))
 
@@ -98,17 +112,48 @@ def is_der(data: bytes) -> bool:
     return payload and leaves >= 2
 
 
-def is_ssh_key(data: bytes) -> bool:
-    fields, at = [], 0
-    while at < len(data):
+def fields_of(data: bytes, at: int, most: int | None = None) -> tuple[list[bytes], int] | None:
+    """(length-prefixed fields from ``at`` on, the place after them): all there are, or
+    ``most``; None where a length reaches over the end."""
+    fields = []
+    while at < len(data) if most is None else len(fields) < most:
         if at + 4 > len(data):
-            return False
+            return None
         size = int.from_bytes(data[at : at + 4], "big")
         at += 4 + size
         if at > len(data):
-            return False
+            return None
         fields.append(data[at - size : at])
-    return len(fields) >= 2 and fields[0] in SSH_NAMES
+    return fields, at
+
+
+def is_ssh_key(data: bytes) -> bool:
+    read = fields_of(data, 0)
+    return read is not None and len(read[0]) >= 2 and read[0][0] in SSH_NAMES
+
+
+def is_openssh(data: bytes) -> bool:
+    """The private key layout to its end: names of cipher and key derivation and its
+    options, a number of public keys, as many public keys, and a private part of whole
+    blocks (and a tag, for the ciphers that have one)."""
+    if not data.startswith(OPENSSH):
+        return False
+    head = fields_of(data, len(OPENSSH), 3)
+    if head is None or not all(re.fullmatch(rb"[!-~]+", x) for x in head[0][:2]) or head[1] + 4 > len(data):
+        return False
+    n, at = int.from_bytes(data[head[1] : head[1] + 4], "big"), head[1] + 4
+    if not 1 <= n <= (len(data) - at) // 4:
+        return False
+    keys = fields_of(data, at, n)
+    if keys is None or not all(_public(x) for x in keys[0]):
+        return False
+    private = fields_of(data, keys[1], 1)
+    return private is not None and len(private[0][0]) >= 8 and len(private[0][0]) % 8 == 0 and len(data) - private[1] in (0, 16)
+
+
+def _public(data: bytes) -> bool:
+    read = fields_of(data, 0)
+    return read is not None and len(read[0]) >= 2 and re.fullmatch(rb"[a-z0-9@.-]+", read[0][0]) is not None
 
 
 def is_jwt(text: str) -> bool:
@@ -119,13 +164,52 @@ def is_jwt(text: str) -> bool:
     return isinstance(head, dict) and isinstance(head.get("alg"), str) and isinstance(body, dict)
 
 
+def bodies(body: str) -> Iterator[list[str]]:
+    """The lines of a block as they stand; then with written line ends undone; then
+    without the marks of quotes, comments and string literals around each."""
+    plain = [x.strip() for x in body.strip().split("\n")]
+    yield plain
+    if "\\" in body:
+        plain = [x.strip() for x in ESCAPED_END.sub("\n", body).strip().split("\n")]
+        yield plain
+    yield [LINE_MARKS.sub("", LITERAL_END.sub("", x)).strip() for x in plain]
+
+
 def is_pem(label: str, body: str) -> bool:
-    lines = [x.strip() for x in body.strip().split("\n")]
-    if any(x.startswith("Proc-Type:") and "ENCRYPTED" in x for x in lines):
-        data = decode64("".join(x for x in lines if x and ":" not in x))
-        return bool(data) and len(data) % 8 == 0
-    data = decode64("".join("".join(lines).split()))
-    return bool(data) and (data.startswith(b"openssh-key-v1\0") if label.startswith("OPENSSH") else is_der(data))
+    for lines in bodies(body):
+        if any(x.startswith("Proc-Type:") and "ENCRYPTED" in x for x in lines):
+            data = decode64("".join(x for x in lines if x and ":" not in x))
+            if data and len(data) % 8 == 0:
+                return True
+            continue
+        data = decode64("".join("".join(lines).split()))
+        if data and (is_openssh(data) if label.startswith("OPENSSH") else is_der(data)):
+            return True
+    return False
+
+
+def pem_blocks(text: str) -> Iterator[tuple[int, int, str, str]]:
+    """(start, end, label, body) of each BEGIN mark and the first END mark of its label
+    behind it, with no BEGIN between."""
+    open_, label, body = -1, "", 0
+    for m in MARK.finditer(text):
+        if m[1] == "BEGIN":
+            open_, label, body = m.start(), m[2], m.end()
+        elif open_ >= 0 and m[2] == label:
+            yield open_, m.end(), label, text[body : m.start()]
+            open_ = -1
+
+
+def outside(places: list[tuple[str, int, int]], taken: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """The spans of ``places`` (in order) that start in none of ``taken``."""
+    out, ends, i, until = [], sorted((s, e) for _, s, e in taken), 0, -1
+    for x in places:
+        while i < len(ends) and ends[i][0] <= x[1]:
+            until = max(until, ends[i][1])
+            i += 1
+        if x[1] >= until:
+            out.append(x)
+    return out
 
 
 def der_size(run: str) -> int:
@@ -183,26 +267,42 @@ def wrapped(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+def key_of(run: str) -> tuple[str, int] | None:
+    """(kind, place in the run it starts at) of the key a run ends with: the whole run,
+    or what is behind a separator in it and by its first bytes just as long."""
+    data = bytes.fromhex(run) if ALL_HEX.fullmatch(run) and len(run) % 2 == 0 else decode64(run)
+    kind = data and ("der" if is_der(data) else "ssh" if is_ssh_key(data) else None)
+    if kind:
+        return kind, 0
+    chars = len(run.rstrip("="))
+    for m in INSIDE.finditer(run):
+        rest = run[m.end() : m.end() + 64]
+        ssh = rest.startswith("AAAA")
+        if ssh and not any((decode64(rest[:16]) or b"").startswith(name[:12]) for name in SSH_FIELDS):
+            continue
+        if not ssh and -(-der_size(rest) * 8 // 6) != chars - m.end():
+            continue
+        data = decode64(run[m.end() :])
+        if data and (is_ssh_key(data) if ssh else is_der(data)):
+            return "ssh" if ssh else "der", m.end()
+    return None
+
+
 def confirmed(text: str) -> list[tuple[str, int, int]]:
     """Spans of the kinds that need a structure."""
     out = []
     if "eyJ" in text:
         out += [("jwt", m.start(), m.end()) for m in JWT.finditer(text) if is_jwt(m[0])]
     if "-----BEGIN " in text:
-        out += [("pem", m.start(), m.end()) for m in PEM.finditer(text) if is_pem(m[1], m[2])]
-    blocks = [(s, e) for k, s, e in out if k == "pem"]
-    joined = [x for x in wrapped(text) if not any(s <= x[1] < e for s, e in blocks)]
+        out += [("pem", s, e) for s, e, label, body in pem_blocks(text) if is_pem(label, body)]
+    blocks = [x for x in out if x[0] == "pem"]
+    joined = outside(wrapped(text), blocks)
     out += joined
-    blocks += [(s, e) for _, s, e in joined]
-    for m in LONG.finditer(text):
-        if any(s <= m.start() < e for s, e in blocks):
-            continue
-        run = m[0]
-        data = bytes.fromhex(run) if ALL_HEX.fullmatch(run) and len(run) % 2 == 0 else decode64(run)
-        if data and is_der(data):
-            out.append(("der", m.start(), m.end()))
-        elif data and is_ssh_key(data):
-            out.append(("ssh", m.start(), m.end()))
+    runs = outside([("run", m.start(), m.end()) for m in LONG.finditer(text)], blocks + joined)
+    for _, start, end in runs:
+        found = key_of(text[start:end])
+        if found:
+            out.append((found[0], start + found[1], end))
     return out
 
 
