@@ -18,13 +18,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import Words, fold_ascii, mix, text_steps
+from ledgerloom.llm.common import Words, fold_ascii, materialize, mix, text_steps
 
 BITS = 18
 SAMPLE = 6000
+#: Features of the sampled rows together, at most: what the driver holds of them.
+CELLS = 8 << 20
 ROUNDS = 150
 
 _SHAPE = np.full(256, 97, np.uint8)
@@ -119,21 +121,32 @@ class CumulativeLink:
         return np.column_stack([sigmoid(score - t) for t in self.thresholds])
 
 
-def fit(docs: DataFrame, ratings: DataFrame, grades: int, sample: int = SAMPLE, bits: int = BITS) -> CumulativeLink:
+def fit(docs: DataFrame, ratings: DataFrame, grades: int, sample: int = SAMPLE, bits: int = BITS, cells: int = CELLS) -> CumulativeLink:
     """``ratings``: doc_id, grade (0 .. grades - 1; others are left out). At most
-    ``sample`` rows are used."""
+    ``sample`` rated ids are used, one row of each grade of an id (of several texts the
+    first by code point), and of these, in the same order, as many as have ``cells``
+    features together: so what the driver gets is bounded, however often an id is
+    repeated and however long texts are."""
     rated = ratings.where(F.col("grade").between(0, grades - 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col("grade").cast("int").alias("grade"))
     rated = rated.orderBy(F.xxhash64("doc_id"), "doc_id", "grade").limit(sample)
 
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             for lo, hi, data, offsets in text_steps(part.column(0)):
                 doc, bin_, value = features(data, offsets, bits)
                 cut = np.searchsorted(doc, np.arange(hi - lo + 1))
                 pieces = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())  # noqa: B023, E731
-                yield pa.RecordBatch.from_arrays([part.column(1).slice(lo, hi - lo), pieces(bin_.astype(np.int32)), pieces(value.astype(np.float32))], names=["grade", "bins", "vals"])
-
-    found = docs.select("doc_id", "text").join(F.broadcast(rated), "doc_id").select("text", "grade").mapInArrow(run, "grade int, bins binary, vals binary").collect()
+                yield pa.RecordBatch.from_arrays([part.column(2).slice(lo, hi - lo), part.column(1).slice(lo, hi - lo), pa.array(np.diff(cut), pa.int64()), pieces(bin_.astype(np.int32)), pieces(value.astype(np.float32))], names=["doc_id", "grade", "n", "bins", "vals"])
+
+    texts = docs.select("doc_id", "text").join(F.broadcast(rated), "doc_id").groupBy("doc_id", "grade").agg(F.min("text").alias("text"))
+    rows = materialize(texts.select("text", "grade", "doc_id").mapInArrow(run, f"doc_id {kind}, grade int, n bigint, bins binary, vals binary"), "rated_sample")
+    # One window over all, of ``sample`` narrow rows.
+    order = Window.orderBy(F.xxhash64("doc_id"), "doc_id", "grade").rowsBetween(Window.unboundedPreceding, 0)
+    within = rows.select("doc_id", "grade", F.sum("n").over(order).alias("upto")).where(F.col("upto") <= cells).select("doc_id", "grade")
+    found = rows.join(F.broadcast(within), ["doc_id", "grade"]).select("doc_id", "grade", "bins", "vals").collect()
+    found.sort(key=lambda r: (str(r["doc_id"]), r["grade"]))
     bins, values = [np.frombuffer(r["bins"], np.int32) for r in found], [np.frombuffer(r["vals"], np.float32) for r in found]
     row = np.repeat(np.arange(len(found)), [len(x) for x in bins])
     cat = lambda x, kind: np.concatenate(x).astype(kind) if x else np.empty(0, kind)

@@ -278,7 +278,8 @@ def places(chosen: np.ndarray, feature: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def sample_features(docs: DataFrame, labels: DataFrame, restorer: Restorer, sample: int) -> DataFrame:
-    """toxic, features (binary) of at most ``sample`` labelled rows, written."""
+    """toxic, features (binary) of at most ``sample`` labelled ids, written: one row of
+    each label of an id, of several texts the first by code point."""
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(sample)
 
@@ -289,7 +290,8 @@ def sample_features(docs: DataFrame, labels: DataFrame, restorer: Restorer, samp
                 cut = np.searchsorted(doc, np.arange(hi - lo + 1))
                 yield pa.RecordBatch.from_arrays([part.column(1).slice(lo, hi - lo), pa.array([feature[a:b].astype(np.int32).tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], names=["toxic", "features"])
 
-    return materialize(docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", "toxic").mapInArrow(run, "toxic int, features binary"), "toxic_sample")
+    texts = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    return materialize(texts.select("text", "toxic").mapInArrow(run, "toxic int, features binary"), "toxic_sample")
 
 
 def telling(rows: DataFrame, n: int, pos: int) -> np.ndarray:
