@@ -6,7 +6,9 @@ within ``edits`` edits (Levenshtein). Edits are judged between lines of
 ``min_chars`` characters or more, equality between lines of ``exact_chars`` or
 more; blank lines stay. Occurrences are judged on the input, not on what is left.
 
-1. Equal lines are one: their hash and first occurrence, aggregated map-side.
+1. Equal lines are one: their hashes (96 bits of two kinds) and first occurrence,
+   aggregated map-side. The search for near lines goes by the first hash alone; what
+   it finds is verified on a line's text and holds for both its hashes.
 2. A line is cut into ``edits + 1`` segments. After at most that many edits one
    segment of the shorter line is left whole in the longer one, at one of a few
    places that follow from the two lengths; so a line is known under the keys
@@ -40,10 +42,10 @@ def text_hash(text: Column) -> Column:
 
 
 def lines_of(docs: DataFrame, min_chars: int) -> DataFrame:
-    """doc_id, t (hash of the text), no, line, h of the lines that count."""
+    """doc_id, t (hash of the text), no, line, h and g (its hashes) of the lines that count."""
     parts = docs.where(F.col("doc_id").isNotNull()).select("doc_id", text_hash(F.col("text")).alias("t"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("no", "raw"))
     lines = parts.select("doc_id", "t", "no", F.btrim("raw", F.lit(SPACES)).alias("line")).where(F.length("line") >= min_chars)
-    return lines.withColumn("h", F.xxhash64("line"))
+    return lines.withColumns({"h": F.xxhash64("line"), "g": F.hash("line")})
 
 
 def places(edits: int) -> list[tuple[int, int, int]]:
@@ -134,7 +136,7 @@ def edit_distance(a: Column, b: Column, edits: int) -> Column:
 
 
 def near_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """(a, b) hashes of different lines within ``edits`` edits, a < b."""
+    """(a, ga, b, gb), both hashes of different lines within ``edits`` edits, a < b."""
     lines = lines_of(docs, min_chars)
     shared = keyed(lines, edits).select("h", "key", "own").groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi"), F.max("own").alias("own")).where("own and lo < hi").select("key")
     shared = materialize(shared, "line_keys")
@@ -152,7 +154,7 @@ def near_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS,
     full = pairs.join(texts.select(F.col("h").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("h").alias("b"), F.col("line").alias("y")), "b")
     longer = F.length("x") >= F.length("y")
     distance = edit_distance(F.when(longer, F.col("y")).otherwise(F.col("x")), F.when(longer, F.col("x")).otherwise(F.col("y")), edits)
-    return materialize(full.where(distance <= edits).select("a", "b"), "near_lines")
+    return materialize(full.where(distance <= edits).select("a", F.hash("x").alias("ga"), "b", F.hash("y").alias("gb")), "near_lines")
 
 
 def removed_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, broadcast_bytes: int = BROADCAST_BYTES, exact_chars: int | None = None) -> DataFrame:
@@ -161,16 +163,17 @@ def removed_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHAR
     have no row."""
     near = near_lines(docs, edits, min_chars, broadcast_bytes)
     least = min_chars if exact_chars is None else max(min(exact_chars, min_chars), 1)
-    seen = materialize(lines_of(docs, least).select("doc_id", "t", "no", "h"), "line_places")
-    firsts = materialize(seen.groupBy("h").agg(F.min(F.struct("doc_id", "t", "no")).alias("first"), F.count(F.lit(1)).alias("n")), "line_firsts")
-    ends = near.select(F.col("a").alias("h"), F.col("b").alias("other")).unionByName(near.select(F.col("b").alias("h"), F.col("a").alias("other")))
-    before = ends.join(firsts.select(F.col("h").alias("other"), F.col("first").alias("theirs")), "other").groupBy("h").agg(F.min("theirs").alias("theirs"))
-    state = firsts.join(before, "h", "left").select("h", "first", "n", (F.coalesce(F.col("theirs") < F.col("first"), F.lit(False))).alias("near"))
+    seen = materialize(lines_of(docs, least).select("doc_id", "t", "no", "h", "g"), "line_places")
+    firsts = materialize(seen.groupBy("h", "g").agg(F.min(F.struct("doc_id", "t", "no")).alias("first"), F.count(F.lit(1)).alias("n")), "line_firsts")
+    end = lambda h, g, other: near.select(F.col(h).alias("h"), F.col(g).alias("g"), F.struct(F.col(other).alias("h"), F.col(f"g{other}").alias("g")).alias("other"))
+    ends = end("a", "ga", "b").unionByName(end("b", "gb", "a"))
+    before = ends.join(firsts.select(F.struct("h", "g").alias("other"), F.col("first").alias("theirs")), "other").groupBy("h", "g").agg(F.min("theirs").alias("theirs"))
+    state = firsts.join(before, ["h", "g"], "left").select("h", "g", "first", "n", (F.coalesce(F.col("theirs") < F.col("first"), F.lit(False))).alias("near"))
     # Written, so that a hot line's places can be split over tasks by the next join.
-    state = materialize(state.where("n > 1 or near").select("h", "first", "near"), "line_state")
-    if small_enough(state, F.lit(48), broadcast_bytes):
+    state = materialize(state.where("n > 1 or near").select("h", "g", "first", "near"), "line_state")
+    if small_enough(state, F.lit(52), broadcast_bytes):
         state = F.broadcast(state)
-    going = seen.join(state, "h").withColumn("again", F.struct("doc_id", "t", "no") != F.col("first")).where("again or near")
+    going = seen.join(state, ["h", "g"]).withColumn("again", F.struct("doc_id", "t", "no") != F.col("first")).where("again or near")
     return materialize(going.groupBy("doc_id", "t").agg(F.array_sort(F.collect_set("no")).alias("lines"), F.count_if(~F.col("again")).alias("n_near")), "going_lines")
 
 

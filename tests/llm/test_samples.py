@@ -27,3 +27,14 @@ def test_reruns_and_orders_agree(spark):
     rated = spark.createDataFrame([(i, i % 3) for i in range(200)], "doc_id long, grade int")
     fits = [quality_model.fit(spark.createDataFrame(rows, "doc_id long, text string").repartition(n), rated, 3) for rows, n in ((data, 2), (data[::-1], 5))]
     assert (fits[0].weights == fits[1].weights).all() and (fits[0].thresholds == fits[1].thresholds).all()
+
+
+def test_lines_of_one_hash_stay_apart(spark, monkeypatch):
+    """Different lines under one 64-bit hash aren't taken for equal."""
+    from ledgerloom.llm import line_dedup
+
+    lines_of = line_dedup.lines_of
+    monkeypatch.setattr(line_dedup, "lines_of", lambda docs, n: lines_of(docs, n).withColumn("h", F.when(F.col("line").startswith("clash"), F.lit(7)).otherwise(F.col("h"))))
+    docs = spark.createDataFrame([(1, "clash one is the first of all lines"), (2, "clash two has other words altogether"), (3, "clash two has other words altogether\nsome words that nobody else has"), (4, "clash one is the first of all lines")], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(docs).collect()}
+    assert got == {1: "clash one is the first of all lines", 2: "clash two has other words altogether", 3: "some words that nobody else has", 4: ""}
