@@ -494,10 +494,13 @@ def masked_account(spark, sf):
     return table(spark, sf, "customer").select("c_custkey", four.alias("last4"), text.last4(line).alias("found"))
 
 
-@query("""select o_orderkey, o_orderkey % 4 in (0, 1) as beginning, o_orderkey % 4 = 2 as deposits from orders""")
+@query("""select o_orderkey, o_orderpriority not in ('5-LOW') and o_orderstatus in ('F', 'O') as beginning, o_orderpriority <> '5-LOW' and o_orderstatus = 'P' as deposits from orders""")
 def label_hits(spark, sf):
-    kind = F.col("o_orderkey") % 4
-    line = F.when(kind == 0, "Beginning Balance 1.00").when(kind == 1, "your OPENINGBALANCE").when(kind == 2, "Total  deposits").otherwise("FROMDEPOSITSYSTEM")
+    """Lines put together of an order's own words and amount: what they name."""
+    c = F.col
+    amount = money.format_cents(money.cents(c("o_totalprice")))
+    word = F.when(c("o_orderpriority") == "5-LOW", "FROMDEPOSITSYSTEM").when(c("o_orderstatus") == "F", "Beginning Balance").when(c("o_orderstatus") == "O", "your OPENINGBALANCE").otherwise("Total  deposits")
+    line = F.concat_ws(" ", F.substring("o_orderpriority", 3, 20), word, amount)
     return table(spark, sf, "orders").select("o_orderkey", text.has_label(line, "beginning").alias("beginning"), text.has_label(line, "deposits").alias("deposits"))
 
 

@@ -292,11 +292,13 @@ def usage_costs(spark, sf):
     return evaluation.usage(said, ["conv_id"], 0.15, 0.6)
 
 
-@query("""select event_id, case when event_id % 3 = 0 then 'purchase' when event_id % 3 = 1 then null else event_type end as kind from events""")
+@query("""select event_id, case when event_id % 3 <> 1 then (props ->> '$.k')::bigint end as k, case when event_id % 3 = 2 then event_type end as kind from events""")
 def tool_arguments(spark, sf):
-    """Arguments as JSON; what isn't JSON is an empty object."""
-    raw = F.when(F.col("event_id") % 3 == 0, '{"kind": "purchase", "n": 1}').when(F.col("event_id") % 3 == 1, '{"kind": "pur').otherwise(F.concat(F.lit('{"kind": "'), "event_type", F.lit('"}')))
-    return table(spark, sf, "events").select("event_id", evaluation.arguments(raw, "kind string")["kind"].alias("kind"))
+    """Arguments as JSON, off the events' own; what is cut off is an empty object."""
+    c = F.col
+    more = F.concat(F.expr("left(props, length(props) - 1)"), F.lit(', "kind": "'), c("event_type"), F.lit('"}'))
+    raw = F.when(c("event_id") % 3 == 0, c("props")).when(c("event_id") % 3 == 1, F.expr("left(props, length(props) - 1)")).otherwise(more)
+    return table(spark, sf, "events").select("event_id", evaluation.arguments(raw, "k bigint, kind string").alias("a")).select("event_id", "a.k", "a.kind")
 
 
 @query("""select doc_id, case when length(trim(text)) >= 20 then case when doc_id % 3 = 0 then 'ocr' else 'text' end else 'empty' end as kind, length(trim(text)) < 20 or doc_id % 3 = 0 as scanned from documents""")
@@ -364,19 +366,24 @@ def fragment_amounts(spark, sf):
     return read.select("event_id", F.concat(F.lit("["), F.array_join(F.transform("found", lambda m: m["cents"].cast("string")), ", "), F.lit("]")).alias("cents"), F.size("found").alias("n"))
 
 
-@query("""select o_orderkey, case when o_orderkey % 3 = 0 then 2 when o_orderkey % 3 = 1 then 3 end as slots, case when o_orderkey % 3 = 2 then null else o_orderkey % 3 = 0 end as is_check from orders""")
+@query("""select l_orderkey, l_linenumber, case l_returnflag when 'N' then 2 when 'A' then 2 + l_linenumber end::int as slots, case when l_returnflag = 'R' then null else l_returnflag = 'N' end as is_check from lineitem""")
 def listing_headers(spark, sf):
-    k = F.col("o_orderkey") % 3
-    said = F.when(k == 0, "Date Check No. Amount Date Check No. Amount").when(k == 1, "Date Amount Date Amount Date Amount").otherwise("Date Description Amount Balance")
-    boxes = F.transform(F.split(said, " "), lambda t, i: F.struct(t.alias("text"), (i * 50.0).alias("x0"), (i * 50.0 + 40.0).alias("x1")))
-    found = listing.header_of(boxes)
-    return table(spark, sf, "orders").select("o_orderkey", found.alias("h")).select("o_orderkey", F.when(F.col("h").isNotNull(), F.size("h.slots")).alias("slots"), F.col("h.check").alias("is_check"))
+    """Headers of as many groups as a line's number says, with checks or without; some
+    are of a table and no listing."""
+    c = F.col
+    group = F.split(F.when(c("l_returnflag") == "N", "Date Check No. Amount").otherwise("Date Amount"), " ")
+    said = F.when(c("l_returnflag") == "R", F.split(F.lit("Date Description Amount Balance"), " ")).otherwise(F.flatten(F.array_repeat(group, F.when(c("l_returnflag") == "N", 2).otherwise(2 + c("l_linenumber")).cast("int"))))
+    boxes = F.transform(said, lambda t, i: F.struct(t.alias("text"), (i * 50.0).alias("x0"), (i * 50.0 + 40.0).alias("x1")))
+    found = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", listing.header_of(boxes).alias("h"))
+    return found.select("l_orderkey", "l_linenumber", F.when(c("h").isNotNull(), F.size("h.slots")).alias("slots"), c("h.check").alias("is_check"))
 
 
-@query("""select o_orderkey, [null, 'deposit', 'withdrawal', null][(o_orderkey % 4 + 1)::int] as side from orders""")
+@query("""select p_partkey, case when p_size % 2 = 0 then 'deposit' when contains(p_name, 'gear') or contains(p_name, 'bolt') then 'withdrawal' end as side from part""")
 def heading_sides(spark, sf):
-    said = F.element_at(F.array(*map(F.lit, ["Account details", "DEPOSITS AND CREDITS", "Checks paid", "Predeposits"])), (F.col("o_orderkey") % 4 + 1).cast("int"))
-    return table(spark, sf, "orders").select("o_orderkey", text.heading_side(said).alias("side"))
+    """Headings of a part's own words, with a label of a side or a word that holds one."""
+    c = F.col
+    label = F.when(c("p_size") % 2 == 0, "DEPOSITS AND CREDITS").when(c("p_name").contains("gear") | c("p_name").contains("bolt"), "Checks paid").otherwise("Predeposits")
+    return table(spark, sf, "part").select("p_partkey", text.heading_side(F.concat_ws(" ", "p_name", label, "p_type")).alias("side"))
 
 
 @query(f"""with {L} select account::varchar as doc_id, case when account % 2 = 0 then 0.01 else 0.0 end::double as slope from l group by account having count(*) * 4 >= 30""")
