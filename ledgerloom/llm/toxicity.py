@@ -346,7 +346,9 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, th
     """(doc_id, text), (doc_id, toxic) -> doc_id, score (0 to 1), predicted, and
     the columns ``keep`` of the row that was scored.
 
-    A null or blank text has the score of a text without any telling word.
+    A null or blank text has the score of a text without any telling word. Words of
+    under three bytes are no features, and letters set apart are restored from four
+    on: what is written in fewer has no say.
     Repeated rows are scored each; without labels all scores are low; an empty
     table gives an empty result.
     """

@@ -38,3 +38,26 @@ def test_lines_of_one_hash_stay_apart(spark, monkeypatch):
     docs = spark.createDataFrame([(1, "clash one is the first of all lines"), (2, "clash two has other words altogether"), (3, "clash two has other words altogether\nsome words that nobody else has"), (4, "clash one is the first of all lines")], "doc_id long, text string")
     got = {r.doc_id: r.text for r in line_dedup.dedup_lines(docs).collect()}
     assert got == {1: "clash one is the first of all lines", 2: "clash two has other words altogether", 3: "some words that nobody else has", 4: ""}
+
+
+def test_very_long_texts(spark):
+    """Some MB of text and one word of a MB through the operators without a test of it elsewhere."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from ledgerloom.llm import quality_rules, secret_scan, token_counts
+
+    long, word = "lorem ipsum dolor " * 150_000, "x" * 1_000_000
+    docs = spark.createDataFrame([(1, long), (2, word), (3, " ".join([word, "AKIA" + "Z9" * 8, word]))], "doc_id long, text string")
+    rules = {r.doc_id: r for r in quality_rules.ledger(docs).collect()}
+    assert [(rules[i].n_words, rules[i].word_chars) for i in (1, 2)] == [(450_000, 2_250_000), (1, 1_000_000)]
+    spans = {r.doc_id: [(s.kind, s.start, s.end) for s in r.spans] for r in secret_scan.scan_secrets(docs).collect()}
+    assert spans == {1: [], 2: [], 3: [("access", 1_000_001, 1_000_021)]}
+    path = str(public_tokenizers.path("word_bpe_49k.json"))
+    own = Tokenizer.from_file(path)
+    own.encode_special_tokens = True
+    counts = {r.doc_id: (r.n_bytes, r.n_tokens, r.over_limit) for r in token_counts.token_counts(docs.where("doc_id < 3"), path).collect()}
+    assert counts == {i: (len(t), len(own.encode(t, add_special_tokens=False).ids), True) for i, t in ((1, long), (2, word))}
+    rated = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, grade int")
+    got = quality_model.score(docs, quality_model.fit(docs, rated, 2)).collect()
+    assert len(got) == 3 and all(0 <= r.expected_grade <= 1 for r in got)
