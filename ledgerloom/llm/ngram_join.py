@@ -128,7 +128,7 @@ def keys_of(tokens: np.ndarray, frequent: np.ndarray, percent: int, bounds: list
         if c != own and percent * partner > 100 * n:
             continue
         size = n - overlap(n + partner, percent) + 1
-        salt = mix(np.array([c], np.uint64))[0]
+        salt = mix(np.array([c], np.uint64))  # an array of one, whose sums wrap around silently
         if size > 0:
             out.append(mix(rare[:size] ^ salt))
         if len(rare) < size:
@@ -328,7 +328,9 @@ class Join:
         rest = members.where("doc_id > pivot").select("key", "doc_id")
         rest = rest.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
         heads = rest.groupBy("key").agg(F.min(F.struct("doc_id", "component")).alias("head"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-        return materialize(rest.join(heads.select("key", F.col("head.doc_id").alias("pivot"), F.col("head.component").alias("pivot_component")), "key"), "members")
+        # Written, so that the members of a hot key can be split over tasks by the join.
+        heads = materialize(heads.select("key", F.col("head.doc_id").alias("pivot"), F.col("head.component").alias("pivot_component")), "heads")
+        return materialize(rest.join(self.fits(heads), "key"), "members")
 
 
 def ngram_components(docs: DataFrame, shingle: int = 5, percent: int = 80, rounds: int = ROUNDS) -> DataFrame:
