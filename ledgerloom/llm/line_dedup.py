@@ -12,9 +12,11 @@ more; blank lines stay. Occurrences are judged on the input, not on what is left
 2. A line is cut into ``edits + 1`` segments. After at most that many edits one
    segment of the shorter line is left whole in the longer one, at one of a few
    places that follow from the two lengths; so a line is known under the keys
-   (length, segment number, segment) of its own and of those places. Keys under
-   which different lines are known, one of them by its own segment, are
-   aggregated; all that is kept of a key is the least and greatest hash.
+   (length, segment number, segment) of its own and of those places, as 48 bits of
+   their hash. Keys under which different lines are known, one of them by its own
+   segment, are kept. This exchange of twelve rows a line is the largest, so a row is
+   only key and hash (17 bytes as written): nearly all keys are one line's alone, and
+   aggregating them first would make rows longer and none fewer.
 3. Lines with such keys are read again. A pair under one key must agree in a
    64-bit parity sketch of its character pairs (an edit changes four at most)
    before it leaves the join, so thousands of variants of one line that differ by
@@ -33,6 +35,7 @@ from ledgerloom.llm.common import SPACES, WORD, materialize, salted, small_enoug
 EDITS = 2
 MIN_CHARS = 20
 BROADCAST_BYTES = 32 << 20
+KEY_BITS = 48
 #: Lines of one key that meet the others in one task.
 SALTED = 2000
 
@@ -71,7 +74,7 @@ def keyed(lines: DataFrame, edits: int) -> DataFrame:
     each = each.withColumn("start", F.expr(f"int((n - more) * i div {edits + 1})")).withColumn("width", F.expr(f"int((n - more) * (i + 1) div {edits + 1})") - F.col("start"))
     each = each.where("start + shift >= 0 and start + shift + width <= n and width > 0")
     key = F.xxhash64(F.col("n") - F.col("more"), "i", F.expr("substring(wide, (start + shift) * 4 + 1, width * 4)"))
-    return each.select("h", "line", key.alias("key"), (F.expr("more = 0 and shift = 0")).alias("own"))
+    return each.select("h", "line", key.bitwiseAND(F.lit((1 << KEY_BITS) - 1)).alias("key"), (F.expr("more = 0 and shift = 0")).alias("own"))
 
 
 def pair_sketch(line: Column) -> Column:
@@ -138,7 +141,10 @@ def edit_distance(a: Column, b: Column, edits: int) -> Column:
 def near_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """(a, ga, b, gb), both hashes of different lines within ``edits`` edits, a < b."""
     lines = lines_of(docs, min_chars)
-    shared = keyed(lines, edits).select("h", "key", "own").groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi"), F.max("own").alias("own")).where("own and lo < hi").select("key")
+    # The hash's last bit makes room for ``own``; the key is last, so its zero bytes meet the next row's.
+    marked = F.col("h").bitwiseAND(F.lit(-2).cast("long")).bitwiseOR(F.col("own").cast("long"))
+    known = keyed(lines, edits).select(marked.alias("m"), "key").repartition("key").select("key", F.shiftright("m", 1).alias("h"), (F.col("m").bitwiseAND(F.lit(1).cast("long")) == 1).alias("own"))
+    shared = known.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi"), F.max("own").alias("own")).where("own and lo < hi").select("key")
     shared = materialize(shared, "line_keys")
     wanted = F.broadcast(shared) if small_enough(shared, F.lit(24), broadcast_bytes) else shared
     again = keyed(lines, edits).join(wanted, "key")
@@ -189,8 +195,8 @@ def dedup_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS,
     """
     id_, t_, lines_, near_ = (unused(docs, x) for x in ("id", "t", "lines", "near"))
     going = removed_lines(docs.select("doc_id", "text"), edits, min_chars, broadcast_bytes, exact_chars).toDF(id_, t_, lines_, near_)
-    if small_enough(going, F.lit(72) + F.size(lines_) * 4, broadcast_bytes):
-        going = F.broadcast(going)
+    # Past the broadcast texts are dealt by document, but not sorted.
+    going = F.broadcast(going) if small_enough(going, F.lit(72) + F.size(lines_) * 4, broadcast_bytes) else going.hint("shuffle_hash")
     joined = docs.join(going, (docs["doc_id"] == going[id_]) & (text_hash(docs["text"]) == going[t_]), "left")
     kept = F.filter(F.split(docs["text"], "\n"), lambda x, i: ~F.array_contains(F.col(lines_), i))
     text = F.when(F.col(lines_).isNull(), docs["text"]).otherwise(F.array_join(kept, "\n"))

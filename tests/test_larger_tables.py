@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import __spark_entry__
+from ledgerloom.llm import line_dedup
 
 from .compare import both
 
@@ -11,3 +12,13 @@ def test_account_tails_of_long_keys(spark, tmp_path):
     spark.createDataFrame([(k,) for k in (*range(1, 17), *range(9_992, 10_016), 123_456)], "c_custkey long").coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
     names, mine, sql_names, sql = both(spark, __spark_entry__.queries()["account_tails"], __spark_entry__.oracle_sql()["account_tails"], str(tmp_path))
     assert names == sql_names and mine == sql
+
+
+def test_line_dedup_deals_texts_without_a_sort_and_keys_are_short(spark):
+    docs = spark.createDataFrame([(1, "a line that is repeated here\nand one that is not, at all"), (2, "a line that is repeated here")], "doc_id long, text string")
+    out = line_dedup.dedup_lines(docs, broadcast_bytes=0)
+    plan = out._jdf.queryExecution().sparkPlan().toString()
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+    assert {r.doc_id: r.n_removed for r in out.collect()} == {1: 0, 2: 1}
+    keys = line_dedup.keyed(line_dedup.lines_of(docs, 20), 2).selectExpr("min(key) as lo", "max(key) as hi").first()
+    assert 0 <= keys.lo and keys.hi < 1 << 48
