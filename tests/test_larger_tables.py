@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 import __spark_entry__
+from ledgerloom.functions import dates
 from ledgerloom.llm import line_dedup
+from ledgerloom.operators import geometry, listing
+from ledgerloom.plans import extract
 
 from .compare import both
 
@@ -22,3 +27,40 @@ def test_line_dedup_deals_texts_without_a_sort_and_keys_are_short(spark):
     assert {r.doc_id: r.n_removed for r in out.collect()} == {1: 0, 2: 1}
     keys = line_dedup.keyed(line_dedup.lines_of(docs, 20), 2).selectExpr("min(key) as lo", "max(key) as hi").first()
     assert 0 <= keys.lo and keys.hi < 1 << 48
+
+
+def test_a_month_with_a_digit_behind_it_is_no_date_and_long_text_is_not_tried(spark):
+    said = spark.createDataFrame([("january1 30",), ("5 jan1",), ("January 30",), ("2024-1-5",), ("1/5.",)], "t string")
+    found = {r.t: str(r.d) for r in said.select("t", dates.parse_date(F.col("t")).alias("d")).collect()}
+    assert found == {"january1 30": "None", "5 jan1": "None", "January 30": "1904-01-30", "2024-1-5": "2024-01-05", "1/5.": "1904-01-05"}
+
+
+def test_headers_are_told_by_one_pattern_a_word(spark):
+    words = spark.createDataFrame([([("#DATE", 0.0, 1.0), (".Amount", 2.0, 3.0), ("Dates", 4.0, 5.0), ("amount", 6.0, 7.0)],)], "w array<struct<text:string,x0:double,x1:double>>")
+    found = words.select(listing.header_of(F.col("w")).alias("h"))
+    assert len(found.first().h.slots) == 2
+    assert "lower(" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_lines_sort_by_top_alone_and_fold_only_what_may_part(spark):
+    words = spark.createDataFrame([(1, 10.0, 5.0, "b"), (1, 12.0, 1.0, "a"), (1, 15.5, 0.0, "c"), (1, 17.0, 0.0, "d"), (1, 19.9, 9.0, "e")], "page int, top double, x0 double, text string").selectExpr("page", "top", "x0", "x0 + 1 as x1", "text", "10.0d as height")
+    found = geometry.lines(words, ["page"])
+    assert [r.text for r in found.orderBy("line_idx").collect()] == ["a b", "c d", "e"]
+    assert "text#" not in next(x for x in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "lag(top" in x).split("windowspecdefinition")[1].split("specifiedwindowframe")[0]
+
+
+def test_sharpness_is_counted_in_dealt_tasks(spark, monkeypatch):
+    words = spark.range(3000).selectExpr("id % 2 as page", "cast(id % 97 as double) as top", "cast(id % 13 as double) as x0", "1500L as n_words")
+    slopes = F.array(*map(F.lit, (-0.5, 0.0, 0.25)))
+    plain = sorted(map(tuple, geometry.sharpness(words, ["page"], slopes).collect()))
+    for most in (10, 10_000):
+        monkeypatch.setattr(geometry, "WORDS_A_TASK", most)
+        dealt = geometry.sharpness(words, ["page"], slopes, 5)
+        assert sorted(map(tuple, dealt.collect())) == plain
+        assert dealt._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].count("Exchange") == 1
+
+
+def test_words_with_a_source_are_made_once(spark):
+    words = spark.createDataFrame([("1", 1, "a", 0.0, 1.0, 2.0, 10.0, "text")], "doc_id string, page int, text string, x0 double, x1 double, top double, height double, source string")
+    assert extract.held(words).inputFiles()
+    assert extract.held(words.drop("source")).columns == words.columns[:-1]
