@@ -78,3 +78,41 @@ def test_column_that_no_page_shows_twice_is_read_of_all_pages_together(spark, tm
     spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
     names, mine, sql_names, sql = both(spark, __spark_entry__.queries()["extract_repaired"], __spark_entry__.oracle_sql()["extract_repaired"], str(tmp_path))
     assert names == sql_names and mine == sql and len(sql) == 1
+
+
+def event_ids(account, **wanted):
+    """Event ids of an account that set rows as wanted: undated, split, listed; else whole and dated."""
+    for i in range(account * 1000, account * 1000 + 1000):
+        said = {"no_amount": i % 37 == 5, "undated": i % 41 == 7, "split": i % 23 == 4, "wraps": i % 29 == 3, "listed": i % 3 == 0}
+        if all(v == wanted.get(k, False) for k, v in said.items()):
+            yield i
+
+
+def test_what_one_page_does_not_show_is_read_of_its_periods_other_pages(spark, tmp_path):
+    # d, w: deposit, withdrawal; D: undated deposit, s: deposit in two boxes, L: withdrawal that only a listing has.
+    said = {
+        12: ("Dwwwww", "dwwww"),  # two columns: one deposit is dated, the other stands before the first dated row
+        24: ("dwwwww", "swwww"),  # one deposit stands in two boxes
+        21: ("dddddd", "ddww"),  # signed: the densest page shows no sign
+        10: ("dddddLL", "dddww"),  # sections: the densest page calls withdrawals by its listing's heading
+    }
+    rows = []
+    for account, pages in said.items():
+        ids = {k: event_ids(account, **v) for k, v in {"d": {}, "D": {"undated": True}, "s": {"split": True}, "L": {"listed": True}}.items()}
+        for page, kinds in enumerate(pages):
+            for n, kind in enumerate(kinds):
+                rows.append((next(ids["d" if kind == "w" else kind]), datetime(2024, 1, 2 + 7 * page, 9 + n), account, "view" if kind in "wL" else "purchase", 33.25 + 7 * n + page, "{}"))
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    for query in ("extract_transactions", "extract_checks", "extract_audit", "extract_warnings", "extract_layouts", "extract_frontier"):
+        names, mine, sql_names, sql = both(spark, __spark_entry__.queries()[query], __spark_entry__.oracle_sql()[query], str(tmp_path))
+        assert names == sql_names and mine == sql, query
+
+
+def test_what_stands_below_a_table_goes_below_a_long_one_and_counts_may_pass_999(spark, tmp_path):
+    start, rows = datetime(2024, 1, 1, 1), []
+    for account, n in ((13, 160), (2, 180), (6, 170), (20, 1100)):  # a line of dates, a listing alone, one that repeats, counts
+        rows += [(account * 10_000 + i, start + timedelta(minutes=5 * i), account, "view" if i % 11 == 5 or (account < 20 and i % 3) else "purchase", 20.25 + i % 97, "{}") for i in range(n)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    for query in ("extract_transactions", "extract_checks", "extract_warnings", "extract_header"):
+        names, mine, sql_names, sql = both(spark, __spark_entry__.queries()[query], __spark_entry__.oracle_sql()[query], str(tmp_path))
+        assert names == sql_names and mine == sql, query
