@@ -17,7 +17,8 @@ more; blank lines stay. Occurrences are judged on the input, not on what is left
    segment, are kept. This exchange of twelve rows a line is the largest, so a row is
    only key and hash (17 bytes as written): nearly all keys are one line's alone, and
    aggregating them first would make rows longer and none fewer.
-3. Lines with such keys are read again. A pair under one key must agree in a
+3. These keys meet that exchange again, so lines aren't cut or sent twice; only the
+   texts of lines under them are read again. A pair under one key must agree in a
    64-bit parity sketch of its character pairs (an edit changes four at most)
    before it leaves the join, so thousands of variants of one line that differ by
    a word don't come out as pairs.
@@ -141,15 +142,16 @@ def edit_distance(a: Column, b: Column, edits: int) -> Column:
 def near_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """(a, ga, b, gb), both hashes of different lines within ``edits`` edits, a < b."""
     lines = lines_of(docs, min_chars)
-    # The hash's last bit makes room for ``own``; the key is last, so its zero bytes meet the next row's.
+    # The hash's last bit makes room for ``own`` (up to the verified pairs a line goes by the others); the key is last, so its zero bytes meet the next row's.
     marked = F.col("h").bitwiseAND(F.lit(-2).cast("long")).bitwiseOR(F.col("own").cast("long"))
     known = keyed(lines, edits).select(marked.alias("m"), "key").repartition("key").select("key", F.shiftright("m", 1).alias("h"), (F.col("m").bitwiseAND(F.lit(1).cast("long")) == 1).alias("own"))
     shared = known.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi"), F.max("own").alias("own")).where("own and lo < hi").select("key")
-    shared = materialize(shared, "line_keys")
-    wanted = F.broadcast(shared) if small_enough(shared, F.lit(24), broadcast_bytes) else shared
-    again = keyed(lines, edits).join(wanted, "key")
-    found = materialize(again.groupBy("h", "key").agg(F.max("own").alias("own"), F.min("line").alias("line")), "line_members")
-    texts = materialize(found.groupBy("h").agg(F.min("line").alias("line")).withColumn("sketch", pair_sketch(F.col("line"))), "line_texts")
+    # Both sides of the join are the one exchange, read twice; the few keys are hashed, so nothing is sorted.
+    found = materialize(known.join(shared.hint("shuffle_hash"), "key").groupBy("key", "h").agg(F.max("own").alias("own")), "line_members")
+    hashes = materialize(found.select("h").distinct(), "line_hashes")
+    wanted = F.broadcast(hashes) if small_enough(hashes, F.lit(16), broadcast_bytes) else hashes.hint("shuffle_hash")
+    again = lines.select(F.shiftright("h", 1).alias("h"), "line").join(wanted, "h", "left_semi")
+    texts = materialize(again.groupBy("h").agg(F.min("line").alias("line")).withColumn("sketch", pair_sketch(F.col("line"))), "line_texts")
     members = found.select("h", "key", "own").join(texts.select("h", "sketch"), "h")
     # A key of many lines is dealt over salts: each line meets all others, in several tasks.
     dealt = salted(members, SALTED, broadcast_bytes)
@@ -160,7 +162,7 @@ def near_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS,
     full = pairs.join(texts.select(F.col("h").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("h").alias("b"), F.col("line").alias("y")), "b")
     longer = F.length("x") >= F.length("y")
     distance = edit_distance(F.when(longer, F.col("y")).otherwise(F.col("x")), F.when(longer, F.col("x")).otherwise(F.col("y")), edits)
-    return materialize(full.where(distance <= edits).select("a", F.hash("x").alias("ga"), "b", F.hash("y").alias("gb")), "near_lines")
+    return materialize(full.where(distance <= edits).select(F.xxhash64("x").alias("a"), F.hash("x").alias("ga"), F.xxhash64("y").alias("b"), F.hash("y").alias("gb")), "near_lines")
 
 
 def removed_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, broadcast_bytes: int = BROADCAST_BYTES, exact_chars: int | None = None) -> DataFrame:

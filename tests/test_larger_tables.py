@@ -64,3 +64,20 @@ def test_words_with_a_source_are_made_once(spark):
     words = spark.createDataFrame([("1", 1, "a", 0.0, 1.0, 2.0, 10.0, "text")], "doc_id string, page int, text string, x0 double, x1 double, top double, height double, source string")
     assert extract.held(words).inputFiles()
     assert extract.held(words.drop("source")).columns == words.columns[:-1]
+
+
+def test_line_dedup_sends_no_text_with_the_keys_past_the_broadcast(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "a line that has a near one here"), (2, "a line that has a near two here"), (3, "a line that has a near twoo here\nand another line of its own")], "doc_id long, text string")
+    plans, write = {}, line_dedup.materialize
+
+    def noted(df, name):
+        plans[name] = df.columns, df._jdf.queryExecution().sparkPlan().toString()
+        return write(df, name)
+
+    monkeypatch.setattr(line_dedup, "materialize", noted)
+    near = line_dedup.near_lines(docs, broadcast_bytes=0)
+    assert near.count() == 1
+    lines = {r.h: r.line for r in line_dedup.lines_of(docs, 20).collect()}
+    assert {frozenset((lines[r.a], lines[r.b])) for r in near.collect()} == {frozenset(("a line that has a near two here", "a line that has a near twoo here"))}
+    columns, plan = plans["line_members"]
+    assert sorted(columns) == ["h", "key", "own"] and "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
