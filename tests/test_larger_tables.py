@@ -81,3 +81,13 @@ def test_line_dedup_sends_no_text_with_the_keys_past_the_broadcast(spark, monkey
     assert {frozenset((lines[r.a], lines[r.b])) for r in near.collect()} == {frozenset(("a line that has a near two here", "a line that has a near twoo here"))}
     columns, plan = plans["line_members"]
     assert sorted(columns) == ["h", "key", "own"] and "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_a_listing_line_is_read_for_dates_and_amounts_once(spark):
+    boxes = [("1/5", 0.0, 18.0), ("C17", 22.0, 40.0), ("12.34", 44.0, 74.0), ("Jan", 100.0, 118.0), ("6", 122.0, 128.0), ("C18", 132.0, 150.0), ("7", 154.0, 160.0), (".50", 160.0, 178.0)]
+    words = spark.createDataFrame([(boxes,)], "w array<struct<text:string,x0:double,x1:double>>")
+    bands = F.expr("array(named_struct('x0', -1d, 'x1', 90d), named_struct('x0', 90d, 'x1', 999d))")
+    found = words.select(listing.records_of(bands, F.col("w")).alias("r"))
+    assert [(str(r.date), r.cents, r.description) for r in found.first().r] == [("1904-01-05", 1234, "C17"), ("1904-01-06", 750, "C18")]
+    plan = found._jdf.queryExecution().analyzed().toString()
+    assert plan.count("aggregate(") == 2
